@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionscope.operators import northstar
+from sessionscope.operators import diagnosis, launch, northstar
 from sessionscope.sources.events import load_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Means of a few rows tie exactly at two digits; four digits compare safely.
 EXACT = {"money_dp": 4}
 
+DROP = {"drop_date": "2024-01-10"}
+LAUNCH = {"launch_date": "2024-01-21", "window_days": 10, **DROP}
+RANGE = {"days": ("2024-01-01", "2024-01-30"), "excluded": ("2024-01-10", "2024-01-12")}
+MEANS = {"money_dp": 4, "load_dp": 4}
+
+
+def _split_columns(sessions: DataFrame, **params) -> DataFrame:
+    """The split without the columns that repeat others."""
+    kept = ("session_id", "user_id", "timestamp", "date", "device", "traffic_source", "converted", "revenue", "period")
+    return launch.launch_split(sessions, **params).select(*kept)
+
+
 _OPERATORS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "north_star": (northstar.north_star, EXACT),
     "north_star_daily_stats": (northstar.north_star_daily_stats, {}),
@@ -28,6 +40,29 @@ _OPERATORS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "return_visitor_cr": (northstar.return_visitor_cr, {}),
     "returning_semi_anti": (northstar.returning_semi_anti, {}),
     "metrics_tree": (northstar.metrics_tree, EXACT),
+    "drop_verify_union": (diagnosis.drop_verify_union, DROP),
+    "drop_verify_ztest": (diagnosis.drop_verify_ztest, DROP),
+    "slice_device": (diagnosis.slice_device, DROP),
+    "slice_location": (diagnosis.slice_location, DROP),
+    "slice_category": (diagnosis.slice_category, DROP),
+    "slice_all_dims": (diagnosis.slice_all_dims, DROP),
+    "worst_segment": (diagnosis.worst_segment, DROP),
+    "drop_hourly": (diagnosis.drop_hourly, {"load_dp": 4, **DROP}),
+    "hourly_vs_prev": (diagnosis.hourly_vs_prev, DROP),
+    "biggest_drop_hour": (diagnosis.biggest_drop_hour, DROP),
+    "root_cause": (diagnosis.root_cause, DROP),
+    "business_impact": (diagnosis.business_impact, DROP),
+    "business_impact_missed": (diagnosis.business_impact_missed, {**EXACT, **DROP}),
+    "diagnosis_report": (diagnosis.diagnosis_report, DROP),
+    "launch_pre_post": (launch.launch_pre_post, {"launch_date": "2024-01-21", **RANGE, **MEANS}),
+    "launch_weekly": (launch.launch_weekly, {"label_cutoff": "2024-01-18", **RANGE, **MEANS}),
+    "launch_device": (launch.launch_device, {"launch_date": "2024-01-21", **RANGE}),
+    "launch_split": (_split_columns, LAUNCH),
+    "launch_primary": (launch.launch_primary, LAUNCH),
+    "launch_guardrails": (launch.launch_guardrails, {**LAUNCH, **MEANS}),
+    "launch_recommendation": (launch.launch_recommendation, LAUNCH),
+    "launch_side_effects": (launch.launch_side_effects, LAUNCH),
+    "launch_report": (launch.launch_report, LAUNCH),
 }
 
 
