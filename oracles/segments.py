@@ -1,3 +1,86 @@
-"""Checks."""
+"""User features, scaling, profiles and persona names."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from oracles.base import query
+
+_USERS = """
+device_counts AS (SELECT user_id, device, count(*) AS n FROM sessions GROUP BY user_id, device),
+favourites AS (
+  SELECT user_id, device, n FROM device_counts
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, device) = 1
+),
+users AS (
+  SELECT s.user_id, count(*) AS total_sessions, CAST(sum(converted) AS BIGINT) AS total_conversions,
+         sum(revenue) AS total_revenue, avg(steps_completed) AS avg_steps, avg(page_load_ms) AS avg_page_load_ms,
+         count(DISTINCT date) AS days_active, sum(converted) / count(*) AS conversion_rate,
+         sum(revenue) / count(*) AS revenue_per_session, any_value(f.device) AS primary_device
+  FROM sessions s JOIN favourites f ON f.user_id = s.user_id
+  GROUP BY s.user_id
+)
+"""
+
+_LABELLED = """
+labelled AS (
+  SELECT *, CASE WHEN revenue_per_session > 60 THEN 4
+                 WHEN total_conversions = 0 AND total_sessions = 1 THEN 0
+                 WHEN total_conversions = 0 THEN 1
+                 WHEN total_sessions <= 3 THEN 2
+                 ELSE 3 END AS segment_id
+  FROM users
+),
+profile AS (
+  SELECT segment_id, count(*) AS n, avg(total_sessions) AS visits, avg(conversion_rate) AS cr,
+         avg(revenue_per_session) AS revenue, avg(days_active) AS days
+  FROM labelled GROUP BY segment_id
+)
+"""
+
+_PROFILE_COLUMNS = (
+    'segment_id, n AS "count", round(visits, 6) AS avg_sessions, round(cr, 6) AS avg_cr, '
+    "round(revenue, 6) AS avg_revenue, round(days, 6) AS avg_days_active"
+)
+
+_SCALED = ", ".join(
+    f"round((CAST({x} AS DOUBLE) - avg(CAST({x} AS DOUBLE)) OVER ()) / stddev_pop(CAST({x} AS DOUBLE)) OVER (), 6) AS {name}"
+    for name, x in {
+        "total_sessions": "total_sessions",
+        "conversion_rate": "conversion_rate",
+        "revenue_per_session": "revenue_per_session",
+        "avg_steps": "avg_steps",
+        "days_active": "days_active",
+        "device_mobile": "(CASE WHEN primary_device = 'mobile' THEN 1 ELSE 0 END)",
+        "device_desktop": "(CASE WHEN primary_device = 'desktop' THEN 1 ELSE 0 END)",
+    }.items()
+)
+
+SQL = {
+    "primary_device": query(
+        "SELECT user_id, device AS primary_device, n AS device_sessions FROM favourites", _USERS
+    ),
+    "user_features": query(
+        """
+SELECT user_id, total_sessions, total_conversions, round(total_revenue, 2) AS total_revenue,
+       round(avg_steps, 6) AS avg_steps, round(avg_page_load_ms, 6) AS avg_page_load_ms, days_active,
+       round(conversion_rate, 6) AS conversion_rate, round(revenue_per_session, 6) AS revenue_per_session,
+       primary_device,
+       CAST(primary_device = 'mobile' AS INTEGER) AS device_mobile,
+       CAST(primary_device = 'desktop' AS INTEGER) AS device_desktop,
+       CAST(primary_device = 'tablet' AS INTEGER) AS device_tablet
+FROM users""",
+        _USERS,
+    ),
+    "scaled_features": query(f"SELECT user_id, {_SCALED} FROM users", _USERS),
+    "segment_profile": query(f"SELECT {_PROFILE_COLUMNS} FROM profile", _USERS, _LABELLED),
+    "persona_rules": query(
+        f"""
+SELECT {_PROFILE_COLUMNS},
+       CASE WHEN cr > 0.06 AND revenue > 60 THEN 'High-Value Loyal Buyers'
+            WHEN cr > 0.03 AND visits > 3 THEN 'Engaged Regular Shoppers'
+            WHEN cr < 0.01 AND visits < 2 THEN 'One-Time Browsers'
+            ELSE 'Window Shoppers (Retargetable)' END AS segment_name
+FROM profile""",
+        _USERS,
+        _LABELLED,
+    ),
+}

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionscope.operators import diagnosis, launch, northstar
+from sessionscope.functions.rates import round_columns
+from sessionscope.operators import anomaly, cohorts, diagnosis, launch, measures, northstar, quality, segments
 from sessionscope.sources.events import load_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +19,7 @@ EXACT = {"money_dp": 4}
 DROP = {"drop_date": "2024-01-10"}
 LAUNCH = {"launch_date": "2024-01-21", "window_days": 10, **DROP}
 RANGE = {"days": ("2024-01-01", "2024-01-30"), "excluded": ("2024-01-10", "2024-01-12")}
+TRACKER = {"launch_date": "2024-01-21", "half_window": 9}
 MEANS = {"money_dp": 4, "load_dp": 4}
 
 
@@ -26,6 +29,46 @@ def _split_columns(sessions: DataFrame, **params) -> DataFrame:
     return launch.launch_split(sessions, **params).select(*kept)
 
 
+def _sample_columns(sessions: DataFrame, **params) -> DataFrame:
+    kept = ("session_id", "user_id", "date", "device", "converted", "revenue")
+    return quality.sample_sessions(sessions, **params).select(*kept)
+
+
+def _user_features(sessions: DataFrame) -> DataFrame:
+    digits = {"total_revenue": 2, "avg_steps": 6, "avg_page_load_ms": 6, "conversion_rate": 6, "revenue_per_session": 6}
+    return round_columns(segments.user_features(sessions), digits)
+
+
+def _scaled_features(sessions: DataFrame) -> DataFrame:
+    scaled = segments.scaled_features(segments.user_features(sessions))
+    return round_columns(scaled, {name: 6 for name in segments.FEATURES})
+
+
+def _rule_labels(sessions: DataFrame) -> DataFrame:
+    """Fixed labels by rule, so that profiles can be compared exactly."""
+    conversions, visits = F.col("total_conversions"), F.col("total_sessions")
+    label = (
+        F.when(F.col("revenue_per_session") > 60, 4)
+        .when((conversions == 0) & (visits == 1), 0)
+        .when(conversions == 0, 1)
+        .when(visits <= 3, 2)
+        .otherwise(3)
+    )
+    return segments.user_features(sessions).withColumn("segment_id", label)
+
+
+PROFILE_DIGITS = {"avg_sessions": 6, "avg_cr": 6, "avg_revenue": 6, "avg_days_active": 6}
+
+
+def _segment_profile(sessions: DataFrame) -> DataFrame:
+    return round_columns(segments.segment_profile(_rule_labels(sessions)), PROFILE_DIGITS)
+
+
+def _persona_rules(sessions: DataFrame) -> DataFrame:
+    named = segments.persona_rules(segments.segment_profile(_rule_labels(sessions)))
+    return round_columns(named, PROFILE_DIGITS)
+
+
 _OPERATORS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "north_star": (northstar.north_star, EXACT),
     "north_star_daily_stats": (northstar.north_star_daily_stats, {}),
@@ -63,6 +106,36 @@ _OPERATORS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "launch_recommendation": (launch.launch_recommendation, LAUNCH),
     "launch_side_effects": (launch.launch_side_effects, LAUNCH),
     "launch_report": (launch.launch_report, LAUNCH),
+    "daily_kpis": (anomaly.daily_kpis, {**MEANS, "ma_dp": 8}),
+    "anomaly_events_inclusive": (anomaly.anomaly_events_inclusive, {"z_threshold": 1.5}),
+    "launch_tracker": (anomaly.launch_tracker, {**TRACKER, "ma_dp": 8}),
+    "launch_tracker_sql": (
+        anomaly.launch_tracker_sql,
+        {"launch_date": "2024-01-21", "days": ("2024-01-12", "2024-01-30"), "ma_dp": 8},
+    ),
+    "weekly_digest": (anomaly.weekly_digest, {"z_threshold": 1.5, "digits": 6, **MEANS}),
+    "has_anomaly": (anomaly.has_anomaly, {"z_threshold": 1.5}),
+    "anomaly_status": (anomaly.anomaly_status, {**MEANS, "ma_dp": 8}),
+    "anomaly_events": (anomaly.anomaly_events, {}),
+    "driver_health": (anomaly.driver_health, {"category": "CAT_0", "steps_dp": 4, **MEANS}),
+    "measure_cr": (measures.measure_cr, {"by": ("device",), "digits": 8}),
+    "measure_rps": (measures.measure_rps, {"by": ("product_category",), "digits": 8}),
+    "measure_cr_vs_baseline": (measures.measure_cr_vs_baseline, {"digits": 8}),
+    "measure_cr_7d_calendar": (measures.measure_cr_7d_calendar, {"digits": 8}),
+    "measure_launch_lift": (measures.measure_launch_lift, {**TRACKER, "digits": 8}),
+    "session_calendar": (quality.session_calendar, {}),
+    "sample_sessions": (_sample_columns, {"n": 2500}),
+    "dataset_summary": (quality.dataset_summary, {"load_dp": 4}),
+    "session_invariants": (quality.session_invariants, {}),
+    "cohort_retention": (cohorts.cohort_retention, {"min_size": 100, "limit": 20}),
+    "cohort_days_since_first": (cohorts.cohort_days_since_first, {}),
+    "primary_device": (segments.primary_device, {}),
+    "user_features": (_user_features, {}),
+    "scaled_features": (_scaled_features, {}),
+    "segment_profile": (_segment_profile, {}),
+    "persona_rules": (_persona_rules, {}),
+    "user_segments": (segments.user_segments, {}),
+    "optimal_k": (segments.optimal_k, {}),
 }
 
 

@@ -36,6 +36,11 @@ def in_days(first: str | date, last: str | date) -> Column:
     return whole_days & F.col("date").between(date_lit(first), date_lit(last))
 
 
+def until_day(last: str | date) -> Column:
+    """Sessions up to and including ``last``."""
+    return (F.col("timestamp") < _midnight(shift(last, 1))) & (F.col("date") <= date_lit(last))
+
+
 def day_of(timestamp: Column) -> Column:
     return F.to_date(timestamp)
 
