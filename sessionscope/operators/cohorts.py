@@ -33,28 +33,33 @@ def cohort_retention(sessions: DataFrame, min_size: int = 50, limit: int = 30) -
     )
 
 
-def cohort_days_since_first(sessions: DataFrame, heavy_share: float = 0.001, salts: int = 64) -> DataFrame:
+def cohort_days_since_first(sessions: DataFrame, heavy_share: float = 0.001) -> DataFrame:
     """Every session with its user's first day and the days since then.
 
-    Users who own more than ``heavy_share`` of all rows number at most
-    ``1 / heavy_share``; that bound makes their list safe to broadcast.  Their
-    sessions are spread over ``salts`` join keys while everybody else joins on
-    the plain key, so one dominant user cannot fill one task.
+    Users who own more than ``heavy_share`` of all rows number less than
+    ``1 / heavy_share``.  That bound makes them safe to broadcast; their
+    sessions get the first day in place and travel on under a key of their own
+    session, so a dominant user spreads evenly.  Everybody else joins by user.
+    Both user lists read the same aggregation, whose exchange is reused.
     """
     known = sessions.where(F.col("user_id").isNotNull())
-    first = known.groupBy("user_id").agg(F.min("date").alias("first_date"), F.count("*").alias("_n"))
     total = known.agg(F.count("*").alias("_total"))
-    sized = first.crossJoin(F.broadcast(total)).withColumn(
-        "_heavy", F.col("_n") > F.col("_total") * F.lit(heavy_share)
+    first = (
+        known.groupBy("user_id")
+        .agg(F.min("date").alias("first_date"), F.count("*").alias("_n"))
+        .crossJoin(F.broadcast(total))
     )
-    heavy = sized.where("_heavy").select("user_id", F.lit(True).alias("_spread"))
-    salted = known.join(F.broadcast(heavy), "user_id", "left").withColumn(
-        "_salt",
-        F.when(F.col("_spread"), F.pmod(F.xxhash64("session_id"), F.lit(salts))).otherwise(0).cast("int"),
+    is_heavy = F.col("_n") > F.col("_total") * F.lit(heavy_share)
+    heavy = first.where(is_heavy).select("user_id", F.col("first_date").alias("_heavy_first"))
+    light = first.where(~is_heavy).select(F.col("user_id").alias("_key"), "first_date")
+    in_place = F.col("_heavy_first").isNotNull()
+    keyed = known.join(F.broadcast(heavy), "user_id", "left").withColumn(
+        "_key", F.when(in_place, F.concat(F.lit("~"), F.col("session_id"))).otherwise(F.col("user_id"))
     )
-    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    firsts = sized.select("user_id", "first_date", F.explode(copies).alias("_salt"))
-    return salted.join(firsts, ["user_id", "_salt"]).select(
+    dated = keyed.join(light, "_key", "left").withColumn(
+        "first_date", F.coalesce("_heavy_first", "first_date")
+    )
+    return dated.select(
         "session_id",
         "user_id",
         "first_date",

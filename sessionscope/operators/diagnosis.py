@@ -24,6 +24,9 @@ from sessionscope.schema import (
     SLICE_DIMENSIONS,
 )
 
+# Dimensions whose number of values is not fixed by the data model.
+WIDE_DIMENSIONS = ("location",)
+
 
 class DropWindow:
     """The days around a drop: baseline, the day before, the drop day, the drop window."""
@@ -174,8 +177,10 @@ def slice_category(sessions: DataFrame, **window) -> DataFrame:
 
 def _dimension_changes(sessions: DataFrame, w: DropWindow, dimensions) -> DataFrame:
     """Every value of every dimension that occurs on both sides, in one scan."""
+    alone = tuple(d for d in dimensions if d in WIDE_DIMENSIONS)
+    together = tuple(d for d in dimensions if d not in WIDE_DIMENSIONS)
     rollup = dimension_rollup(
-        sessions.where(w.through_drop_day()), tuple(dimensions), total=False, **_period_sums(w)
+        sessions.where(w.through_drop_day()), together, alone, total=False, **_period_sums(w)
     )
     both = F.col("key").isNotNull() & (F.col("n_base") > 0) & (F.col("n_drop") > 0)
     return rollup.where(both)
@@ -386,8 +391,8 @@ def business_impact_missed(sessions: DataFrame, money_dp: int = 2, **window) ->
 def diagnosis_report(sessions: DataFrame, alpha: float = ALPHA, factor: float = 1.5, **window) -> DataFrame:
     """All five steps as ``(step, section, metric, value)`` text rows.
 
-    One grouping-sets pass over the drop window carries every sum the steps
-    need; the rest works on its few dozen rows.
+    One rollup pass over the drop window carries every sum the steps need; the
+    rest works on its few dozen rows.
     """
     w = DropWindow(**window)
     previous = w.is_previous()

@@ -22,7 +22,7 @@ from sessionscope.functions.stats import (
     welch_df,
     welch_t,
 )
-from sessionscope.operators.rollup import dimension_rollup
+from sessionscope.operators.rollup import dimension_rollup, grouping_rollup
 from sessionscope.schema import (
     ALPHA,
     DEVICES,
@@ -408,7 +408,7 @@ def launch_report(
     three sections, every large enough segment row into one line of the last.
     """
     w = LaunchWindow(**window)
-    rollup = dimension_rollup(w.sessions(sessions), ("device", "traffic_source"), **_moments(w))
+    rollup = grouping_rollup(w.sessions(sessions), ("device", "traffic_source"), **_moments(w))
     total = F.col("dimension") == "all"
     kept = rollup.where(total | _segment_is_large(devices, device_gate, source_gate))
     tested = _with_tests(kept)

@@ -92,10 +92,9 @@ def driver_page_experience(sessions: DataFrame, load_dp: int = 1) -> DataFrame:
 
 def _correlation(sessions: DataFrame) -> DataFrame:
     both = F.col("page_load_ms").isNotNull() & F.col("converted").isNotNull()
-    r = F.when(
-        (F.stddev_pop("page_load_ms") > 0) & (F.stddev_pop("converted") > 0),
-        F.corr("page_load_ms", "converted"),
-    )
+    # `corr` raises on a constant column in ANSI mode; this form gives null.
+    spread = F.stddev_pop("page_load_ms") * F.stddev_pop("converted")
+    r = ratio(F.covar_pop("page_load_ms", "converted"), spread)
     return sessions.where(both).agg(r.alias("r"), F.count("*").alias("n"))
 
 
@@ -175,14 +174,15 @@ def driver_price(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
         n=F.count("*"),
         c=F.sum("converted"),
         revenue=F.sum("revenue"),
-        aov=mean_if("revenue", F.col("converted") == 1),
+        sold=sum_if("revenue", F.col("converted") == 1),
     )
+    aov = ratio(F.col("sold"), F.col("c"))
     rps = ratio(F.col("revenue"), F.col("n"))
     dim = F.col("dimension")
     by_category = dim == "product_category"
     value = (
         F.when(dim == "all", F.round(rps, money_dp))
-        .when(by_category, F.round("aov", money_dp))
+        .when(by_category, F.round(aov, money_dp))
         .otherwise(pct(ratio(F.col("c"), F.col("n")), 3))
     )
     metric = (
@@ -191,7 +191,7 @@ def driver_price(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
         .otherwise("traffic_source_cr")
     )
     status = F.when(dim == "all", mark(rps >= MIN_REVENUE_PER_SESSION))
-    return rollup.where(~by_category | F.col("aov").isNotNull()).select(
+    return rollup.where(~by_category | aov.isNotNull()).select(
         metric.alias("metric"),
         F.when(dim != "all", F.col("key")).alias("key"),
         value.alias("value"),
@@ -272,19 +272,20 @@ def _entry(driver: str, metric: str, key: Column | str, value: Column, status: C
 def metrics_tree(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
     """North star and all drivers as ``(driver, metric, key, value, status)``.
 
-    One grouping-sets pass feeds every sum and rate, days included.  Two more
+    One rollup pass feeds every sum and rate, days included.  Two more
     narrow passes read ``(page_load_ms, converted)`` for the correlation and
     ``(user_id, converted)`` for the visitor split.
     """
     rollup = dimension_rollup(
         sessions,
-        ("date", "device", "traffic_source", "product_category", "steps_completed"),
+        together=("device", "traffic_source", "product_category", "steps_completed"),
+        alone=("date",),
         n=F.count("*"),
         c=F.sum("converted"),
         revenue=F.sum("revenue"),
         load=F.sum("page_load_ms"),
         bounced=F.sum("bounced"),
-        aov=mean_if("revenue", F.col("converted") == 1),
+        sold=sum_if("revenue", F.col("converted") == 1),
     )
     everything = Window.partitionBy()
     dim, key = F.col("dimension"), F.col("key")
@@ -341,7 +342,7 @@ def metrics_tree(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
         _entry(discovery, "traffic_mix", key, share),
     )
     category_entries = F.array(
-        _entry(price, "category_aov", key, F.round("aov", money_dp)),
+        _entry(price, "category_aov", key, F.round(ratio(F.col("sold"), F.col("c")), money_dp)),
         _entry(quality, "category_conversion_rates", key, pct(rate, 3)),
     )
     step_entries = F.array(_entry(quality, "funnel_steps_distribution", key, share))

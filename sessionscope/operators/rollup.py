@@ -1,4 +1,4 @@
-"""Totals and per-dimension totals in one pass over the sessions."""
+"""Totals and per-dimension totals from one pass over the sessions."""
 
 from __future__ import annotations
 
@@ -6,25 +6,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _label(dimension: str, key: Column) -> Column:
+    return F.struct(F.lit(dimension).alias("dimension"), key.cast("string").alias("key"))
+
+
 def dimension_rollup(
-    sessions: DataFrame, dimensions: tuple[str, ...], total: bool = True, **aggregates: Column
+    sessions: DataFrame,
+    together: tuple[str, ...],
+    alone: tuple[str, ...] = (),
+    total: bool = True,
+    **sums: Column,
 ) -> DataFrame:
-    """``(dimension, key, *aggregates)``: one row per value of each dimension.
+    """``(dimension, key, *sums)``: one row per value of each dimension.
 
-    ``dimension = 'all'`` is the grand total.  The grouping sets share one
-    scan, and the groups number the *sum* of the dimensions' cardinalities, so
-    partial aggregation leaves next to nothing to shuffle whatever the skew.
+    ``dimension = 'all'`` is the grand total.  ``sums`` must be sums or counts.
+
+    Sessions first collapse to one cell per combination of the dimensions
+    ``together`` (meant for small domains), and the cells then roll up to the
+    single dimensions: the fact rows are hashed once instead of once per
+    dimension.  Dimensions that would multiply the cells, such as days or
+    places, go into ``alone`` and get a grouping set of their own.  Either way
+    map-side aggregation leaves a few rows per task to shuffle, whatever the skew.
     """
-    sets = [[F.col(d)] for d in dimensions] + ([[]] if total else [])
+    totals = [column.alias(name) for name, column in sums.items()]
+    labels = F.array(
+        *[_label(d, F.col(d)) for d in together], *([_label("all", F.lit(None))] if total else [])
+    )
+    if alone:
+        sets = [[F.col(d)] for d in alone] + [[F.col(d) for d in together]]
+        cells = sessions.groupingSets(sets, *[F.col(d) for d in (*alone, *together)]).agg(
+            *totals, *[F.grouping(d).alias(f"_no_{d}") for d in alone]
+        )
+        choice = F
+        for d in alone:
+            choice = choice.when(F.col(f"_no_{d}") == 0, F.array(_label(d, F.col(d))))
+        labels = choice.otherwise(labels)
+    else:
+        cells = sessions.groupBy(*together).agg(*totals)
+    return (
+        cells.select(F.inline(labels), *sums)
+        .groupBy("dimension", "key")
+        .agg(*[F.sum(name).alias(name) for name in sums])
+    )
+
+
+def grouping_rollup(sessions: DataFrame, dimensions: tuple[str, ...], **aggregates: Column) -> DataFrame:
+    """The same shape for aggregates that do not add up, such as variances."""
+    sets = [[F.col(d)] for d in dimensions] + [[]]
     grouped = sessions.groupingSets(sets, *[F.col(d) for d in dimensions]).agg(
-        *[expr.alias(name) for name, expr in aggregates.items()],
+        *[column.alias(name) for name, column in aggregates.items()],
         *[F.grouping(d).alias(f"_no_{d}") for d in dimensions],
     )
-    dimension, key = F, F
+    label = F
     for d in dimensions:
-        here = F.col(f"_no_{d}") == 0
-        dimension = dimension.when(here, d)
-        key = key.when(here, F.col(d).cast("string"))
-    return grouped.select(
-        dimension.otherwise("all").alias("dimension"), key.alias("key"), *aggregates
-    )
+        label = label.when(F.col(f"_no_{d}") == 0, _label(d, F.col(d)))
+    labelled = grouped.withColumn("_label", label.otherwise(_label("all", F.lit(None))))
+    return labelled.select("_label.*", *aggregates)

@@ -88,8 +88,8 @@ def user_features(sessions: DataFrame, devices: tuple = DEVICES) -> DataFrame:
     )
 
 
-def _filled(features: DataFrame) -> list[Column]:
-    return [F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias(name) for name in FEATURES]
+def _filled() -> list[Column]:
+    return [_filled_column(name).alias(name) for name in FEATURES]
 
 
 def _scale_row(filled: DataFrame) -> DataFrame:
@@ -99,10 +99,13 @@ def _scale_row(filled: DataFrame) -> DataFrame:
     )
 
 
-def _scaled(name: str, mean: Column, std: Column) -> Column:
+def _filled_column(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+
+
+def _scaled(value: Column, mean: Column, std: Column) -> Column:
     """Zero mean, unit population spread; a constant feature stays at zero."""
-    spread = F.when(std > 0, std).otherwise(1.0)
-    return ((F.col(name) - mean) / spread).alias(name)
+    return (value - mean) / F.when(std > 0, std).otherwise(1.0)
 
 
 def scaled_features(features: DataFrame) -> DataFrame:
@@ -110,11 +113,14 @@ def scaled_features(features: DataFrame) -> DataFrame:
 
     The statistics are one row, so attaching them broadcasts one row.
     """
-    filled = features.select("user_id", *_filled(features))
+    filled = features.select("user_id", *_filled())
     joined = filled.crossJoin(F.broadcast(_scale_row(filled)))
     return joined.select(
         "user_id",
-        *[_scaled(name, F.col(f"_mean_{name}"), F.col(f"_std_{name}")) for name in FEATURES],
+        *[
+            _scaled(F.col(name), F.col(f"_mean_{name}"), F.col(f"_std_{name}")).alias(name)
+            for name in FEATURES
+        ],
     )
 
 
@@ -183,22 +189,19 @@ class SegmentModel:
     def label(self, features: DataFrame) -> DataFrame:
         """``features`` with ``segment_id``; row by row, no shuffle."""
         constants = zip(FEATURES, self.means, self.stds)
-        scaled = [
-            _scaled(name, F.lit(mean), F.lit(std)).alias(f"_x_{name}") for name, mean, std in constants
-        ]
-        filled = {name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in FEATURES}
-        inputs = [f"_x_{name}" for name in FEATURES]
-        assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(
-            features.withColumns(filled).select(*features.columns, *scaled)
-        )
-        rank = {cluster: position for position, cluster in enumerate(self._order())}
-        number = F.element_at(
-            F.create_map(*[F.lit(v) for pair in rank.items() for v in pair]), F.col("prediction")
+        scaled = {
+            f"_x_{name}": _scaled(_filled_column(name), F.lit(mean), F.lit(std))
+            for name, mean, std in constants
+        }
+        assembled = VectorAssembler(inputCols=list(scaled), outputCol="features").transform(
+            features.withColumns(scaled)
         )
+        # Position of each cluster id in the centre order; never null.
+        number = F.array_position(F.array(*[F.lit(i) for i in self._order()]), F.col("prediction"))
         return (
             self.model.transform(assembled)
-            .withColumn("segment_id", number)
-            .drop("features", "prediction", *inputs)
+            .withColumn("segment_id", (number - 1).cast("int"))
+            .drop("features", "prediction", *scaled)
         )
 
 
@@ -219,15 +222,17 @@ class _Training:
 
     def __init__(self, sessions: DataFrame, max_users: int, seed: int):
         use_checkpoint_dir(sessions.sparkSession)
-        raw = training_users(sessions, max_users, seed)
         # A lost executor rereads the checkpoint instead of the fact table.
-        self.users = raw.select("user_id", *_filled(raw)).checkpoint()
+        self.users = training_users(sessions, max_users, seed).select("user_id", *_filled()).checkpoint()
         row = _scale_row(self.users).first()
         self.means = [row[f"_mean_{name}"] or 0.0 for name in FEATURES]
         self.stds = [row[f"_std_{name}"] or 0.0 for name in FEATURES]
         scaled = self.users.select(
             "user_id",
-            *[_scaled(n, F.lit(m), F.lit(s)) for n, m, s in zip(FEATURES, self.means, self.stds)],
+            *[
+                _scaled(F.col(n), F.lit(m), F.lit(s)).alias(n)
+                for n, m, s in zip(FEATURES, self.means, self.stds)
+            ],
         )
         self.vectors = (
             VectorAssembler(inputCols=list(FEATURES), outputCol="features")
@@ -250,7 +255,7 @@ def fit_segments(
     starts: int = 10,
     max_users: int = 100_000,
     max_iter: int = 20,
-    threads: int = 4,
+    threads: int = 8,
 ) -> SegmentModel:
     """Best of several K-Means starts on at most ``max_users`` users.
 
@@ -306,7 +311,7 @@ def optimal_k(
     starts: int = 10,
     max_users: int = 100_000,
     max_iter: int = 20,
-    threads: int = 4,
+    threads: int = 8,
 ) -> DataFrame:
     """Silhouette (squared Euclidean) per k; the best k is marked.
 
