@@ -41,30 +41,21 @@ def until_day(last: str | date) -> Column:
     return (F.col("timestamp") < _midnight(shift(last, 1))) & (F.col("date") <= date_lit(last))
 
 
-def day_of(timestamp: Column) -> Column:
-    return F.to_date(timestamp)
-
-
 def week_start(day: Column) -> Column:
     """Monday of the week; date arithmetic only, so no session time zone."""
     return F.date_sub(day, F.weekday(day))
 
 
-def week_label(day: Column) -> Column:
-    """``Monday/Sunday`` as two ISO dates."""
-    monday = week_start(day)
-    return F.concat_ws("/", monday.cast("string"), F.date_add(monday, 6).cast("string"))
-
-
-def month_label(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM")
-
+def calendar_sql(timestamp: str) -> dict[str, str]:
+    """The derived columns of a timestamp as SQL text.
 
-def calendar_columns(timestamp: Column) -> dict[str, Column]:
-    day = day_of(timestamp)
+    ``week`` is ``Monday/Sunday`` in ISO dates, ``month`` is ``yyyy-MM``.
+    """
+    day = f"to_date({timestamp})"
+    monday = f"date_sub({day}, weekday({day}))"
     return {
         "date": day,
-        "week": week_label(day),
-        "month": month_label(day),
-        "hour": F.hour(timestamp),
+        "week": f"concat_ws('/', CAST({monday} AS STRING), CAST(date_add({monday}, 6) AS STRING))",
+        "month": f"date_format({day}, 'yyyy-MM')",
+        "hour": f"hour({timestamp})",
     }

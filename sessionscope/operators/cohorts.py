@@ -42,6 +42,8 @@ def cohort_days_since_first(sessions: DataFrame, heavy_share: float = 0.001) ->
     session, so a dominant user spreads evenly.  Everybody else joins by user.
     Both user lists read the same aggregation, whose exchange is reused.
     """
+    if heavy_share < 1e-4:
+        raise ValueError("heavy_share below 1e-4 would broadcast more than 10,000 users")
     known = sessions.where(F.col("user_id").isNotNull())
     total = known.agg(F.count("*").alias("_total"))
     first = (

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionscope.functions.calendar import calendar_columns
+from sessionscope.functions.calendar import calendar_sql
 from sessionscope.functions.rates import count_if, pct
 
 
 def session_calendar(sessions: DataFrame) -> DataFrame:
     """Day, week label, month label and hour of every session."""
-    return sessions.select(
-        "session_id",
-        "timestamp",
-        *[column.alias(name) for name, column in calendar_columns(F.col("timestamp")).items()],
-    )
+    calendar = [f"{text} AS {name}" for name, text in calendar_sql("timestamp").items()]
+    return sessions.selectExpr("session_id", "timestamp", *calendar)
 
 
 def dataset_summary(sessions: DataFrame, load_dp: int = 0) -> DataFrame:

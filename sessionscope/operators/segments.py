@@ -153,20 +153,24 @@ def persona_rules(profile: DataFrame) -> DataFrame:
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go where the cluster says; a local session gets its own folder."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured or context.getCheckpointDir():
+    if context.getCheckpointDir():
         return
-    if not context.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="sessionscope-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
+        folder = tempfile.mkdtemp(prefix="sessionscope-checkpoint-")
+    context.setCheckpointDir(folder)
 
 
-def training_users(sessions: DataFrame, max_users: int, seed: int = 42) -> DataFrame:
-    """Features of ``min(max_users, users)`` seeded users.
+def training_users(sessions: DataFrame, max_users: int | None, seed: int = 42) -> DataFrame:
+    """Features of ``min(max_users, users)`` seeded users, or of all with ``None``.
 
     The cut is taken on user ids, so sessions of other users drop out before
     the feature aggregation.
     """
+    if max_users is None:
+        return user_features(sessions)
     known = sessions.where(F.col("user_id").isNotNull())
     ids = known.select("user_id").distinct()
     cut = sample_cut(ids, max_users, "user_id", seed)
@@ -220,7 +224,7 @@ def _best_of(vectors: DataFrame, k: int, seeds: range, max_iter: int, threads: i
 class _Training:
     """The standardised training vectors, cut off from the session lineage."""
 
-    def __init__(self, sessions: DataFrame, max_users: int, seed: int):
+    def __init__(self, sessions: DataFrame, max_users: int | None, seed: int):
         use_checkpoint_dir(sessions.sparkSession)
         # A lost executor rereads the checkpoint instead of the fact table.
         self.users = training_users(sessions, max_users, seed).select("user_id", *_filled()).checkpoint()
@@ -253,14 +257,15 @@ def fit_segments(
     k: int = 4,
     seed: int = 42,
     starts: int = 10,
-    max_users: int = 100_000,
+    max_users: int | None = 100_000,
     max_iter: int = 20,
-    threads: int = 8,
+    threads: int = 10,
 ) -> SegmentModel:
     """Best of several K-Means starts on at most ``max_users`` users.
 
-    Fitting costs the same for any table size; labelling is left to
-    ``SegmentModel.label``, which covers every user.
+    With the cap, fitting costs the same for any table size; without it every
+    start iterates over all users.  Labelling is left to ``SegmentModel.label``,
+    which covers every user either way.
     """
     with _Training(sessions, max_users, seed) as data:
         model = _best_of(data.vectors, k, range(seed, seed + starts), max_iter, threads)
@@ -269,8 +274,7 @@ def fit_segments(
 
 def label_users(sessions: DataFrame, model: SegmentModel, max_users: int | None = None, seed: int = 42) -> DataFrame:
     """Labelled features of all users, or of the training sample only."""
-    users = user_features(sessions) if max_users is None else training_users(sessions, max_users, seed)
-    return model.label(users)
+    return model.label(training_users(sessions, max_users, seed))
 
 
 def user_segments(
@@ -278,7 +282,7 @@ def user_segments(
     k: int = 4,
     seed: int = 42,
     starts: int = 10,
-    max_users: int = 100_000,
+    max_users: int | None = 100_000,
     only_sample: bool = False,
 ) -> DataFrame:
     """Every user with segment, persona name and the exported features.
@@ -309,9 +313,9 @@ def optimal_k(
     ks: range = range(2, 8),
     seed: int = 42,
     starts: int = 10,
-    max_users: int = 100_000,
+    max_users: int | None = 100_000,
     max_iter: int = 20,
-    threads: int = 8,
+    threads: int = 10,
 ) -> DataFrame:
     """Silhouette (squared Euclidean) per k; the best k is marked.
 

@@ -2,61 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from sessionscope.functions.calendar import calendar_columns
+from sessionscope.functions.calendar import calendar_sql
 from sessionscope.sources.sessions import read_parquet
 
-# Funnel depth of each event type.
-FUNNEL_STEPS = {"view": 1, "click": 2, "signup": 3, "error": 4, "purchase": 5}
-
-# Upper bounds (exclusive) of the hash bands.
-DEVICE_BANDS = ((62, "mobile"), (92, "desktop"))
-SOURCE_BANDS = (
-    (30, "organic_search"),
-    (52, "paid_search"),
-    (70, "social"),
-    (82, "email"),
-    (92, "direct"),
-)
-
-
-def _banded(value: Column, bands: tuple, otherwise: str) -> Column:
-    label = F
-    for bound, name in bands:
-        label = label.when(value < bound, name)
-    return label.otherwise(otherwise)
-
-
-def _padded(prefix: str, number: Column, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
+EVENT_SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
+
+# The session columns in terms of the event columns.
+SESSION_COLUMNS = {
+    "session_id": "concat('S', lpad(CAST(event_id AS STRING), 8, '0'))",
+    "user_id": "concat('U', lpad(CAST(user_id * 40 + event_id % 40 AS STRING), 7, '0'))",
+    "timestamp": "ts",
+    "device": """CASE WHEN CAST(get_json_object(props, '$.k') AS INT) < 62 THEN 'mobile'
+                      WHEN CAST(get_json_object(props, '$.k') AS INT) < 92 THEN 'desktop'
+                      ELSE 'tablet' END""",
+    "location": "concat('CITY_', CAST(user_id % 10 AS STRING))",
+    "traffic_source": """CASE WHEN (event_id * 37) % 100 < 30 THEN 'organic_search'
+                              WHEN (event_id * 37) % 100 < 52 THEN 'paid_search'
+                              WHEN (event_id * 37) % 100 < 70 THEN 'social'
+                              WHEN (event_id * 37) % 100 < 82 THEN 'email'
+                              WHEN (event_id * 37) % 100 < 92 THEN 'direct'
+                              ELSE 'referral' END""",
+    "product_category": "concat('CAT_', CAST((event_id * 7 + user_id) % 6 AS STRING))",
+    "steps_completed": """CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3
+                                          WHEN 'error' THEN 4 WHEN 'purchase' THEN 5 END""",
+    "converted": "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END",
+    "revenue": "CASE WHEN event_type = 'purchase' THEN value ELSE 0D END",
+    "page_load_ms": "400 + 30 * value",
+    "bounced": "CASE WHEN event_type = 'view' THEN 1 ELSE 0 END",
+    **calendar_sql("ts"),
+}
 
 
 def sessions_from_events(events: DataFrame) -> DataFrame:
     """A pure projection: the columns a query does not use are never computed."""
-    event_id, user_id, value = F.col("event_id"), F.col("user_id"), F.col("value")
-    purchase = F.col("event_type") == "purchase"
-    steps = F
-    for name, depth in FUNNEL_STEPS.items():
-        steps = steps.when(F.col("event_type") == name, depth)
-    band = F.get_json_object("props", "$.k").cast("int")
-    return events.select(
-        _padded("S", event_id, 8).alias("session_id"),
-        _padded("U", user_id * 40 + event_id % 40, 7).alias("user_id"),
-        F.col("ts").alias("timestamp"),
-        _banded(band, DEVICE_BANDS, "tablet").alias("device"),
-        F.concat(F.lit("CITY_"), (user_id % 10).cast("string")).alias("location"),
-        _banded((event_id * 37) % 100, SOURCE_BANDS, "referral").alias("traffic_source"),
-        F.concat(F.lit("CAT_"), ((event_id * 7 + user_id) % 6).cast("string")).alias("product_category"),
-        steps.alias("steps_completed"),
-        F.when(purchase, 1).otherwise(0).alias("converted"),
-        F.when(purchase, value).otherwise(0.0).alias("revenue"),
-        (400 + 30 * value).alias("page_load_ms"),
-        F.when(F.col("event_type") == "view", 1).otherwise(0).alias("bounced"),
-        *[column.alias(name) for name, column in calendar_columns(F.col("ts")).items()],
-    )
+    return events.selectExpr(*[f"{text} AS {name}" for name, text in SESSION_COLUMNS.items()])
 
 
 def load_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions_from_events(read_parquet(spark, f"{sf_dir}/events.parquet"))
+    return sessions_from_events(read_parquet(spark, f"{sf_dir}/events.parquet", EVENT_SCHEMA))

@@ -7,14 +7,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionscope.functions.calendar import calendar_columns
+from sessionscope.functions.calendar import calendar_sql
 from sessionscope.schema import CALENDAR_COLUMNS, SESSION_SCHEMA
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet scan whose missing input is reported in plain words."""
+def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A Parquet scan whose missing input is reported in plain words.
+
+    A known ``schema`` saves the pass over the file footers.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return spark.read.parquet(path)
+        return reader.parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"No session data at {path!r}: write the table first.") from error
@@ -37,19 +41,19 @@ def coerce_sessions(df: DataFrame) -> DataFrame:
     ]
     if missing:
         raise ValueError(f"Session data lacks the columns {missing}")
-    timestamp = _as_timestamp(F.col("timestamp"), types["timestamp"])
-    derived = calendar_columns(timestamp)
+    df = df.withColumn("timestamp", _as_timestamp(F.col("timestamp"), types["timestamp"]))
+    derived = calendar_sql("timestamp")
 
     def column(field: T.StructField) -> Column:
         if field.name == "timestamp":
-            value = timestamp
+            value = F.col("timestamp")
         elif field.name == "date" and isinstance(types.get("date"), (T.TimestampType, T.TimestampNTZType)):
             value = F.to_date("date")
         elif field.name in types:
             same = types[field.name] == field.dataType
             value = F.col(field.name) if same else F.col(field.name).cast(field.dataType)
         else:
-            value = derived[field.name]
+            value = F.expr(derived[field.name])
         return value.alias(field.name)
 
     return df.select([column(field) for field in SESSION_SCHEMA.fields])

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.functions.calendar import calendar_columns
+from sessionscope.functions.calendar import calendar_sql
 from sessionscope.schema import SESSION_SCHEMA
 
 DEFAULTS = {
@@ -38,7 +38,7 @@ def sessions_of(spark: SparkSession, rows: list[dict]) -> DataFrame:
     ]
     data = [tuple(row[f.name] for f in stored) for row in full]
     df = spark.createDataFrame(data, schema)
-    return df.withColumns(calendar_columns(F.col("timestamp")))
+    return df.selectExpr("*", *[f"{text} AS {name}" for name, text in calendar_sql("timestamp").items()])
 
 
 def sessions_per_day(spark: SparkSession, days: list[tuple]) -> DataFrame:
