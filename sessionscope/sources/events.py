@@ -9,20 +9,24 @@ from sessionscope.sources.sessions import read_parquet
 
 EVENT_SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
-# The session columns in terms of the event columns.
+# Two numbers that several columns need, parsed once per row.
+HELPERS = {
+    "device_band": "CAST(get_json_object(props, '$.k') AS INT)",
+    "source_band": "(event_id * 37) % 100",
+}
+
+# The session columns in terms of the event columns and the helpers.
 SESSION_COLUMNS = {
     "session_id": "concat('S', lpad(CAST(event_id AS STRING), 8, '0'))",
     "user_id": "concat('U', lpad(CAST(user_id * 40 + event_id % 40 AS STRING), 7, '0'))",
     "timestamp": "ts",
-    "device": """CASE WHEN CAST(get_json_object(props, '$.k') AS INT) < 62 THEN 'mobile'
-                      WHEN CAST(get_json_object(props, '$.k') AS INT) < 92 THEN 'desktop'
-                      ELSE 'tablet' END""",
+    "device": "CASE WHEN device_band < 62 THEN 'mobile' WHEN device_band < 92 THEN 'desktop' ELSE 'tablet' END",
     "location": "concat('CITY_', CAST(user_id % 10 AS STRING))",
-    "traffic_source": """CASE WHEN (event_id * 37) % 100 < 30 THEN 'organic_search'
-                              WHEN (event_id * 37) % 100 < 52 THEN 'paid_search'
-                              WHEN (event_id * 37) % 100 < 70 THEN 'social'
-                              WHEN (event_id * 37) % 100 < 82 THEN 'email'
-                              WHEN (event_id * 37) % 100 < 92 THEN 'direct'
+    "traffic_source": """CASE WHEN source_band < 30 THEN 'organic_search'
+                              WHEN source_band < 52 THEN 'paid_search'
+                              WHEN source_band < 70 THEN 'social'
+                              WHEN source_band < 82 THEN 'email'
+                              WHEN source_band < 92 THEN 'direct'
                               ELSE 'referral' END""",
     "product_category": "concat('CAT_', CAST((event_id * 7 + user_id) % 6 AS STRING))",
     "steps_completed": """CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3
@@ -37,7 +41,8 @@ SESSION_COLUMNS = {
 
 def sessions_from_events(events: DataFrame) -> DataFrame:
     """A pure projection: the columns a query does not use are never computed."""
-    return events.selectExpr(*[f"{text} AS {name}" for name, text in SESSION_COLUMNS.items()])
+    helped = events.selectExpr("*", *[f"{text} AS {name}" for name, text in HELPERS.items()])
+    return helped.selectExpr(*[f"{text} AS {name}" for name, text in SESSION_COLUMNS.items()])
 
 
 def load_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
