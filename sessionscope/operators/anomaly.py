@@ -10,16 +10,24 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.calendar import as_date, date_lit, in_days, shift, until_day
 from sessionscope.functions.rates import count_if, mean_if, pct, ratio
-from sessionscope.schema import (
+from sessionscope.labels import (
     ANOMALY_FLAG,
+    AT_RISK,
     CR_ALERT,
+    DROP,
+    HEALTHY,
+    NO_ALERT,
+    POST_LAUNCH,
+    PRE_LAUNCH,
+    RPS_ALERT,
+    SPIKE,
+)
+from sessionscope.schema import (
     LAUNCH_DATE,
     MAX_BOUNCE_RATE,
     MAX_LOAD_MS,
     MIN_CONVERSION_RATE,
-    NO_ALERT,
     ROLLING_WINDOW,
-    RPS_ALERT,
     TRACKER_HALF_WINDOW,
     Z_THRESHOLD,
 )
@@ -125,7 +133,7 @@ def tracker_of(kpis: DataFrame, launch_date=LAUNCH_DATE, half_window: int = TRAC
         "conversion_rate_7d_ma",
         "sessions",
         "total_revenue",
-        F.when(F.col("date") < date_lit(launch), "pre_launch").otherwise("post_launch").alias("period"),
+        F.when(F.col("date") < date_lit(launch), PRE_LAUNCH).otherwise(POST_LAUNCH).alias("period"),
     )
 
 
@@ -265,7 +273,7 @@ def anomaly_events(sessions: DataFrame, z_threshold: float = Z_THRESHOLD) -> Dat
             "sessions",
             "cr_pct",
             z.alias("cr_z"),
-            F.when(z < 0, "DROP").otherwise("SPIKE").alias("anomaly_type"),
+            F.when(z < 0, DROP).otherwise(SPIKE).alias("anomaly_type"),
         )
         .orderBy("date")
     )
@@ -312,10 +320,10 @@ def driver_health(
         rate_where("traffic_source", "paid_search").alias("paid"),
         F.round(F.avg("steps_completed"), steps_dp).alias("steps"),
     )
-    healthy = F.lit("healthy")
-    slow = F.when(F.col("load") > MAX_LOAD_MS, "at_risk").otherwise(healthy)
-    bouncing = F.when(F.col("bounce") > MAX_BOUNCE_RATE, "at_risk").otherwise(healthy)
-    converting = F.when(F.col("cr") >= MIN_CONVERSION_RATE, healthy).otherwise("at_risk")
+    healthy = F.lit(HEALTHY)
+    slow = F.when(F.col("load") > MAX_LOAD_MS, AT_RISK).otherwise(healthy)
+    bouncing = F.when(F.col("bounce") > MAX_BOUNCE_RATE, AT_RISK).otherwise(healthy)
+    converting = F.when(F.col("cr") >= MIN_CONVERSION_RATE, healthy).otherwise(AT_RISK)
     page, price, discovery = "Page Experience", "Price & Value", "Discovery"
     rows = [
         ("Conversion Rate", "conversion_rate", pct(F.col("cr"), 3), "%", converting),
@@ -346,7 +354,7 @@ def driver_health_document(health: DataFrame) -> DataFrame:
     sub = F.struct("value", "unit", "status")
     own = F.col("metric").isin("conversion_rate", "page_load_speed")
     return health.groupBy(F.col("driver").alias("name")).agg(
-        F.coalesce(F.max(F.when(own, F.col("status"))), F.lit("healthy")).alias("status"),
+        F.coalesce(F.max(F.when(own, F.col("status"))), F.lit(HEALTHY)).alias("status"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", sub.alias("detail"))))).alias(
             "sub_drivers"
         ),

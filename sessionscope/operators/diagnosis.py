@@ -15,6 +15,16 @@ from sessionscope.functions.rates import (
     sum_if,
 )
 from sessionscope.functions.stats import normal_p, pooled_z
+from sessionscope.labels import (
+    BASELINE,
+    CATEGORY_CAUSE,
+    CATEGORY_HYPOTHESIS,
+    DROP_DAY,
+    LIKELY_NOISE,
+    MOBILE_CAUSE,
+    MOBILE_HYPOTHESIS,
+    REAL_DROP,
+)
 from sessionscope.operators.rollup import dimension_rollup
 from sessionscope.schema import (
     ALPHA,
@@ -76,7 +86,7 @@ def drop_verify_union(sessions: DataFrame, **window) -> DataFrame:
         )
 
     return totals.select(
-        F.inline(F.array(row("baseline_7d", "n_base", "c_base"), row("drop_day", "n_drop", "c_drop")))
+        F.inline(F.array(row(BASELINE, "n_base", "c_base"), row(DROP_DAY, "n_drop", "c_drop")))
     )
 
 
@@ -103,9 +113,7 @@ def _change_pct() -> Column:
 
 
 def _verdict(p_value: Column, alpha: float) -> Column:
-    return F.when(p_value < alpha, f"REAL DROP — statistically significant (p < {alpha})").otherwise(
-        "LIKELY NOISE — not statistically significant"
-    )
+    return F.when(p_value < alpha, REAL_DROP.format(alpha=alpha)).otherwise(LIKELY_NOISE)
 
 
 def _drop_z() -> Column:
@@ -296,23 +304,14 @@ def _is_mobile_issue(mobile: Column, desktop: Column, factor: float) -> Column:
 
 
 def _cause(mobile: Column, desktop: Column, category: Column, factor: float) -> Column:
-    return F.when(_is_mobile_issue(mobile, desktop, factor), "Mobile UX / Payment Gateway").otherwise(
-        F.concat(F.lit("Product Category: "), category)
+    return F.when(_is_mobile_issue(mobile, desktop, factor), MOBILE_CAUSE).otherwise(
+        F.concat(F.lit(CATEGORY_CAUSE), category)
     )
 
 
 def _hypothesis(mobile: Column, desktop: Column, category: Column, factor: float) -> Column:
-    mobile_text = F.format_string(
-        "MOBILE PAYMENT / UX ISSUE: Mobile CR dropped %.1f%% vs desktop %.1f%%. "
-        "Check: mobile payment SDK, app update, responsive layout breakage.",
-        mobile * 100,
-        desktop * 100,
-    )
-    category_text = F.format_string(
-        "CATEGORY-LEVEL ISSUE: '%s' shows the deepest CR drop. "
-        "Check: inventory issues, price change, product page errors in this category.",
-        category,
-    )
+    mobile_text = F.format_string(MOBILE_HYPOTHESIS, mobile * 100, desktop * 100)
+    category_text = F.format_string(CATEGORY_HYPOTHESIS, category)
     return F.when(_is_mobile_issue(mobile, desktop, factor), mobile_text).otherwise(category_text)
 
 

@@ -22,23 +22,30 @@ from sessionscope.functions.stats import (
     welch_df,
     welch_t,
 )
-from sessionscope.operators.rollup import dimension_rollup, grouping_rollup
-from sessionscope.schema import (
-    ALPHA,
-    DEVICES,
+from sessionscope.labels import (
+    BOUNCE_GUARDRAIL,
     DO_NOT_SHIP,
-    DROP_DATE,
-    DROP_DAYS,
-    LAUNCH_DATE,
     LAUNCH_IMPROVED,
     LAUNCH_REGRESSED,
     LAUNCH_UNCLEAR,
-    LAUNCH_WINDOW_DAYS,
+    LOAD_GUARDRAIL,
+    POST_LAUNCH,
+    PRE_LAUNCH,
+    REVENUE_GUARDRAIL,
     SEGMENT_OK,
     SEGMENT_REGRESSION,
     SHIP,
     SHIP_CONDITIONALLY,
 )
+from sessionscope.operators.rollup import dimension_rollup, grouping_rollup
+from sessionscope.schema import (
+    ALPHA,
+    DEVICES,
+    DROP_DATE,
+    DROP_DAYS,
+    LAUNCH_DATE,
+    LAUNCH_WINDOW_DAYS,
+)
 
 # The calendar range of the by-period tables.
 RANGE = ("2024-04-01", "2024-05-31")
@@ -54,7 +61,7 @@ def _in_range(sessions: DataFrame, days: tuple, excluded: tuple) -> DataFrame:
 
 
 def _period(day: Column, cut) -> Column:
-    return F.when(day < date_lit(cut), "pre_launch").otherwise("post_launch")
+    return F.when(day < date_lit(cut), PRE_LAUNCH).otherwise(POST_LAUNCH)
 
 
 def launch_pre_post(
@@ -267,17 +274,7 @@ def _guardrail_passes() -> dict[str, Column]:
 
 def _guardrail_rows(alpha: float, money_dp: int, load_dp: int) -> Column:
     passes = _guardrail_passes()
-    # Names, good direction, and verdicts of the guardrails.
-    texts = {
-        "load": ("Page Load Time (ms)", "lower", "✅ PASSED — Load time improved", "⚠️ FAILED — Load time degraded"),
-        "bounce": ("Bounce Rate", "lower", "✅ PASSED — Bounce rate held/improved", "⚠️ FAILED — Bounce rate increased"),
-        "rev": (
-            "Revenue Per Session (₹)",
-            "higher",
-            "✅ PASSED — Revenue per session improved",
-            "⚠️ FAILED — Revenue per session dropped",
-        ),
-    }
+    texts = {"load": LOAD_GUARDRAIL, "bounce": BOUNCE_GUARDRAIL, "rev": REVENUE_GUARDRAIL}
 
     def row(name: str, before: Column, after: Column, low: Column, high: Column, digits: int) -> Column:
         title, direction, passed, failed = texts[name]

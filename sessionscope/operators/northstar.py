@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.rates import count_if, mean_if, pct, ratio, sum_if
 from sessionscope.functions.stats import correlation_t, student_p
+from sessionscope.labels import AT_RISK_LABEL, BAD_MARK, GOOD_MARK, HEALTHY_LABEL
 from sessionscope.operators.rollup import dimension_rollup
 from sessionscope.schema import (
-    AT_RISK_LABEL,
-    BAD_MARK,
-    GOOD_MARK,
-    HEALTHY_LABEL,
     MAX_BOUNCE_RATE,
     MAX_LOAD_MS,
     MAX_MOBILE_GAP,

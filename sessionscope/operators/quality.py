@@ -18,27 +18,19 @@ def session_calendar(sessions: DataFrame) -> DataFrame:
 def dataset_summary(sessions: DataFrame, load_dp: int = 0) -> DataFrame:
     """One row of totals, users counted exactly.
 
-    Users are collapsed by their own aggregation first, so the distinct count
-    is a plain count and no row is expanded.
+    The distinct count reads and shuffles the user id alone; the totals read
+    the other columns and shuffle one row per task.
     """
-    per_user = sessions.groupBy("user_id").agg(
-        F.count("*").alias("n"),
-        F.min("date").alias("first"),
-        F.max("date").alias("last"),
-        F.sum("converted").alias("c"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("page_load_ms").alias("load"),
-        F.count("page_load_ms").alias("loads"),
-    )
-    return per_user.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_sessions"),
-        F.min("first").alias("first_date"),
-        F.max("last").alias("last_date"),
-        pct(F.try_divide(F.sum("c").cast("double"), F.sum("n")), 2).alias("overall_cr_pct"),
+    totals = sessions.agg(
+        F.count("*").alias("total_sessions"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        pct(F.avg("converted"), 2).alias("overall_cr_pct"),
         F.round(F.sum("revenue"), 2).alias("total_revenue"),
-        F.count("user_id").alias("unique_users"),
-        F.round(F.try_divide(F.sum("load"), F.sum("loads")), load_dp).alias("avg_page_load_ms"),
+        F.round(F.avg("page_load_ms"), load_dp).alias("avg_page_load_ms"),
     )
+    users = sessions.agg(F.countDistinct("user_id").alias("unique_users"))
+    return totals.crossJoin(F.broadcast(users))
 
 
 def session_invariants(sessions: DataFrame) -> DataFrame:

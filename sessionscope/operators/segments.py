@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionscope.functions.rates import ratio
+from sessionscope.labels import ENGAGED, LOYAL, ONE_TIME, WINDOW
 from sessionscope.operators.quality import first_drawn, sample_cut, within_cut
 from sessionscope.schema import DEVICES
 
@@ -27,12 +28,6 @@ FEATURES = (
     "device_desktop",
 )
 
-# The persona names.
-LOYAL = "High-Value Loyal Buyers"
-ENGAGED = "Engaged Regular Shoppers"
-ONE_TIME = "One-Time Browsers"
-WINDOW = "Window Shoppers (Retargetable)"
-
 
 def primary_device(sessions: DataFrame) -> DataFrame:
     """The device a user came with most often; ties go to the first name.

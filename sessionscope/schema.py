@@ -49,21 +49,3 @@ MAX_MOBILE_GAP = 0.01
 MIN_REVENUE_PER_SESSION = 40.0
 MIN_ORGANIC_SHARE_PCT = 25.0
 MIN_CONVERSION_RATE = 0.03
-
-# The wording of marks and verdicts in result tables.
-GOOD_MARK = "✅"
-BAD_MARK = "⚠️"
-HEALTHY_LABEL = "✅ Healthy"
-AT_RISK_LABEL = "⚠️ At Risk"
-CR_ALERT = "🚨 CR ANOMALY"
-RPS_ALERT = "🚨 RPS ANOMALY"
-NO_ALERT = "✅ Normal"
-ANOMALY_FLAG = "🚨 ANOMALY"
-SEGMENT_REGRESSION = "⚠️ Regression on segment"
-SEGMENT_OK = "✅ OK"
-LAUNCH_IMPROVED = "SIGNIFICANT IMPROVEMENT ✅"
-LAUNCH_REGRESSED = "SIGNIFICANT REGRESSION ⚠️"
-LAUNCH_UNCLEAR = "NOT SIGNIFICANT — needs more data 🔄"
-SHIP = "🚀 SHIP IT — Full rollout recommended"
-SHIP_CONDITIONALLY = "⚠️ CONDITIONAL SHIP — Fix guardrail issues before full rollout"
-DO_NOT_SHIP = "🛑 DO NOT SHIP — No significant improvement detected"
