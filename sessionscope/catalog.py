@@ -25,8 +25,9 @@ MEANS = {"money_dp": 4, "load_dp": 4}
 
 def _split_columns(sessions: DataFrame, **params) -> DataFrame:
     """The split without the columns that repeat others."""
-    kept = ("session_id", "user_id", "timestamp", "date", "device", "traffic_source", "converted", "revenue", "period")
-    return launch.launch_split(sessions, **params).select(*kept)
+    split = launch.launch_split(sessions, **params)
+    repeated = ("location", "product_category", "steps_completed", "page_load_ms", "bounced", "week", "month", "hour")
+    return split.drop(*repeated)
 
 
 def _sample_columns(sessions: DataFrame, **params) -> DataFrame:
@@ -35,7 +36,8 @@ def _sample_columns(sessions: DataFrame, **params) -> DataFrame:
 
 
 def _user_features(sessions: DataFrame) -> DataFrame:
-    digits = {"total_revenue": 2, "avg_steps": 6, "avg_page_load_ms": 6, "conversion_rate": 6, "revenue_per_session": 6}
+    means = ("avg_steps", "avg_page_load_ms", "conversion_rate", "revenue_per_session")
+    digits = {"total_revenue": 2, **{name: 6 for name in means}}
     return round_columns(segments.user_features(sessions), digits)
 
 

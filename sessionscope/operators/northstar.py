@@ -308,6 +308,7 @@ def metrics_tree(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
     )
     share = pct(ratio(n, F.col("total")), 2)
     gap = F.col("desktop") - F.col("mobile")
+    wide_gap = F.coalesce(gap > MAX_MOBILE_GAP, F.lit(False))
     load, bounce = ratio(F.col("load"), n), ratio(F.col("bounced"), n)
     rps = ratio(F.col("revenue"), n)
     organic_share = pct(ratio(F.col("organic_n"), n), 2)
@@ -325,9 +326,7 @@ def metrics_tree(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
         _entry(page, "bounce_rate", "pct", pct(bounce, 2), mark(bounce <= MAX_BOUNCE_RATE)),
         _entry(page, "mobile_experience", "mobile_cr", pct(F.col("mobile"), 3)),
         _entry(page, "mobile_experience", "desktop_cr", pct(F.col("desktop"), 3)),
-        _entry(
-            page, "mobile_experience", "gap_vs_desktop", pct(gap, 3), mark(~F.coalesce(gap > MAX_MOBILE_GAP, F.lit(False)))
-        ),
+        _entry(page, "mobile_experience", "gap_vs_desktop", pct(gap, 3), mark(~wide_gap)),
         _entry(price, "revenue_per_session", "", F.round(rps, money_dp), mark(rps >= MIN_REVENUE_PER_SESSION)),
         _entry(discovery, "organic_share", "", organic_share, mark(organic_share >= MIN_ORGANIC_SHARE_PCT)),
         _entry(discovery, "paid_efficiency", "paid_cr", pct(F.col("paid"), 3)),

@@ -14,6 +14,17 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+SQL_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def _plain(value):
     if isinstance(value, float):
         return None if math.isnan(value) else round(value, 9) + 0.0
@@ -45,9 +56,8 @@ def mismatch(spark, connection, sf_dir, build, sql) -> str | None:
     right = normalise([d[0] for d in cursor.description], cursor.fetchall())
     if left[0] != right[0]:
         return f"columns {left[0]} != {right[0]}"
-    expected = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     for name, dtype in frame.dtypes:
-        if expected.get(dtype, dtype) != types[name]:
+        if SQL_TYPES[dtype] != types[name]:
             return f"type of {name}: {dtype} != {types[name]}"
     if len(left[1]) != len(right[1]):
         return f"{len(left[1])} rows != {len(right[1])} rows"

@@ -80,6 +80,31 @@ def test_only_needed_columns_are_read(sessions):
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
 
 
+def test_dominant_user_does_not_fill_a_partition(spark, sessions):
+    hot = F.when(F.substring("session_id", -1, 1).isin("0", "3", "6", "9"), "HOT").otherwise(F.col("user_id"))
+    skewed = sessions.withColumn("user_id", hot)
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+
+        def largest(share):
+            dated = cohorts.cohort_days_since_first(skewed, heavy_share=share)
+            sizes = dated.groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r[1] for r in sizes) == 1000
+            return max(r[1] for r in sizes)
+
+        # Eight partitions of 125 rows each would be even; 400 rows are one user's.
+        assert largest(0.01) < 200 and largest(2.0) > 400
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_days_prune_partitions(stored):
     plan = final_plan(diagnosis.drop_hourly(stored, **DROP))
     assert re.search(r"PartitionFilters: \[[^\]]*date#\d+ >= 2024-01-10", plan)

@@ -65,6 +65,16 @@ def test_silhouette_matches_brute_force(table):
     assert found == pytest.approx(np.mean(scores), abs=1e-6)
 
 
+def test_labels_are_the_nearest_centres(table):
+    model = segments.fit_segments(table, k=3, starts=2)
+    rows = model.label(segments.user_features(table)).collect()
+    points = np.array([[float(r[name]) for name in segments.FEATURES] for r in rows])
+    scaled = (points - model.means) / np.where(np.array(model.stds) > 0, model.stds, 1.0)
+    centres = np.array(model.model.clusterCenters())[model._order()]
+    nearest = ((scaled[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+    assert [r.segment_id for r in rows] == list(nearest)
+
+
 def test_only_the_sample_is_labelled_on_request(table):
     labelled = segments.user_segments(table, k=2, starts=1, max_users=20, only_sample=True)
     assert labelled.count() == 20

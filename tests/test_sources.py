@@ -187,6 +187,13 @@ def test_job_writes_every_feed(spark, tmp_path):
     assert segments.count() == 498
 
 
+def test_job_command_line(spark, tmp_path):
+    dates = ["--drop-date", "2024-01-10", "--launch-date", "2024-01-21"]
+    job.main(["--events", SF_DIR, "--output", str(tmp_path), "--module", "2", *dates])
+    report = spark.read.option("header", True).csv(str(tmp_path / "diagnosis_report"))
+    assert report.count() == 20 and set(report.columns) == {"step", "section", "ord", "metric", "value"}
+
+
 def test_job_runs_one_module(spark, tmp_path):
     settings = job.Settings(str(tmp_path), launch_date="2024-01-21")
     assert job.run(load_sessions(spark, SF_DIR), settings, module=4) == ["run_anomaly"]
