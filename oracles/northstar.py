@@ -192,13 +192,8 @@ _TREE_PARTS = [
     ("visitors", "'Product Quality', 'return_visitor_cr', 'loyalty_lift', round((ret - new) * 100, 3), NULL"),
 ]
 
-SQL["metrics_tree"] = query(
-    "SELECT driver, metric, key, CAST(value AS DOUBLE) AS value, status FROM (\n"
-    + "\nUNION ALL\n".join(f"SELECT {items} FROM {source}" for source, items in _TREE_PARTS)
-    + "\n) tree(driver, metric, key, value, status)",
-    _CORRELATION,
-    _VISITORS,
-    """overall AS (
+_OVERALL = """
+overall AS (
   SELECT count(*) AS n, sum(converted) AS c, sum(revenue) AS total, avg(converted) AS cr,
          avg(page_load_ms) AS load, avg(bounced) AS bounce, avg(revenue) AS rps,
          avg(converted) FILTER (WHERE device = 'mobile') AS mobile,
@@ -206,8 +201,45 @@ SQL["metrics_tree"] = query(
          avg(converted) FILTER (WHERE traffic_source = 'paid_search') AS paid,
          avg(converted) FILTER (WHERE traffic_source = 'organic_search') AS organic,
          100.0 * count(*) FILTER (WHERE traffic_source = 'organic_search') / count(*) AS organic_pct
-  FROM sessions)""",
-    """days AS (
+  FROM sessions
+)
+"""
+
+_DAYS = """
+days AS (
   SELECT avg(cr) AS avg_cr, stddev_samp(cr) AS std_cr
-  FROM (SELECT avg(converted) AS cr FROM sessions GROUP BY date))""",
+  FROM (SELECT avg(converted) AS cr FROM sessions GROUP BY date)
+)
+"""
+
+SQL["metrics_tree"] = query(
+    "SELECT driver, metric, key, CAST(value AS DOUBLE) AS value, status FROM (\n"
+    + "\nUNION ALL\n".join(f"SELECT {items} FROM {source}" for source, items in _TREE_PARTS)
+    + "\n) tree(driver, metric, key, value, status)",
+    _CORRELATION,
+    _VISITORS,
+    _OVERALL,
+    _DAYS,
+)
+
+SQL["north_star_report"] = query(
+    """
+SELECT * FROM (
+  SELECT 1 AS ord, 'North Star Metric' AS section, 'Overall Conversion Rate' AS metric,
+         printf('%.3f%%', round(cr * 100, 3)) AS value, NULL AS benchmark, NULL AS health FROM overall
+  UNION ALL SELECT 2, 'North Star Metric', 'Avg Daily Conv. Rate', printf('%.3f%%', round(avg_cr * 100, 3)), NULL, NULL FROM days
+  UNION ALL SELECT 3, 'North Star Metric', 'Daily CR Std Dev', printf('%.4f%%', round(std_cr * 100, 4)), NULL, NULL FROM days
+  UNION ALL SELECT 4, 'North Star Metric', 'Total Sessions', format('{:,}', n), NULL, NULL FROM overall
+  UNION ALL SELECT 5, 'North Star Metric', 'Total Conversions', format('{:,}', CAST(c AS BIGINT)), NULL, NULL FROM overall
+  UNION ALL SELECT 6, 'North Star Metric', 'Total Revenue', printf('₹%.2fM', round(total, 2) / 1e6), NULL, NULL FROM overall
+  UNION ALL SELECT 7, 'Page Experience', 'Avg Page Load', printf('%.0fms', round(load, 4)), '< 2500ms',
+                   CASE WHEN load > 2500 THEN '⚠️ At Risk' ELSE '✅ Healthy' END FROM overall
+  UNION ALL SELECT 8, 'Price & Value', 'Revenue/Session', printf('₹%.2f', round(rps, 4)), '> ₹40', '✅ Healthy' FROM overall
+  UNION ALL SELECT 9, 'Discovery', 'Organic Share', printf('%.1f%%', round(organic_pct, 2)), '> 25%', '✅ Healthy' FROM overall
+  UNION ALL SELECT 10, 'Product Quality', 'Return Visitor Lift', printf('%+.3fpp', round((ret - new) * 100, 3)), '> 0pp',
+                   '✅ Healthy' FROM visitors
+)""",
+    _OVERALL,
+    _DAYS,
+    _VISITORS,
 )

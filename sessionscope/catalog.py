@@ -85,6 +85,7 @@ _OPERATORS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "return_visitor_cr": (northstar.return_visitor_cr, {}),
     "returning_semi_anti": (northstar.returning_semi_anti, {}),
     "metrics_tree": (northstar.metrics_tree, EXACT),
+    "north_star_report": (northstar.north_star_report, {}),
     "drop_verify_union": (diagnosis.drop_verify_union, DROP),
     "drop_verify_ztest": (diagnosis.drop_verify_ztest, DROP),
     "slice_device": (diagnosis.slice_device, DROP),

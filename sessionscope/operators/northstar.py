@@ -18,6 +18,13 @@ from sessionscope.schema import (
     ROLLING_WINDOW,
 )
 
+# The branches of the metrics tree.
+STAR = "North Star"
+PAGE = "Page Experience"
+PRICE = "Price & Value"
+DISCOVERY = "Discovery"
+QUALITY = "Product Quality"
+
 
 def mark(good: Column) -> Column:
     return F.when(good, GOOD_MARK).otherwise(BAD_MARK)
@@ -78,7 +85,7 @@ def driver_page_experience(sessions: DataFrame, load_dp: int = 1) -> DataFrame:
     mobile = mean_if("converted", F.col("device") == "mobile")
     desktop = mean_if("converted", F.col("device") == "desktop")
     return sessions.agg(
-        F.lit("Page Experience").alias("driver"),
+        F.lit(PAGE).alias("driver"),
         F.round(F.avg("page_load_ms"), load_dp).alias("avg_page_load_ms"),
         pct(F.avg("bounced"), 3).alias("bounce_rate_pct"),
         pct(mobile, 4).alias("mobile_cr_pct"),
@@ -266,13 +273,8 @@ def _entry(driver: str, metric: str, key: Column | str, value: Column, status: C
     )
 
 
-def metrics_tree(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
-    """North star and all drivers as ``(driver, metric, key, value, status)``.
-
-    One rollup pass feeds every sum and rate, days included.  Two more
-    narrow passes read ``(page_load_ms, converted)`` for the correlation and
-    ``(user_id, converted)`` for the visitor split.
-    """
+def _rollup_entries(sessions: DataFrame, money_dp: int) -> DataFrame:
+    """Everything that adds up: one rollup pass, days included."""
     rollup = dimension_rollup(
         sessions,
         together=("device", "traffic_source", "product_category", "steps_completed"),
@@ -313,67 +315,146 @@ def metrics_tree(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
     rps = ratio(F.col("revenue"), n)
     organic_share = pct(ratio(F.col("organic_n"), n), 2)
 
-    star, page, price = "North Star", "Page Experience", "Price & Value"
-    discovery, quality = "Discovery", "Product Quality"
     all_entries = F.array(
-        _entry(star, "overall_cr", "", pct(rate, 3)),
-        _entry(star, "avg_daily_cr", "", pct(F.col("daily_mean"), 3)),
-        _entry(star, "cr_std", "", pct(F.col("daily_std"), 4)),
-        _entry(star, "total_sessions", "", n),
-        _entry(star, "total_conversions", "", F.col("c")),
-        _entry(star, "total_revenue_inr", "", F.round("revenue", 2)),
-        _entry(page, "page_load_speed", "avg_ms", F.round(load, money_dp), mark(load <= MAX_LOAD_MS)),
-        _entry(page, "bounce_rate", "pct", pct(bounce, 2), mark(bounce <= MAX_BOUNCE_RATE)),
-        _entry(page, "mobile_experience", "mobile_cr", pct(F.col("mobile"), 3)),
-        _entry(page, "mobile_experience", "desktop_cr", pct(F.col("desktop"), 3)),
-        _entry(page, "mobile_experience", "gap_vs_desktop", pct(gap, 3), mark(~wide_gap)),
-        _entry(price, "revenue_per_session", "", F.round(rps, money_dp), mark(rps >= MIN_REVENUE_PER_SESSION)),
-        _entry(discovery, "organic_share", "", organic_share, mark(organic_share >= MIN_ORGANIC_SHARE_PCT)),
-        _entry(discovery, "paid_efficiency", "paid_cr", pct(F.col("paid"), 3)),
-        _entry(discovery, "paid_efficiency", "organic_cr", pct(F.col("organic"), 3)),
-        _entry(discovery, "paid_efficiency", "paid_vs_organic", pct(F.col("paid") - F.col("organic"), 3)),
+        _entry(STAR, "overall_cr", "", pct(rate, 3)),
+        _entry(STAR, "avg_daily_cr", "", pct(F.col("daily_mean"), 3)),
+        _entry(STAR, "cr_std", "", pct(F.col("daily_std"), 4)),
+        _entry(STAR, "total_sessions", "", n),
+        _entry(STAR, "total_conversions", "", F.col("c")),
+        _entry(STAR, "total_revenue_inr", "", F.round("revenue", 2)),
+        _entry(PAGE, "page_load_speed", "avg_ms", F.round(load, money_dp), mark(load <= MAX_LOAD_MS)),
+        _entry(PAGE, "bounce_rate", "pct", pct(bounce, 2), mark(bounce <= MAX_BOUNCE_RATE)),
+        _entry(PAGE, "mobile_experience", "mobile_cr", pct(F.col("mobile"), 3)),
+        _entry(PAGE, "mobile_experience", "desktop_cr", pct(F.col("desktop"), 3)),
+        _entry(PAGE, "mobile_experience", "gap_vs_desktop", pct(gap, 3), mark(~wide_gap)),
+        _entry(PRICE, "revenue_per_session", "", F.round(rps, money_dp), mark(rps >= MIN_REVENUE_PER_SESSION)),
+        _entry(DISCOVERY, "organic_share", "", organic_share, mark(organic_share >= MIN_ORGANIC_SHARE_PCT)),
+        _entry(DISCOVERY, "paid_efficiency", "paid_cr", pct(F.col("paid"), 3)),
+        _entry(DISCOVERY, "paid_efficiency", "organic_cr", pct(F.col("organic"), 3)),
+        _entry(DISCOVERY, "paid_efficiency", "paid_vs_organic", pct(F.col("paid") - F.col("organic"), 3)),
     )
     source_entries = F.array(
-        _entry(price, "traffic_source_cr", key, pct(rate, 3)),
-        _entry(discovery, "traffic_mix", key, share),
+        _entry(PRICE, "traffic_source_cr", key, pct(rate, 3)),
+        _entry(DISCOVERY, "traffic_mix", key, share),
     )
     category_entries = F.array(
-        _entry(price, "category_aov", key, F.round(ratio(F.col("sold"), F.col("c")), money_dp)),
-        _entry(quality, "category_conversion_rates", key, pct(rate, 3)),
+        _entry(PRICE, "category_aov", key, F.round(ratio(F.col("sold"), F.col("c")), money_dp)),
+        _entry(QUALITY, "category_conversion_rates", key, pct(rate, 3)),
     )
-    step_entries = F.array(_entry(quality, "funnel_steps_distribution", key, share))
+    step_entries = F.array(_entry(QUALITY, "funnel_steps_distribution", key, share))
     entries = (
         F.when(dim == "all", all_entries)
         .when(dim == "traffic_source", source_entries)
         .when(dim == "product_category", category_entries)
         .when(dim == "steps_completed", step_entries)
     )
-    from_rollup = facts.select(F.inline(entries)).where(
+    return facts.select(F.inline(entries)).where(
         (F.col("metric") != "category_aov") | F.col("value").isNotNull()
     )
 
+
+def _correlation_entries(sessions: DataFrame) -> DataFrame:
     r, rows = F.col("r"), F.col("n")
     p_value = student_p(correlation_t(r, rows), rows - 2)
-    from_correlation = _correlation(sessions).withColumn("p", p_value).select(
+    return _correlation(sessions).withColumn("p", p_value).select(
         F.inline(
             F.array(
-                _entry(page, "page_load_speed", "correlation_with_cr", F.round(r, 4)),
-                _entry(page, "page_load_speed", "p_value", F.round("p", 6)),
+                _entry(PAGE, "page_load_speed", "correlation_with_cr", F.round(r, 4)),
+                _entry(PAGE, "page_load_speed", "p_value", F.round("p", 6)),
             )
         )
     )
 
+
+def _visitor_entries(sessions: DataFrame) -> DataFrame:
     returning, new = _visitor_rates()
-    from_visitors = _visitor_totals(sessions).select(
+    return _visitor_totals(sessions).select(
         F.inline(
             F.array(
-                _entry(quality, "return_visitor_cr", "returning_cr", pct(returning, 3)),
-                _entry(quality, "return_visitor_cr", "new_visitor_cr", pct(new, 3)),
-                _entry(quality, "return_visitor_cr", "loyalty_lift", pct(returning - new, 3)),
+                _entry(QUALITY, "return_visitor_cr", "returning_cr", pct(returning, 3)),
+                _entry(QUALITY, "return_visitor_cr", "new_visitor_cr", pct(new, 3)),
+                _entry(QUALITY, "return_visitor_cr", "loyalty_lift", pct(returning - new, 3)),
             )
         )
     )
-    return from_rollup.unionByName(from_correlation).unionByName(from_visitors)
+
+
+def metrics_tree(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
+    """North star and all drivers as ``(driver, metric, key, value, status)``.
+
+    One rollup pass feeds every sum and rate.  Two more narrow passes read
+    ``(page_load_ms, converted)`` for the correlation and
+    ``(user_id, converted)`` for the visitor split.
+    """
+    return (
+        _rollup_entries(sessions, money_dp)
+        .unionByName(_correlation_entries(sessions))
+        .unionByName(_visitor_entries(sessions))
+    )
+
+
+def north_star_report(sessions: DataFrame) -> DataFrame:
+    """The north star and one key metric per driver as text rows.
+
+    Values, health and benchmarks are computed, none is fixed.
+    """
+    entries = _rollup_entries(sessions, 4).unionByName(_visitor_entries(sessions))
+
+    def pick(metric: str, key: str = "", column: str = "value") -> Column:
+        here = (F.col("metric") == metric) & (F.col("key") == key)
+        return F.max(F.when(here, F.col(column)))
+
+    picked = entries.agg(
+        *[
+            pick(name).alias(name)
+            for name in ("overall_cr", "avg_daily_cr", "cr_std", "total_sessions", "total_conversions")
+        ],
+        pick("total_revenue_inr").alias("revenue"),
+        pick("page_load_speed", "avg_ms").alias("load"),
+        pick("revenue_per_session").alias("rps"),
+        pick("organic_share").alias("organic"),
+        pick("return_visitor_cr", "loyalty_lift").alias("lift"),
+    )
+    count = F.format_number
+    page_health = F.when(F.col("load") > MAX_LOAD_MS, AT_RISK_LABEL).otherwise(HEALTHY_LABEL)
+    healthy, none = F.lit(HEALTHY_LABEL), F.lit(None)
+    summary = "North Star Metric"
+    rows = [
+        (summary, "Overall Conversion Rate", F.format_string("%.3f%%", "overall_cr"), none, none),
+        (summary, "Avg Daily Conv. Rate", F.format_string("%.3f%%", "avg_daily_cr"), none, none),
+        (summary, "Daily CR Std Dev", F.format_string("%.4f%%", "cr_std"), none, none),
+        (summary, "Total Sessions", count("total_sessions", 0), none, none),
+        (summary, "Total Conversions", count("total_conversions", 0), none, none),
+        (summary, "Total Revenue", F.format_string("₹%.2fM", F.col("revenue") / 1e6), none, none),
+        (PAGE, "Avg Page Load", F.format_string("%.0fms", "load"), F.lit(f"< {MAX_LOAD_MS:.0f}ms"), page_health),
+        (
+            PRICE,
+            "Revenue/Session",
+            F.format_string("₹%.2f", "rps"),
+            F.lit(f"> ₹{MIN_REVENUE_PER_SESSION:.0f}"),
+            healthy,
+        ),
+        (
+            DISCOVERY,
+            "Organic Share",
+            F.format_string("%.1f%%", "organic"),
+            F.lit(f"> {MIN_ORGANIC_SHARE_PCT:.0f}%"),
+            healthy,
+        ),
+        (QUALITY, "Return Visitor Lift", F.format_string("%+.3fpp", "lift"), F.lit("> 0pp"), healthy),
+    ]
+    lines = [
+        F.struct(
+            F.lit(order).alias("ord"),
+            F.lit(section).alias("section"),
+            F.lit(metric).alias("metric"),
+            value.alias("value"),
+            benchmark.cast("string").alias("benchmark"),
+            health.cast("string").alias("health"),
+        )
+        for order, (section, metric, value, benchmark, health) in enumerate(rows, start=1)
+    ]
+    return picked.select(F.inline(F.array(*lines))).orderBy("ord")
 
 
 def metrics_tree_document(tree: DataFrame) -> DataFrame:
@@ -388,7 +469,7 @@ def metrics_tree_document(tree: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(item)).alias("level2"),
         F.when(F.bool_or(F.coalesce(slow, F.lit(False))), AT_RISK_LABEL).otherwise(HEALTHY_LABEL).alias("health"),
     )
-    is_star = F.col("driver") == "North Star"
+    is_star = F.col("driver") == STAR
     branch = F.struct("driver", "health", "level2")
     metrics = F.transform("level2", lambda x: F.struct(x["metric"].alias("key"), x["value"].alias("value")))
     return drivers.agg(

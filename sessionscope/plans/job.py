@@ -52,6 +52,7 @@ def run_north_star(sessions: DataFrame, settings: Settings) -> None:
     write_parquet(northstar.metrics_tree(sessions), settings.path("metrics_tree"))
     tree = sessions.sparkSession.read.parquet(settings.path("metrics_tree"))
     write_json(northstar.metrics_tree_document(tree), settings.path("metrics_tree_json"))
+    write_csv(northstar.north_star_report(sessions), settings.path("north_star_report"))
     write_csv(northstar.daily_cr(sessions), settings.path("daily_cr"))
     write_csv(northstar.funnel(sessions), settings.path("funnel"))
 

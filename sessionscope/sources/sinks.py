@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 def write_sessions(sessions: DataFrame, path: str, files: int | None = None) -> None:
     """Parquet by day.
 
-    Rows are range-partitioned by time, so a day that holds a large share of
-    the rows spreads over several files instead of ending in one task, and
-    every file covers a narrow time range that the reader can skip.
+    Rows are range-partitioned by time and id, so a day or a moment that holds
+    a large share of the rows spreads over several files instead of ending in
+    one task, and every file covers a narrow time range that the reader can skip.
     """
-    keys = ["date", "timestamp"]
+    keys = ["date", "timestamp", "session_id"]
     ranged = sessions.repartitionByRange(files, *keys) if files else sessions.repartitionByRange(*keys)
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("date").parquet(path)
 
