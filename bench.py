@@ -1,7 +1,9 @@
 """Time the headline queries and print one JSON line.
 
-`BENCH_SF_DIR` picks the tables, `BENCH_CPUS` the local threads and
-`BENCH_QUERIES` a comma-separated list of query names.
+`BENCH_SF_DIR` picks the tables, `BENCH_CPUS` the local threads,
+`BENCH_QUERIES` a comma-separated list of query names and `BENCH_RUNS` how often
+each query runs.  `queries` holds the fastest run of each, `first_runs` the sum of
+the first ones, which include code generation and JIT.
 """
 
 from __future__ import annotations
@@ -61,13 +63,16 @@ def main() -> None:
     names = wanted.split(",") if wanted else HEADLINE
     timed(queries["north_star"], spark, sf_dir)
     timed(queries["drop_verify_ztest"], spark, sf_dir)
-    seconds = {name: round(timed(queries[name], spark, sf_dir), 3) for name in names}
+    repeats = range(int(os.environ.get("BENCH_RUNS", "2")))
+    runs = {name: [timed(queries[name], spark, sf_dir) for _ in repeats] for name in names}
+    seconds = {name: round(min(times), 3) for name, times in runs.items()}
     print(
         json.dumps(
             {
                 "metric": "total_seconds_headline_queries",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
+                "first_runs": round(sum(times[0] for times in runs.values()), 3),
                 "queries": seconds,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }

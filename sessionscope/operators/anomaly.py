@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.calendar import as_date, date_lit, in_days, shift, until_day
 from sessionscope.functions.rates import count_if, mean_if, pct, ratio
+from sessionscope.functions.rows import stack_rows
 from sessionscope.labels import (
     ANOMALY_FLAG,
     AT_RISK,
@@ -320,33 +321,22 @@ def driver_health(
         rate_where("traffic_source", "paid_search").alias("paid"),
         F.round(F.avg("steps_completed"), steps_dp).alias("steps"),
     )
-    healthy = F.lit(HEALTHY)
-    slow = F.when(F.col("load") > MAX_LOAD_MS, AT_RISK).otherwise(healthy)
-    bouncing = F.when(F.col("bounce") > MAX_BOUNCE_RATE, AT_RISK).otherwise(healthy)
-    converting = F.when(F.col("cr") >= MIN_CONVERSION_RATE, healthy).otherwise(AT_RISK)
+    slow = F.when(F.col("load") > MAX_LOAD_MS, AT_RISK).otherwise(HEALTHY)
+    bouncing = F.when(F.col("bounce") > MAX_BOUNCE_RATE, AT_RISK).otherwise(HEALTHY)
+    converting = F.when(F.col("cr") >= MIN_CONVERSION_RATE, HEALTHY).otherwise(AT_RISK)
     page, price, discovery = "Page Experience", "Price & Value", "Discovery"
     rows = [
         ("Conversion Rate", "conversion_rate", pct(F.col("cr"), 3), "%", converting),
         (page, "page_load_speed", F.round("load", load_dp), "ms", slow),
         (page, "bounce_rate", pct(F.col("bounce"), 2), "%", bouncing),
-        (page, "mobile_experience", F.col("mobile"), "%", healthy),
-        (price, "revenue_per_session", F.col("rps"), "₹", healthy),
-        (price, f"{category.lower()}_cr", F.col("category"), "%", healthy),
-        (discovery, "organic_share", F.col("organic"), "%", healthy),
-        (discovery, "paid_cr", F.col("paid"), "%", healthy),
-        ("Product Quality", "avg_steps_completed", F.col("steps"), "steps", healthy),
+        (page, "mobile_experience", F.col("mobile"), "%", HEALTHY),
+        (price, "revenue_per_session", F.col("rps"), "₹", HEALTHY),
+        (price, f"{category.lower()}_cr", F.col("category"), "%", HEALTHY),
+        (discovery, "organic_share", F.col("organic"), "%", HEALTHY),
+        (discovery, "paid_cr", F.col("paid"), "%", HEALTHY),
+        ("Product Quality", "avg_steps_completed", F.col("steps"), "steps", HEALTHY),
     ]
-    lines = [
-        F.struct(
-            F.lit(driver).alias("driver"),
-            F.lit(metric).alias("metric"),
-            value.alias("value"),
-            F.lit(unit).alias("unit"),
-            status.alias("status"),
-        )
-        for driver, metric, value, unit, status in rows
-    ]
-    return totals.select(F.inline(F.array(*lines)))
+    return stack_rows(totals, ["driver", "metric", "value", "unit", "status"], rows)
 
 
 def driver_health_document(health: DataFrame) -> DataFrame:

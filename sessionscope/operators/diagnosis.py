@@ -14,6 +14,7 @@ from sessionscope.functions.rates import (
     relative_change,
     sum_if,
 )
+from sessionscope.functions.rows import stack_rows
 from sessionscope.functions.stats import normal_p, pooled_z
 from sessionscope.labels import (
     BASELINE,
@@ -71,22 +72,15 @@ def drop_verify_union(sessions: DataFrame, **window) -> DataFrame:
     """Two rows, baseline and drop day, from one pass and without a union."""
     w = DropWindow(**window)
     totals = sessions.where(w.through_drop_day()).agg(
-        count_if(w.is_baseline()).alias("n_base"),
-        sum_if("converted", w.is_baseline()).alias("c_base"),
-        count_if(w.is_drop_day()).alias("n_drop"),
-        sum_if("converted", w.is_drop_day()).alias("c_drop"),
+        *[c.alias(name) for name, c in _period_sums(w).items()]
     )
-
-    def row(label: str, n: str, c: str) -> Column:
-        return F.struct(
-            F.lit(label).alias("period"),
-            F.col(n).alias("sessions"),
-            F.col(c).alias("conversions"),
-            pct(ratio(F.col(c), F.col(n)), 4).alias("cr_pct"),
-        )
-
-    return totals.select(
-        F.inline(F.array(row(BASELINE, "n_base", "c_base"), row(DROP_DAY, "n_drop", "c_drop")))
+    return stack_rows(
+        totals,
+        ["period", "sessions", "conversions", "cr_pct"],
+        [
+            (BASELINE, F.col("n_base"), F.col("c_base"), pct(_base_rate(), 4)),
+            (DROP_DAY, F.col("n_drop"), F.col("c_drop"), pct(_drop_rate(), 4)),
+        ],
     )
 
 
@@ -388,7 +382,7 @@ def business_impact_missed(sessions: DataFrame, money_dp: int = 2, **window) ->
 
 
 def diagnosis_report(sessions: DataFrame, alpha: float = ALPHA, factor: float = 1.5, **window) -> DataFrame:
-    """All five steps as ``(step, section, metric, value)`` text rows.
+    """All five steps as ``(ord, step, section, metric, value)`` text rows.
 
     One rollup pass over the drop window carries every sum the steps need; the
     rest works on its few dozen rows.
@@ -459,16 +453,5 @@ def diagnosis_report(sessions: DataFrame, alpha: float = ALPHA, factor: float =
         (5, impact, "Lost revenue", F.concat(F.lit("₹"), F.format_number(lost, 0))),
         (5, impact, "Missed conversions", F.format_number(F.round(_missed_conversions(), 6).cast("bigint"), 0)),
     ]
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(step).alias("step"),
-                F.lit(section).alias("section"),
-                F.lit(order).alias("ord"),
-                F.lit(metric).alias("metric"),
-                value.cast("string").alias("value"),
-            )
-            for order, (step, section, metric, value) in enumerate(rows, start=1)
-        ]
-    )
-    return facts.select(F.inline(lines)).orderBy("ord")
+    numbered = [(order, *row) for order, row in enumerate(rows, start=1)]
+    return stack_rows(facts, ["ord", "step", "section", "metric", "value"], numbered).orderBy("ord")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionscope.functions.rates import count_if, mean_if, pct, ratio, sum_if
+from sessionscope.functions.rows import stack_rows
 from sessionscope.functions.stats import correlation_t, student_p
 from sessionscope.labels import AT_RISK_LABEL, BAD_MARK, GOOD_MARK, HEALTHY_LABEL
 from sessionscope.operators.rollup import dimension_rollup
@@ -396,7 +397,9 @@ def metrics_tree(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
 def north_star_report(sessions: DataFrame) -> DataFrame:
     """The north star and one key metric per driver as text rows.
 
-    Values, health and benchmarks are computed, none is fixed.
+    Values are computed, benchmarks are the thresholds of the tree.  As in the
+    tree, load time decides the health of its driver and the other drivers
+    have no rule that could put them at risk.
     """
     entries = _rollup_entries(sessions, 4).unionByName(_visitor_entries(sessions))
 
@@ -417,44 +420,34 @@ def north_star_report(sessions: DataFrame) -> DataFrame:
     )
     count = F.format_number
     page_health = F.when(F.col("load") > MAX_LOAD_MS, AT_RISK_LABEL).otherwise(HEALTHY_LABEL)
-    healthy, none = F.lit(HEALTHY_LABEL), F.lit(None)
     summary = "North Star Metric"
     rows = [
-        (summary, "Overall Conversion Rate", F.format_string("%.3f%%", "overall_cr"), none, none),
-        (summary, "Avg Daily Conv. Rate", F.format_string("%.3f%%", "avg_daily_cr"), none, none),
-        (summary, "Daily CR Std Dev", F.format_string("%.4f%%", "cr_std"), none, none),
-        (summary, "Total Sessions", count("total_sessions", 0), none, none),
-        (summary, "Total Conversions", count("total_conversions", 0), none, none),
-        (summary, "Total Revenue", F.format_string("₹%.2fM", F.col("revenue") / 1e6), none, none),
-        (PAGE, "Avg Page Load", F.format_string("%.0fms", "load"), F.lit(f"< {MAX_LOAD_MS:.0f}ms"), page_health),
+        (summary, "Overall Conversion Rate", F.format_string("%.3f%%", "overall_cr"), None, None),
+        (summary, "Avg Daily Conv. Rate", F.format_string("%.3f%%", "avg_daily_cr"), None, None),
+        (summary, "Daily CR Std Dev", F.format_string("%.4f%%", "cr_std"), None, None),
+        (summary, "Total Sessions", count("total_sessions", 0), None, None),
+        (summary, "Total Conversions", count("total_conversions", 0), None, None),
+        (summary, "Total Revenue", F.format_string("₹%.2fM", F.col("revenue") / 1e6), None, None),
+        (PAGE, "Avg Page Load", F.format_string("%.0fms", "load"), f"< {MAX_LOAD_MS:.0f}ms", page_health),
         (
             PRICE,
             "Revenue/Session",
             F.format_string("₹%.2f", "rps"),
-            F.lit(f"> ₹{MIN_REVENUE_PER_SESSION:.0f}"),
-            healthy,
+            f"> ₹{MIN_REVENUE_PER_SESSION:.0f}",
+            HEALTHY_LABEL,
         ),
         (
             DISCOVERY,
             "Organic Share",
             F.format_string("%.1f%%", "organic"),
-            F.lit(f"> {MIN_ORGANIC_SHARE_PCT:.0f}%"),
-            healthy,
+            f"> {MIN_ORGANIC_SHARE_PCT:.0f}%",
+            HEALTHY_LABEL,
         ),
-        (QUALITY, "Return Visitor Lift", F.format_string("%+.3fpp", "lift"), F.lit("> 0pp"), healthy),
+        (QUALITY, "Return Visitor Lift", F.format_string("%+.3fpp", "lift"), "> 0pp", HEALTHY_LABEL),
     ]
-    lines = [
-        F.struct(
-            F.lit(order).alias("ord"),
-            F.lit(section).alias("section"),
-            F.lit(metric).alias("metric"),
-            value.alias("value"),
-            benchmark.cast("string").alias("benchmark"),
-            health.cast("string").alias("health"),
-        )
-        for order, (section, metric, value, benchmark, health) in enumerate(rows, start=1)
-    ]
-    return picked.select(F.inline(F.array(*lines))).orderBy("ord")
+    numbered = [(order, *row) for order, row in enumerate(rows, start=1)]
+    names = ["ord", "section", "metric", "value", "benchmark", "health"]
+    return stack_rows(picked, names, numbered).orderBy("ord")
 
 
 def metrics_tree_document(tree: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.calendar import calendar_sql
 from sessionscope.functions.rates import count_if, pct
+from sessionscope.functions.rows import stack_rows
 
 
 def session_calendar(sessions: DataFrame) -> DataFrame:
@@ -46,15 +47,8 @@ def session_invariants(sessions: DataFrame) -> DataFrame:
     counts = sessions.agg(
         F.count("*").alias("checked"), *[count_if(broken).alias(name) for name, broken in rules.items()]
     )
-    lines = [
-        F.struct(
-            F.lit(name).alias("rule"),
-            F.col(name).alias("violations"),
-            F.col("checked").alias("rows_checked"),
-        )
-        for name in rules
-    ]
-    return counts.select(F.inline(F.array(*lines)))
+    rows = [(name, F.col(name), F.col("checked")) for name in rules]
+    return stack_rows(counts, ["rule", "violations", "rows_checked"], rows)
 
 
 def _draw(seed: int, id_column: str) -> Column:
