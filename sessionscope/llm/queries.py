@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm import langid, packing, tokenstore
+from sessionscope.llm import langid, neardup, packing, tokenstore
 from sessionscope.llm.common import Scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,11 @@ def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, length=1024, ids=False)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.Limits(words=2, percent=80))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
