@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm import langid, neardup, packing, tokenstore
+from sessionscope.llm import decontam, langid, linededup, neardup, packing, tokenstore
 from sessionscope.llm.common import Scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(chosen, model).select("doc_id", "held_out", "langid.*")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(_table(spark, sf_dir, "documents"), min_words=50)
+    return found.select("doc.doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Scratch(spark, "tokenstore").path
     tokenstore.write_store(_table(spark, sf_dir, "documents"), store, TOKENIZER, end_id=2)
@@ -50,4 +59,7 @@ def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_decontamination": decontam.SQL,
+    "op5_line_runs": linededup.SQL,
+}
