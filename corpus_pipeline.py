@@ -23,7 +23,7 @@ def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(linededup.BLANKS)) == "")
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     columns = [
-        F.when(F.col("n_removed") > 0, changed[c]).otherwise(F.col("doc")[c]).alias(c) if c in changed else F.col("doc")[c]
+        F.when(F.col("n_removed") > 0, changed[c]).otherwise(F.col("doc")[c]).alias(c) if c in changed else F.col("doc")[c].alias(c)
         for c in docs.columns
     ]
     return found.where(~empty).select(*columns)
