@@ -8,12 +8,15 @@ distinct cut encoded once by the tokenizer and the ids strung together again.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
 ID_TYPE = "<u4"
 ID_BYTES = 4
+SEGMENT = 1 << 20
+_OPENS = re.compile(" [!-~]")
 
 # A space before anything that some engine might read as white space or as a control
 # character: such a text is encoded in one go.
@@ -60,7 +63,35 @@ class WordEncoder:
                 self.known[word] = data[start:end]
                 start = end
 
+    def _segments(self, text: str) -> Iterator[str]:
+        """The text in pieces of about ``SEGMENT`` characters, cut where a word opens."""
+        start = 0
+        while len(text) - start > SEGMENT:
+            cut = _OPENS.search(text, start + SEGMENT)
+            if cut is None:
+                break
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Id bytes of each text; only about ``SEGMENT`` characters are split up at a time."""
+        result, waiting, size = [[] for _ in texts], [], 0
+        for i, text in enumerate(texts):
+            for segment in self._segments(text) if text else ():
+                waiting.append((i, segment))
+                size += len(segment)
+                if size >= SEGMENT:
+                    self._add(waiting, result)
+                    waiting, size = [], 0
+        self._add(waiting, result)
+        return [b"".join(parts) for parts in result]
+
+    def _add(self, waiting: list[tuple[int, str]], result: list[list[bytes]]) -> None:
+        for (i, _), ids in zip(waiting, self._encode([segment for _, segment in waiting])):
+            result[i].append(ids)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known.clear()
         result: list = [b""] * len(texts)
