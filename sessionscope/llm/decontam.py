@@ -54,17 +54,17 @@ def _seed(hashes: Column, at: Column, number: int, places: tuple) -> Column:
 def _seed_rows(rows: DataFrame, *kept: str) -> DataFrame:
     """One row per window and mask: ``at`` and ``seed`` beside the kept columns.
 
-    ``hashes`` is dropped before rows multiply, so no row carries a whole text.
+    ``hashes`` is dropped before rows multiply, so no row carries a whole text.  Windows
+    hold the hashes of their words; masks are hashed from them in generated code.
     """
-    at = F.sequence(F.lit(0), F.size("hashes") - SPAN)
-    seeds = F.transform(
-        at,
-        lambda i: F.struct(
-            i.alias("at"), *[_seed(F.col("hashes"), i, n, mask).alias(f"s{n}") for n, mask in enumerate(MASKS)]
-        ),
+    used = sorted({p for mask in MASKS for p in mask})
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size("hashes") - SPAN),
+        lambda i: F.struct(i.alias("at"), *[F.col("hashes")[i + p].alias(f"w{p}") for p in used]),
     )
-    windows = rows.where(F.size("hashes") >= SPAN).select(*kept, F.inline(seeds))
-    return windows.select(*kept, "at", F.explode(F.array(*[f"s{n}" for n in range(len(MASKS))])).alias("seed"))
+    placed = rows.where(F.size("hashes") >= SPAN).select(*kept, F.inline(windows))
+    seeds = [F.xxhash64(F.lit(n), *[f"w{p}" for p in mask]) for n, mask in enumerate(MASKS)]
+    return placed.select(*kept, "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
 def _short_rows(rows: DataFrame, sizes: list[int], *kept: str) -> DataFrame:
