@@ -18,7 +18,7 @@ def _located(path: str) -> tuple[fs.FileSystem, str]:
 def open_output(path: str):
     system, place = _located(path)
     system.create_dir(place.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(place)
+    return system.open_output_stream(place, compression=None)
 
 
 def open_input(path: str):

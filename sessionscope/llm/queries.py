@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm import decontam, langid, linededup, neardup, packing, tokenstore
+from sessionscope.llm import decontam, langid, licenses, linededup, neardup, packing, permindex, tokenstore, toxicity, warc
 from sessionscope.llm.common import Scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,10 +31,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(chosen, model).select("doc_id", "held_out", "langid.*")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "archive").path
+    warc.archive_pages(_table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.read_records(spark, folder).drop("url")
+
+
 def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(_table(spark, sf_dir, "documents"), min_words=50)
     return found.select("doc.doc_id", "n_lines", "n_removed", "text")
@@ -50,6 +60,22 @@ def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, length=1024, ids=False)
 
 
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return permindex.nearest_neighbours(vectors, vectors["vec_id"] % 20 == 0, k=20)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    learned = labels.where(held_out(labels["doc_id"], 5) != 0).select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").join(learned, "doc_id"))
+    out = held_out(docs["doc_id"], 5) == 0
+    scored = model.score(docs.select("doc_id", "text", out.alias("held_out")))
+    return scored.select(
+        "doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.Limits(words=2, percent=80))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
