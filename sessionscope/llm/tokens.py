@@ -105,9 +105,9 @@ class WordEncoder:
                 head, *rest = text.split(" ")
                 parts[i] = rest
                 heads[i] = head
-        unknown = set().union(*parts.values()) - self.known.keys()
+        unknown = [word for word in set().union(*parts.values()) if word not in self.known]
         if unknown:
-            self._learn(list(unknown))
+            self._learn(unknown)
         known = self.known.__getitem__
         distinct = list(set(heads.values()))
         head_ids = dict(zip(distinct, self._whole(distinct)))

@@ -83,11 +83,28 @@ def learn_lexicon(labelled: DataFrame, settings: Settings) -> list[str]:
     return [row.term for row in chosen.orderBy(F.desc("odds"), "term").limit(settings.lexicon_terms).collect()]
 
 
+def _character_kinds() -> np.ndarray:
+    """Letter (1), capital (2, beside 1), sign (4) for every character below 2**16."""
+    kinds = np.zeros(1 << 16, dtype=np.uint8)
+    for code in range(1 << 16):
+        c = chr(code)
+        kinds[code] = c.isalpha() + 2 * c.isupper() + 4 * (not c.isalnum() and not c.isspace())
+    return kinds
+
+
+def character_counts(text: str, kinds: np.ndarray) -> tuple[int, int, int]:
+    """Letters, capitals and signs; characters from 2**16 on count as none of them."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    counts = np.bincount(kinds[codes[codes < len(kinds)]], minlength=8)
+    return tuple(int(sum(counts[k] for k in range(8) if k & bit)) for bit in (1, 2, 4))
+
+
 class Featurizer:
     def __init__(self, lexicon: list[str]):
         self.words = {t for t in lexicon if not t.endswith("*")}
         self.starts = {t[:-1] for t in lexicon if t.endswith("*")}
         self.known: dict[str, tuple[bool, bool, bool]] = {}
+        self.kinds = _character_kinds()
 
     def _in_lexicon(self, word: str) -> bool:
         return word in self.words or any(len(word) > n and word[:n] in self.starts for n in PREFIXES)
@@ -106,12 +123,14 @@ class Featurizer:
         lower = [w.lower() for w in words]
         if len(self.known) > 300_000:
             self.known.clear()
-        for word in set(lower) - self.known.keys():
-            self.known[word] = self._look_up(word)
+        for word in set(lower):
+            if word not in self.known:
+                self.known[word] = self._look_up(word)
         looked = [self.known[w] for w in lower]
         hits = [i for i, (hit, _, _) in enumerate(looked) if hit]
         you = [i for i, w in enumerate(lower) if w in SECOND_PERSON]
-        n, letters = len(words), max(1, sum(map(str.isalpha, text)))
+        n = len(words)
+        letters, capitals, signs = character_counts(text, self.kinds)
         densest, proximity = 0, 0.0
         if hits:
             at = np.array(hits)
@@ -123,8 +142,8 @@ class Featurizer:
                 proximity = float(np.exp(-np.minimum(left, right) / NEAR).mean())
         return [
             float(len(hits)), len(hits) / n, float(len({lower[i] for i in hits})), float(densest), len(you) / n,
-            proximity, sum(map(str.isupper, text)) / letters, sum(len(w) > 1 and w.isupper() for w in words) / n,
-            sum(not c.isalnum() and not c.isspace() for c in text) / max(1, len(text)), text.count("!") / n,
+            proximity, capitals / max(1, letters), sum(len(w) > 1 and w.isupper() for w in words) / n,
+            signs / max(1, len(text)), text.count("!") / n,
             sum(m for _, _, m in looked) / n, float(sum(r for _, r, _ in looked)), math.log1p(n),
         ]
 
