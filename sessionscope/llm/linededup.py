@@ -158,7 +158,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "linededup")
     ranges = scratch.write(deleted_ranges(docs, min_words, scratch), "ranges")
     keyed = docs.select(*_keys(docs), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    joined = keyed.join(ranges, ["d", "h"], "left")
+    # Texts are shuffled at every size, so that needs grow in proportion.
+    joined = keyed.join(ranges.hint("merge"), ["d", "h"], "left")
 
     def gone(i: Column) -> Column:
         return F.exists("ranges", lambda r: (i >= r["begin"]) & (i < r["stop"]))
