@@ -82,7 +82,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity of register rows, and its deviation at the estimate's worst.
+    """Estimated similarity of register rows, and the number of registers it rests on.
 
     Registers of different hashes agree with a chance of about
     ``2**-MANTISSA / (2 ln 2) * n_a n_b / (n_a + n_b)**2``.
@@ -91,14 +91,30 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     equal = ((a == b) & (a != EMPTY)).sum(axis=-1)
     chance = 2.0**-MANTISSA / (2 * np.log(2)) * n_a * n_b / (n_a + n_b).astype(float) ** 2
     share = equal / np.maximum(used, 1)
-    return (share - chance) / (1 - chance), 0.5 / np.sqrt(np.maximum(used, 1))
+    return (share - chance) / (1 - chance), np.maximum(used, 1)
 
 
 def plausible(a, b, n_a, n_b, percent: int) -> np.ndarray:
     """Whether full sets must be compared: sizes allow it and the estimate is not far below."""
-    similarity, deviation = estimate(a, b, n_a, n_b)
+    similarity, used = estimate(a, b, n_a, n_b)
+    limit = percent / 100
+    # The deviation of a share of registers at the limit, and one register for few of them.
+    slack = 5 * np.sqrt(limit * (1 - limit) / used) + 1 / used
     sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    return sizes & (similarity >= percent / 100 - 5 * deviation)
+    return sizes & (similarity >= limit - slack)
+
+
+def common_bands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which bands two register rows share, for broadcast rows."""
+    equal = (a == b).reshape(*np.broadcast_shapes(a.shape, b.shape)[:-1], BANDS, PER_BAND).all(axis=-1)
+    return equal & (np.broadcast_to(a, np.broadcast_shapes(a.shape, b.shape)).reshape(equal.shape + (PER_BAND,)) != EMPTY).any(axis=-1)
+
+
+def band_number(values: np.ndarray, key: int) -> int:
+    """The band of a register row that has this key."""
+    bands = values.reshape(BANDS, PER_BAND)
+    keys = mix((bands.astype(np.uint64) * _WEIGHTS).sum(axis=1) ^ _BAND_SEEDS).astype(np.int64)
+    return int(np.flatnonzero(keys == key)[0])
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
@@ -197,10 +213,12 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
         regs = np.frombuffer(b"".join(right["registers"]), dtype=np.uint16).reshape(-1, REGISTERS)
         sizes, roots, rows = (right[c].to_numpy() for c in ("n_shingles", "root", "row"))
-        found = []
+        found, number = [], band_number(regs[0], int(group["band"].iloc[0]))
         for row, root, n, data in zip(left["row"], left["root"], left["n_shingles"], left["registers"]):
             own = np.frombuffer(data, dtype=np.uint16)[None, :]
             good = plausible(own, regs, np.full(len(rows), n), sizes, percent) & (roots != root)
+            # A pair counts in the first of the buckets that hold both.
+            good[good] = common_bands(own, regs[good]).argmax(axis=1) == number
             found.append(np.stack([np.full(good.sum(), row), rows[good]], axis=1))
         pairs = np.concatenate(found)
         return pd.DataFrame({"u": pairs.max(axis=1), "v": pairs.min(axis=1)})
@@ -216,13 +234,17 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     classes = scratch.write(
         filled.groupBy("set_key").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")), "classes"
     )
-    chosen = sketches.join(classes.select("row"), "row", "left_semi")
-
-    bands = scratch.write(chosen.select("row", F.explode("bands").alias("band")), "bands")
+    heads = sketches.join(classes.select("row"), "row", "left_semi")
+    bands = scratch.write(heads.select("row", F.explode("bands").alias("band")), "bands")
     buckets = bands.groupBy("band").agg(F.min("row").alias("first"), F.count("*").alias("size")).where("size > 1")
     # Only buckets with company go on.
     shared = scratch.write(bands.join(buckets, "band"), "shared")
     scratch.drop("bands")
+    # Registers of the classes that share a bucket; nothing else is compared.
+    company = shared.select("row").distinct()
+    chosen = scratch.write(
+        sketches.select("row", "doc_id", "text_hash", "n_shingles", "registers").join(company, "row", "left_semi"), "company"
+    )
     stars = shared.where("row != first").select(F.col("row").alias("u"), F.col("first").alias("v")).distinct()
     likely = scratch.write(_estimated(stars, chosen, limits.percent), "likely")
     links = scratch.write(_confirmed(likely, chosen, docs, limits, scratch, "sets"), "links")
