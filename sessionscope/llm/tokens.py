@@ -16,6 +16,8 @@ from tokenizers import Tokenizer
 ID_TYPE = "<u4"
 ID_BYTES = 4
 SEGMENT = 1 << 20
+# Signs that never join the letters before them; an apostrophe may.
+_SIGNS = '.,;:!?)]}"%$&*|/-'
 _OPENS = re.compile(" [!-~]")
 
 # A space before anything that some engine might read as white space or as a control
@@ -28,11 +30,12 @@ class WordEncoder:
 
     _shared: dict = {}
 
-    def __init__(self, path: str, limit: int = 400_000, joined: int = 512):
+    def __init__(self, path: str, limit: int = 1_000_000, joined: int = 512):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit, self.joined = limit, joined
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         # Every character of a byte-level token stands for one byte.
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -51,7 +54,23 @@ class WordEncoder:
         return [np.array(e.ids, dtype=ID_TYPE).tobytes() for e in encoded]
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes words that each followed a space, many in one call."""
+        """Words that each followed a space; letters and the signs after them are pieces of their own."""
+        ends, stems, tails = {}, set(), set()
+        for word in words:
+            stem = word.rstrip(_SIGNS)
+            if stem and stem != word and stem.isalpha():
+                ends[word] = (stem, word[len(stem) :])
+                stems.add(stem)
+                tails.add(word[len(stem) :])
+        plain = [word for word in words if word not in ends]
+        self._learn_pieces([*plain, *(stem for stem in stems.difference(plain) if stem not in self.known)])
+        new = [tail for tail in tails if tail not in self.tails]
+        self.tails.update(zip(new, self._whole(new)))
+        for word, (stem, tail) in ends.items():
+            self.known[word] = self.known[stem] + self.tails[tail]
+
+    def _learn_pieces(self, words: list[str]) -> None:
+        """Encodes many words in one call and cuts the ids where each word's bytes end."""
         groups = [words[i : i + self.joined] for i in range(0, len(words), self.joined)]
         encoded = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, encoded):
@@ -92,8 +111,9 @@ class WordEncoder:
             result[i].append(ids)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
+        if len(self.known) + len(self.tails) > self.limit:
             self.known.clear()
+            self.tails.clear()
         result: list = [b""] * len(texts)
         parts, heads, whole = {}, {}, []
         for i, text in enumerate(texts):
