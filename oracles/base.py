@@ -10,8 +10,9 @@ raw_events AS (
   FROM events
 ),
 sessions AS (
-  SELECT 'S' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS session_id,
-         'U' || lpad(CAST(user_id * 40 + event_id % 40 AS VARCHAR), 7, '0') AS user_id,
+  SELECT 'S' || repeat('0', greatest(8 - length(CAST(event_id AS VARCHAR)), 0)) || CAST(event_id AS VARCHAR) AS session_id,
+         'U' || repeat('0', greatest(7 - length(CAST(user_id * 40 + event_id % 40 AS VARCHAR)), 0))
+             || CAST(user_id * 40 + event_id % 40 AS VARCHAR) AS user_id,
          ts AS "timestamp",
          CASE WHEN k < 62 THEN 'mobile' WHEN k < 92 THEN 'desktop' ELSE 'tablet' END AS device,
          'CITY_' || CAST(user_id % 10 AS VARCHAR) AS location,

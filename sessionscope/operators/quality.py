@@ -95,7 +95,10 @@ def sample_sessions(
 
     Rows are ordered by a seeded digest of their id.  A first pass over the id
     alone finds the cut that keeps between ``n`` and about ``2 n`` rows, so the
-    final ordering never sees more than that, whatever the table holds.
+    final ordering never sees more than that, whatever the table holds.  A null
+    id has no draw: the job fails and says so.
     """
-    cut = sample_cut(sessions, n, id_column, seed)
-    return first_drawn(within_cut(sessions, cut, id_column, seed), n, id_column, seed)
+    missing = F.raise_error(F.lit(f"a sampled row has no {id_column}"))
+    named = sessions.withColumn(id_column, F.coalesce(F.col(id_column), missing.cast(sessions.schema[id_column].dataType)))
+    cut = sample_cut(named, n, id_column, seed)
+    return first_drawn(within_cut(named, cut, id_column, seed), n, id_column, seed)

@@ -132,6 +132,7 @@ def segment_profile(labelled: DataFrame) -> DataFrame:
 
 def persona_rules(profile: DataFrame) -> DataFrame:
     """Names each segment by the first rule that fits; names may repeat."""
+    # The thresholds.
     cr, revenue, visits = F.col("avg_cr"), F.col("avg_revenue"), F.col("avg_sessions")
     name = (
         F.when((cr > 0.06) & (revenue > 60), LOYAL)
@@ -169,12 +170,13 @@ def training_users(sessions: DataFrame, max_users: int | None, seed: int = 42) -
     known = sessions.where(F.col("user_id").isNotNull())
     ids = known.select("user_id").distinct()
     cut = sample_cut(ids, max_users, "user_id", seed)
-    drawn = user_features(within_cut(known, cut, "user_id", seed))
-    return first_drawn(drawn, max_users, "user_id", seed)
+    drawn = first_drawn(user_features(within_cut(known, cut, "user_id", seed)), max_users, "user_id", seed)
+    # The limit leaves one partition; fitting needs many.
+    return drawn.repartition("user_id")
 
 
 class SegmentModel:
-    """Standardisation constants and K-Means centres, fitted on a bounded sample."""
+    """Standardisation constants and K-Means centres."""
 
     def __init__(self, means: list[float], stds: list[float], model: KMeansModel):
         self.means, self.stds, self.model = means, stds, model
@@ -252,13 +254,13 @@ def fit_segments(
     k: int = 4,
     seed: int = 42,
     starts: int = 10,
-    max_users: int | None = 100_000,
-    max_iter: int = 20,
+    max_users: int | None = None,
+    max_iter: int = 300,
     threads: int = 10,
 ) -> SegmentModel:
-    """Best of several K-Means starts on at most ``max_users`` users.
+    """Best of several K-Means starts on all users, or on ``max_users`` seeded ones if named.
 
-    With the cap, fitting costs the same for any table size; without it every
+    With a named sample, fitting costs the same for any table size; without it every
     start iterates over all users.  Labelling is left to ``SegmentModel.label``,
     which covers every user either way.
     """
@@ -277,14 +279,15 @@ def user_segments(
     k: int = 4,
     seed: int = 42,
     starts: int = 10,
-    max_users: int | None = 100_000,
+    max_users: int | None = None,
     only_sample: bool = False,
+    max_iter: int = 300,
 ) -> DataFrame:
     """Every user with segment, persona name and the exported features.
 
     ``only_sample`` labels the training sample instead of all users.
     """
-    model = fit_segments(sessions, k, seed, starts, max_users)
+    model = fit_segments(sessions, k, seed, starts, max_users, max_iter)
     labelled = label_users(sessions, model, max_users if only_sample else None, seed)
     return name_users(labelled)
 
@@ -308,8 +311,8 @@ def optimal_k(
     ks: range = range(2, 8),
     seed: int = 42,
     starts: int = 10,
-    max_users: int | None = 100_000,
-    max_iter: int = 20,
+    max_users: int | None = None,
+    max_iter: int = 300,
     threads: int = 10,
 ) -> DataFrame:
     """Silhouette (squared Euclidean) per k; the best k is marked.

@@ -27,7 +27,7 @@ class Settings:
     drop_date: str = DROP_DATE
     drop_days: int = DROP_DAYS
     launch_date: str = LAUNCH_DATE
-    max_users: int = 100_000
+    max_users: int | None = None
 
     def path(self, name: str) -> str:
         return f"{self.output.rstrip('/')}/{name}"

@@ -15,10 +15,17 @@ HELPERS = {
     "source_band": "(event_id * 37) % 100",
 }
 
+
+def _padded(number: str, digits: int) -> str:
+    """At least ``digits`` digits; longer numbers keep all of theirs."""
+    text = f"CAST({number} AS STRING)"
+    return f"repeat('0', greatest({digits} - length({text}), 0)), {text}"
+
+
 # The session columns in terms of the event columns and the helpers.
 SESSION_COLUMNS = {
-    "session_id": "concat('S', lpad(CAST(event_id AS STRING), 8, '0'))",
-    "user_id": "concat('U', lpad(CAST(user_id * 40 + event_id % 40 AS STRING), 7, '0'))",
+    "session_id": "concat('S', " + _padded("event_id", 8) + ")",
+    "user_id": "concat('U', " + _padded("user_id * 40 + event_id % 40", 7) + ")",
     "timestamp": "ts",
     "device": "CASE WHEN device_band < 62 THEN 'mobile' WHEN device_band < 92 THEN 'desktop' ELSE 'tablet' END",
     "location": "concat('CITY_', CAST(user_id % 10 AS STRING))",

@@ -7,7 +7,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from oracles import all_sql
 from parity import duck, mismatch
+from sessionscope.catalog import build_queries
 
 SF_DIR = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -19,11 +21,11 @@ def connection():
 
 
 def test_every_query_but_fitted_models_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"user_segments", "optimal_k"}
+    assert set(build_queries()) - set(all_sql()) == {"user_segments", "optimal_k"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_sql()))
 def test_query_matches_sql(spark, connection, name):
     difference = mismatch(spark, connection, SF_DIR, entry.queries()[name], entry.oracle_sql()[name])
     assert difference is None, difference

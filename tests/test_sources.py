@@ -10,12 +10,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from builders import sessions_of, ts
 from sessionscope.operators import anomaly, northstar, quality
 from sessionscope.plans import job
 from sessionscope.schema import SESSION_SCHEMA
-from sessionscope.sources.events import load_sessions
+from sessionscope.sources.events import load_sessions, sessions_from_events
 from sessionscope.sources.sessions import read_sessions, register_sessions
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -198,3 +199,18 @@ def test_job_runs_one_module(spark, tmp_path):
     settings = job.Settings(str(tmp_path), launch_date="2024-01-21")
     assert job.run(load_sessions(spark, SF_DIR), settings, module=4) == ["run_anomaly"]
     assert not (tmp_path / "metrics_tree").exists() and (tmp_path / "daily_kpis").exists()
+
+
+def test_long_ids_stay_apart(spark):
+    rows = [(10**12 + i, "2024-01-10 08:00:00", 250_000 + i, "view", 1.0, '{"k": 1}') for i in range(200)]
+    rows += [(10**8 + i, "2024-01-10 08:00:00", 10**7 + i, "view", 1.0, '{"k": 1}') for i in range(200)]
+    frame = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events = frame.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    counted = sessions_from_events(events).agg(F.countDistinct("session_id"), F.countDistinct("user_id")).first()
+    assert tuple(counted) == (400, 400)
+
+
+def test_sample_refuses_null_ids(spark):
+    frame = spark.createDataFrame([("a", 1), (None, 2)], "session_id string, n int")
+    with pytest.raises(Exception, match="has no session_id"):
+        quality.sample_sessions(frame, n=2).collect()
