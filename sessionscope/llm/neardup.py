@@ -51,6 +51,7 @@ _STARTS = (np.arange(REGISTERS, dtype=object) * _STEP).astype(np.uint64)
 _WEIGHTS = mix(np.arange(1, PER_BAND + 1, dtype=np.uint64))
 _BAND_SEEDS = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
 BLOCK = 256  # members of a bucket compared at once
+SMALL = 16  # members of a bucket whose pairs are joined
 
 SKETCH = "row long, doc_id long, text_hash long, n_shingles long, set_key binary, registers binary, bands array<long>"
 
@@ -259,14 +260,14 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     unresolved = scratch.write(
         member.join(open_bands.select("band"), "band", "left_semi").select("band", "row", "root", "size"), "unresolved"
     )
-    small = unresolved.where(F.col("size") <= BLOCK)
+    small = unresolved.where(F.col("size") <= SMALL)
     other = small.select("band", F.col("row").alias("v"), F.col("root").alias("root_v"))
     across = (
         small.join(other, "band")
         .where((F.col("root") != F.col("root_v")) & (F.col("row") > F.col("v")))
         .select(F.col("row").alias("u"), "v")
     )
-    large = unresolved.where(F.col("size") > BLOCK).join(chosen.select("row", "n_shingles", "registers"), "row")
+    large = unresolved.where(F.col("size") > SMALL).join(chosen.select("row", "n_shingles", "registers"), "row")
     tested = likely.select("u", "v")
     pairs = _estimated(across.distinct().join(tested, ["u", "v"], "left_anti"), chosen, limits.percent).union(
         _block_pairs(large, limits.percent).distinct().join(tested, ["u", "v"], "left_anti")

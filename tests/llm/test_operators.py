@@ -246,6 +246,7 @@ def brute_components(rows, size, percent):
 @pytest.mark.parametrize("block", [256, 8])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SMALL", block // 2)
     rng = random.Random(6)
     base = [rng.choice(WORDS) for _ in range(200)]
     rows, i = [], 0
