@@ -1,11 +1,15 @@
 """Near-duplicate groups by HyperMinHash.
 
-A document's shingle hashes fall into ``REGISTERS`` equal ranges.  A register keeps, of
-the smallest hash in its range, the number of leading zeros and ``MANTISSA`` bits after
-the first one: 16 bits where MinHash keeps 64.  Registers are banded; a band key is the
-hash of its registers, and a band without a shingle has none.  At a similarity of 0.8
-two large sets share none of the bands with a chance of (1 - 0.8**6)**48, 5e-7, and small
-sets, which leave most ranges empty, with less.
+A document's shingle hashes fall into ``REGISTERS`` ranges.  A register keeps, of the
+smallest hash in its range, the number of leading zeros and ``MANTISSA`` bits after the
+first one: 16 bits where MinHash keeps 64.  A set of 512 hashes or more is cut into 288
+ranges; a smaller one would leave most of them empty, so it is hashed again, half the
+ranges and twice the hash functions for each halving (``LAYOUTS``).  A set that may be
+linked with one of the next layout has registers of that layout, too.
+
+Registers are banded; a band key is the hash of its registers, and a band without a
+shingle has none.  At a similarity of 0.8 two sets share none of the bands with a chance of
+at most (1 - 0.8**6)**48, 5e-7; registers that stay empty lower it.
 
 Work is on classes of documents with equal sets, so copies cost nothing.  Candidates are
 estimated from the registers, corrected for registers that agree by chance, and dropped
@@ -45,15 +49,18 @@ from sessionscope.llm.shingles import mix, shingle_set
 REGISTERS, PER_BAND, MANTISSA = 288, 6, 10
 BANDS = REGISTERS // PER_BAND
 EMPTY = 0xFFFF
-_STEP = ((1 << 64) - 1) // REGISTERS + 1
-_VALUE_BITS = 56
-_STARTS = (np.arange(REGISTERS, dtype=object) * _STEP).astype(np.uint64)
+# Hash functions for sets from 4, 8, 16 ... 512 hashes on; the rest of the registers are ranges.
+LAYOUTS = {2: 288, 3: 96, 4: 32, 5: 16, 6: 8, 7: 4, 8: 2, 9: 1}
+_SEEDS = np.concatenate([[np.uint64(0)], mix(np.arange(2000, 2000 + REGISTERS - 1, dtype=np.uint64))])
 _WEIGHTS = mix(np.arange(1, PER_BAND + 1, dtype=np.uint64))
 _BAND_SEEDS = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
 BLOCK = 256  # members of a bucket compared at once
 SMALL = 16  # members of a bucket whose pairs are joined
 
-SKETCH = "row long, doc_id long, text_hash long, n_shingles long, set_key binary, registers binary, bands array<long>"
+SKETCH = (
+    "row long, doc_id long, text_hash long, n_shingles long, set_key binary, "
+    "layout int, registers binary, upper binary, bands array<long>, upper_bands array<long>"
+)
 
 
 @dataclass(frozen=True)
@@ -61,24 +68,42 @@ class Limits:
     words: int = 5
     percent: int = 80
 
-
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """Leading zeros and mantissa of the smallest hash in each range, in 16 bits."""
-    result = np.full(REGISTERS, EMPTY, dtype=np.uint16)
-    at = np.searchsorted(hashes, _STARTS)
-    filled = at < np.append(at[1:], len(hashes))
-    value = (hashes[at[filled]] - _STARTS[filled]).astype(np.float64) + 1.0
-    fraction, exponent = np.frexp(value)
-    zeros = np.clip(_VALUE_BITS + 1 - exponent, 0, 62)
+    def __post_init__(self) -> None:
+        if not 50 <= self.percent <= 100:
+            raise ValueError("percent must lie between 50 and 100: a set has registers for two layouts at most")
+
+
+def layout_of(n: int) -> int:
+    """The layout of a set of n hashes: the power of two below, between 2 and 9."""
+    return min(max(int(n).bit_length() - 1, 2), 9)
+
+
+def registers(hashes: np.ndarray, layout: int) -> np.ndarray:
+    """Leading zeros and mantissa of the smallest hash in each range of each function, in 16 bits."""
+    functions = LAYOUTS[layout]
+    ranges = REGISTERS // functions
+    step = np.uint64(((1 << 64) - 1) // ranges + (ranges > 1))
+    values = hashes[None, :] if functions == 1 else mix(hashes[None, :] ^ _SEEDS[:functions, None])
+    at = np.minimum(values // step, np.uint64(ranges - 1))
+    place = (at.astype(np.int64) + ranges * np.arange(functions)[:, None]).ravel()
+    least = np.full(REGISTERS, np.iinfo(np.uint64).max)
+    np.minimum.at(least, place, (values - at * step).ravel())
+    filled = np.zeros(REGISTERS, dtype=bool)
+    filled[place] = True
+    fraction, exponent = np.frexp(least[filled].astype(np.float64) + 1.0)
+    zeros = np.clip(65 - exponent, 0, 62)
     mantissa = ((fraction - 0.5) * (2 << MANTISSA)).astype(np.int64)
+    result = np.full(REGISTERS, EMPTY, dtype=np.uint16)
     result[filled] = (zeros.astype(np.int64) << MANTISSA) | mantissa
     return result
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
+def band_keys(values: np.ndarray, layout: int) -> np.ndarray:
+    """A key for each band that is not empty; its last six bits are the band's number."""
     bands = values.reshape(BANDS, PER_BAND)
     used = (bands != EMPTY).any(axis=1)
-    keys = mix((bands.astype(np.uint64) * _WEIGHTS).sum(axis=1) ^ _BAND_SEEDS)
+    keys = mix((bands.astype(np.uint64) * _WEIGHTS).sum(axis=1) ^ (_BAND_SEEDS + np.uint64(layout)))
+    keys = (keys & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)
     return keys[used].astype(np.int64)
 
 
@@ -111,33 +136,30 @@ def common_bands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return equal & (np.broadcast_to(a, np.broadcast_shapes(a.shape, b.shape)).reshape(equal.shape + (PER_BAND,)) != EMPTY).any(axis=-1)
 
 
-def band_number(values: np.ndarray, key: int) -> int:
-    """The band of a register row that has this key."""
-    bands = values.reshape(BANDS, PER_BAND)
-    keys = mix((bands.astype(np.uint64) * _WEIGHTS).sum(axis=1) ^ _BAND_SEEDS).astype(np.int64)
-    return int(np.flatnonzero(keys == key)[0])
-
-
-def sketch(docs: DataFrame, words: int) -> DataFrame:
+def sketch(docs: DataFrame, limits: Limits) -> DataFrame:
     """Set size, set key, registers and band keys; ``row`` is unique once written."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            sizes, keys, packed, bands = [], [], [], []
+            rows = []
             for text in batch.column("text"):
-                found = shingle_set(text.as_py(), words)
-                values = registers(found)
-                sizes.append(len(found))
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                packed.append(values.tobytes())
-                bands.append(band_keys(values))
+                found = shingle_set(text.as_py(), limits.words)
+                own, top = layout_of(len(found)), layout_of(len(found) * 100 // limits.percent)
+                values = registers(found, own)
+                upper = registers(found, top) if top > own else None
+                rows.append((
+                    len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), own, values.tobytes(),
+                    None if upper is None else upper.tobytes(), band_keys(values, own),
+                    None if upper is None else band_keys(upper, top),
+                ))
             n = batch.num_rows
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(row, row + n), pa.int64()), batch.column("doc_id"), batch.column("text_hash"),
-                 pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64()))],
-                ["row", "doc_id", "text_hash", "n_shingles", "set_key", "registers", "bands"],
+                 *(pa.array(list(values), kind) for values, kind in zip(columns, kinds))],
+                ["row", "doc_id", "text_hash", "n_shingles", "set_key", "layout", "registers", "upper", "bands", "upper_bands"],
             )
             row += n
 
@@ -159,9 +181,22 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
         left, right = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(-1, REGISTERS) for s in (a, b))
         return pd.Series(plausible(left, right, n_a.to_numpy(), n_b.to_numpy(), percent))
 
-    u = sketches.select(F.col("row").alias("u"), F.col("registers").alias("ru"), F.col("n_shingles").alias("nu"))
-    v = sketches.select(F.col("row").alias("v"), F.col("registers").alias("rv"), F.col("n_shingles").alias("nv"))
-    return pairs.join(u, "u").join(v, "v").where(likely("ru", "rv", "nu", "nv")).select("u", "v")
+    def side(row: str, end: str) -> DataFrame:
+        return sketches.select(
+            F.col("row").alias(row), *(F.col(c).alias(c + end) for c in ("layout", "registers", "upper", "n_shingles"))
+        )
+
+    def common(own: str, other: str):
+        """Registers of the larger of both layouts."""
+        upper = F.coalesce("upper" + own, "registers" + own)
+        return F.when(F.col("layout" + own) < F.col("layout" + other), upper).otherwise(F.col("registers" + own))
+
+    both = pairs.join(side("u", "_u"), "u").join(side("v", "_v"), "v").where(_sizes("n_shingles_u", "n_shingles_v", percent))
+    return both.where(likely(common("_u", "_v"), common("_v", "_u"), "n_shingles_u", "n_shingles_v")).select("u", "v")
+
+
+def _sizes(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limits: Limits, scratch: Scratch, name: str) -> DataFrame:
@@ -196,31 +231,36 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limits: L
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs across components inside large buckets, compared in blocks.
 
-    A bucket of n members becomes n / BLOCK blocks; a task holds two of them at a time.
+    A bucket of n members becomes n / BLOCK rows that hold a block each; a task holds two
+    of them at a time.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("row"), blocks).cast("int")
-    spread = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = spread.select(
-        "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        "own", "row", "root", "n_shingles", "registers",
-    )
+    member = F.struct("row", "root", "n_shingles", "registers")
+    packed = (
+        members.withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int"))
+        .groupBy("band", "own", blocks.alias("blocks"))
+        .agg(F.collect_list(member).alias("members"))
+    )
+    keyed = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "members"
+    )
+
+    def columns(group: pd.DataFrame, own: int) -> tuple[np.ndarray, ...]:
+        found = [m for block in group.loc[group["own"] == own, "members"] for m in block]
+        numbers = np.array([(m["row"], m["root"], m["n_shingles"]) for m in found], dtype=np.int64).reshape(-1, 3)
+        data = np.frombuffer(b"".join(m["registers"] for m in found), dtype=np.uint16)
+        return *numbers.T, data.reshape(-1, REGISTERS)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("row")
-        low, high = group["low"].iloc[0], group["high"].iloc[0]
-        left, right = group[group["own"] == low], group[group["own"] == high]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        regs = np.frombuffer(b"".join(right["registers"]), dtype=np.uint16).reshape(-1, REGISTERS)
-        sizes, roots, rows = (right[c].to_numpy() for c in ("n_shingles", "root", "row"))
-        found, number = [], band_number(regs[0], int(group["band"].iloc[0]))
-        for row, root, n, data in zip(left["row"], left["root"], left["n_shingles"], left["registers"]):
-            own = np.frombuffer(data, dtype=np.uint16)[None, :]
-            good = plausible(own, regs, np.full(len(rows), n), sizes, percent) & (roots != root)
+        low, high, band = (int(group[c].iloc[0]) for c in ("low", "high", "band"))
+        rows, roots, sizes, regs = columns(group, high)
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for row, root, n, own in zip(*columns(group, low)):
+            fit = np.flatnonzero(roots != root)
+            fit = fit[plausible(own[None, :], regs[fit], np.full(len(fit), n), sizes[fit], percent)]
             # A pair counts in the first of the buckets that hold both.
-            good[good] = common_bands(own, regs[good]).argmax(axis=1) == number
-            found.append(np.stack([np.full(good.sum(), row), rows[good]], axis=1))
+            fit = fit[common_bands(own[None, :], regs[fit]).argmax(axis=1) == band & 63]
+            found.append(np.stack([np.full(len(fit), row), rows[fit]], axis=1))
         pairs = np.concatenate(found)
         return pd.DataFrame({"u": pairs.max(axis=1), "v": pairs.min(axis=1)})
 
@@ -230,13 +270,15 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    sketches = scratch.write(sketch(docs, limits.words), "sketches")
+    sketches = scratch.write(sketch(docs, limits), "sketches")
     filled = sketches.where("n_shingles > 0")
     classes = scratch.write(
         filled.groupBy("set_key").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")), "classes"
     )
     heads = sketches.join(classes.select("row"), "row", "left_semi")
-    bands = scratch.write(heads.select("row", F.explode("bands").alias("band")), "bands")
+    own = heads.select("row", "n_shingles", F.lit(False).alias("above"), F.explode("bands").alias("band"))
+    above = heads.select("row", "n_shingles", F.lit(True).alias("above"), F.explode("upper_bands").alias("band"))
+    bands = scratch.write(own.union(above), "bands")
     buckets = bands.groupBy("band").agg(F.min("row").alias("first"), F.count("*").alias("size")).where("size > 1")
     # Only buckets with company go on.
     shared = scratch.write(bands.join(buckets, "band"), "shared")
@@ -244,7 +286,7 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     # Registers of the classes that share a bucket; nothing else is compared.
     company = shared.select("row").distinct()
     chosen = scratch.write(
-        sketches.select("row", "doc_id", "text_hash", "n_shingles", "registers").join(company, "row", "left_semi"), "company"
+        sketches.drop("set_key", "bands", "upper_bands").join(company, "row", "left_semi"), "company"
     )
     stars = shared.where("row != first").select(F.col("row").alias("u"), F.col("first").alias("v")).distinct()
     likely = scratch.write(_estimated(stars, chosen, limits.percent), "likely")
@@ -258,16 +300,18 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     open_bands = member.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
     unresolved = scratch.write(
-        member.join(open_bands.select("band"), "band", "left_semi").select("band", "row", "root", "size"), "unresolved"
+        member.join(open_bands.select("band"), "band", "left_semi").drop("first"), "unresolved"
     )
     small = unresolved.where(F.col("size") <= SMALL)
-    other = small.select("band", F.col("row").alias("v"), F.col("root").alias("root_v"))
+    other = small.select("band", F.col("row").alias("v"), F.col("root").alias("root_v"), F.col("n_shingles").alias("n_v"))
     across = (
         small.join(other, "band")
         .where((F.col("root") != F.col("root_v")) & (F.col("row") > F.col("v")))
+        .where(_sizes("n_shingles", "n_v", limits.percent))
         .select(F.col("row").alias("u"), "v")
     )
-    large = unresolved.where(F.col("size") > SMALL).join(chosen.select("row", "n_shingles", "registers"), "row")
+    large = unresolved.where(F.col("size") > SMALL).join(chosen.select("row", "registers", "upper"), "row")
+    large = large.withColumn("registers", F.when(F.col("above"), F.col("upper")).otherwise(F.col("registers")))
     tested = likely.select("u", "v")
     pairs = _estimated(across.distinct().join(tested, ["u", "v"], "left_anti"), chosen, limits.percent).union(
         _block_pairs(large, limits.percent).distinct().join(tested, ["u", "v"], "left_anti")

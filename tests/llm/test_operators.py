@@ -28,7 +28,7 @@ from sessionscope.llm import (
 )
 from sessionscope.llm.common import Scratch
 from sessionscope.llm.hilbert import hilbert_keys
-from sessionscope.llm.shingles import shingle_set
+from sessionscope.llm.shingles import mix, shingle_set
 from sessionscope.llm.tokens import WordEncoder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -274,11 +274,33 @@ def test_register_estimate():
     a = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2))
     for share in (0.5, 0.8, 0.95):
         n = int(len(a) * share)
-        left, right = neardup.registers(a[:]), neardup.registers(np.sort(np.random.default_rng(2).permutation(a)[:n]))
+        left, right = neardup.registers(a, 9), neardup.registers(np.sort(np.random.default_rng(2).permutation(a)[:n]), 9)
         similarity, used = neardup.estimate(left[None], right[None], np.array([len(a)]), np.array([n]))
         assert abs(similarity[0] - share) < 0.12 and used[0] == neardup.REGISTERS
 
 
+@pytest.mark.parametrize("layout", sorted(neardup.LAYOUTS))
+def test_layouts_fill_their_registers(layout):
+    shared = np.random.default_rng(layout).integers(0, 1 << 64, 2**layout, dtype=np.uint64)
+    values = neardup.registers(shared, layout)
+    assert (values != neardup.EMPTY).mean() > 0.8
+    ranges = neardup.REGISTERS // neardup.LAYOUTS[layout]
+    least = [int(h) * ranges >> 64 for h in (shared if layout == 9 else mix(shared))]
+    assert set(np.flatnonzero(values[:ranges] != neardup.EMPTY)) == set(least)
+    numbers = neardup.band_keys(values, layout) & 63
+    assert list(numbers) == sorted(set(numbers.tolist())) and numbers.max() < neardup.BANDS
+
+
+def test_neighbouring_layouts_are_compared(spark):
+    words = [f"w{i}" for i in range(140)]
+    rows = [(i, " ".join(words[: 60 + n])) for i, n in enumerate((0, 2, 4, 5, 6, 8, 66, 68, 70, 74))]
+    rows += [(i, " ".join([f"x{j}" for j in range(n)])) for i, n in enumerate((3, 4, 5, 6, 8, 9, 10, 16, 17, 33), 20)]
+    found = neardup.near_duplicates(docs_frame(spark, rows), neardup.Limits(2, 80)).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute_components(rows, 2, 80)
+    with pytest.raises(ValueError):
+        neardup.Limits(2, 40)
+
+
 # --- archives and neighbours -----------------------------------------------
 
 
