@@ -19,7 +19,8 @@ only five deviations below the limit; the rest are confirmed on the full sets.
    however large the bucket is.
 2. Components are formed.  In buckets that still hold several components every pair
    across components is a candidate: small buckets are joined, large ones compared block by
-   block inside tasks, which give out only pairs that the registers find plausible.
+   block inside tasks, which give out lists of the pairs that the registers find plausible; the
+   full sets of two blocks then meet in a task that confirms its lists.
 3. Confirmed pairs join the links and components are formed again.
 
 So no candidate that could change a component stays untested, and no group's pairs are all
@@ -55,6 +56,7 @@ _SEEDS = np.concatenate([[np.uint64(0)], mix(np.arange(2000, 2000 + REGISTERS -
 _WEIGHTS = mix(np.arange(1, PER_BAND + 1, dtype=np.uint64))
 _BAND_SEEDS = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
 BLOCK = 256  # members of a bucket compared at once
+BLOCK_HASHES = 1 << 20  # shingles of these members, about
 SMALL = 16  # members of a bucket whose pairs are joined
 
 SKETCH = (
@@ -199,14 +201,23 @@ def _sizes(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limits: Limits, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the limit."""
+def _sets(rows: DataFrame, sketches: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
+    """row, hashes: the full set of each of ``rows`` (row)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(text.as_py(), limits.words).tobytes() for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.binary())], ["row", "hashes"])
 
+    places = sketches.join(rows, "row", "left_semi").select("row", "doc_id", "text_hash")
+    texts = _hashed_docs(docs)
+    same = texts["doc_id"].eqNullSafe(places["doc_id"]) & (texts["text_hash"] == places["text_hash"])
+    return texts.join(places, same).select("row", "text").mapInArrow(sets, "row long, hashes binary")
+
+
+def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limits: Limits, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the limit."""
+
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         result = []
@@ -217,27 +228,27 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limits: L
         return pd.Series(result, dtype=bool)
 
     wanted = pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
-    places = sketches.join(wanted, "row", "left_semi").select("row", "doc_id", "text_hash")
-    texts = _hashed_docs(docs)
-    same = texts["doc_id"].eqNullSafe(places["doc_id"]) & (texts["text_hash"] == places["text_hash"])
-    found = texts.join(places, same).select("row", "text").mapInArrow(sets, "row long, hashes binary")
     # Rows that repeat both id and text give a set twice.
-    table = scratch.write(found, name).dropDuplicates(["row"])
+    table = scratch.write(_sets(wanted, sketches, docs, limits), name).dropDuplicates(["row"])
     u = table.select(F.col("row").alias("u"), F.col("hashes").alias("hu"))
     v = table.select(F.col("row").alias("v"), F.col("hashes").alias("hv"))
     return pairs.join(u, "u").join(v, "v").where(linked("hu", "hv")).select("u", "v")
 
 
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs across components inside large buckets, compared in blocks.
+    """Lists (us, vs) of plausible pairs across components inside large buckets.
 
-    A bucket of n members becomes n / BLOCK rows that hold a block each; a task holds two
-    of them at a time.
+    A bucket of n members becomes n / BLOCK rows that hold a block each, more if sets are
+    large; a task holds two of them at a time.  A row's home is its block in its
+    largest bucket, so that lists between the same two homes can be confirmed together.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    member = F.struct("row", "root", "n_shingles", "registers")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int")
+    placed = members.withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int"))
+    homes = placed.groupBy("row").agg(F.max(F.struct("size", "band", "own")).alias("top"))
+    homes = homes.select("row", F.xxhash64("top.band", "top.own").alias("home"))
+    member = F.struct("row", "root", "n_shingles", "home", "registers")
     packed = (
-        members.withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int"))
+        placed.join(homes, "row")
         .groupBy("band", "own", blocks.alias("blocks"))
         .agg(F.collect_list(member).alias("members"))
     )
@@ -247,24 +258,65 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     def columns(group: pd.DataFrame, own: int) -> tuple[np.ndarray, ...]:
         found = [m for block in group.loc[group["own"] == own, "members"] for m in block]
-        numbers = np.array([(m["row"], m["root"], m["n_shingles"]) for m in found], dtype=np.int64).reshape(-1, 3)
+        numbers = [(m["row"], m["root"], m["n_shingles"], m["home"]) for m in found]
         data = np.frombuffer(b"".join(m["registers"] for m in found), dtype=np.uint16)
-        return *numbers.T, data.reshape(-1, REGISTERS)
+        return *np.array(numbers, dtype=np.int64).reshape(-1, 4).T, data.reshape(-1, REGISTERS)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         low, high, band = (int(group[c].iloc[0]) for c in ("low", "high", "band"))
-        rows, roots, sizes, regs = columns(group, high)
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        for row, root, n, own in zip(*columns(group, low)):
+        rows, roots, sizes, homes, regs = columns(group, high)
+        found = [np.zeros((0, 4), dtype=np.int64)]
+        for row, root, n, home, own in zip(*columns(group, low)):
             fit = np.flatnonzero(roots != root)
             fit = fit[plausible(own[None, :], regs[fit], np.full(len(fit), n), sizes[fit], percent)]
             # A pair counts in the first of the buckets that hold both.
             fit = fit[common_bands(own[None, :], regs[fit]).argmax(axis=1) == band & 63]
-            found.append(np.stack([np.full(len(fit), row), rows[fit]], axis=1))
-        pairs = np.concatenate(found)
-        return pd.DataFrame({"u": pairs.max(axis=1), "v": pairs.min(axis=1)})
-
-    return keyed.groupBy("band", "low", "high").applyInPandas(compare, "u long, v long")
+            fit = fit[rows[fit] < row] if low == high else fit
+            pairs = np.stack([np.full(len(fit), home), homes[fit], np.full(len(fit), row), rows[fit]], axis=1)
+            turned = pairs[:, 0] > pairs[:, 1]
+            pairs[turned] = pairs[turned][:, [1, 0, 3, 2]]
+            found.append(pairs)
+        pairs = pd.DataFrame(np.concatenate(found), columns=["home_u", "home_v", "us", "vs"])
+        if not len(pairs):
+            return pairs.astype({"us": object, "vs": object})
+        return pairs.groupby(["home_u", "home_v"]).agg(list).reset_index()
+
+    kind = "home_u long, home_v long, us array<long>, vs array<long>"
+    return keyed.groupBy("band", "low", "high").applyInPandas(compare, kind)
+
+
+def _block_links(lists: DataFrame, sketches: DataFrame, docs: DataFrame, limits: Limits, scratch: Scratch) -> DataFrame:
+    """The listed pairs whose full sets reach the limit; a set travels once for each pair of homes."""
+    homes = F.col("home_u").alias("at_u"), F.col("home_v").alias("at_v")
+    needed = lists.select(*homes, F.explode(F.array_union("us", "vs")).alias("row")).distinct()
+    table = scratch.write(_sets(needed.select("row").distinct(), sketches, docs, limits), "block-sets")
+    sets = needed.join(table.dropDuplicates(["row"]), "row")
+
+    def confirm(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        parts = [np.frombuffer(h, dtype=np.uint64) for h in sets["hashes"]]
+        sizes = np.array([len(p) for p in parts])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        values, words = np.unique(np.concatenate(parts), return_inverse=True)
+        at = pd.Series(np.arange(len(parts)), index=sets["row"].to_numpy())
+        us, vs = (at.loc[np.concatenate(pairs[c].to_numpy())].to_numpy() for c in ("us", "vs"))
+        order = np.lexsort((vs, us))
+        us, vs = us[order], vs[order]
+        mark, found = np.zeros(len(values), dtype=bool), []
+        for group in np.split(np.arange(len(us)), np.flatnonzero(np.diff(us)) + 1):
+            u = us[group[0]]
+            own = words[starts[u] : starts[u + 1]]
+            mark[own] = True
+            for v in np.unique(vs[group]):
+                common = np.count_nonzero(mark[words[starts[v] : starts[v + 1]]])
+                if 100 * common >= limits.percent * (sizes[u] + sizes[v] - common):
+                    found.append((u, v))
+            mark[own] = False
+        rows = at.index.to_numpy()[np.array(found, dtype=np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"u": rows.max(axis=1), "v": rows.min(axis=1)})
+
+    return lists.groupBy("home_u", "home_v").cogroup(sets.groupBy("at_u", "at_v")).applyInPandas(confirm, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -279,7 +331,7 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     own = heads.select("row", "n_shingles", F.lit(False).alias("above"), F.explode("bands").alias("band"))
     above = heads.select("row", "n_shingles", F.lit(True).alias("above"), F.explode("upper_bands").alias("band"))
     bands = scratch.write(own.union(above), "bands")
-    buckets = bands.groupBy("band").agg(F.min("row").alias("first"), F.count("*").alias("size")).where("size > 1")
+    buckets = bands.groupBy("band").agg(F.min("row").alias("first"), F.count("*").alias("size"), F.sum("n_shingles").alias("total")).where("size > 1")
     # Only buckets with company go on.
     shared = scratch.write(bands.join(buckets, "band"), "shared")
     scratch.drop("bands")
@@ -313,13 +365,13 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     large = unresolved.where(F.col("size") > SMALL).join(chosen.select("row", "registers", "upper"), "row")
     large = large.withColumn("registers", F.when(F.col("above"), F.col("upper")).otherwise(F.col("registers")))
     tested = likely.select("u", "v")
-    pairs = _estimated(across.distinct().join(tested, ["u", "v"], "left_anti"), chosen, limits.percent).union(
-        _block_pairs(large, limits.percent).distinct().join(tested, ["u", "v"], "left_anti")
-    )
-    more = scratch.write(pairs.distinct(), "more")
-    late = _confirmed(more, chosen, docs, limits, scratch, "late-sets")
+    more = scratch.write(_estimated(across.distinct().join(tested, ["u", "v"], "left_anti"), chosen, limits.percent), "more")
+    late = scratch.write(_confirmed(more, chosen, docs, limits, scratch, "late-sets"), "late")
+    lists = scratch.write(_block_pairs(large, limits.percent), "lists")
+    scratch.drop("shared", "unresolved", "late-sets")
+    late = late.union(_block_links(lists, chosen, docs, limits, scratch))
     all_links = scratch.write(links.union(late), "all-links")
-    scratch.drop("late-sets", "shared", "unresolved")
+    scratch.drop("lists", "block-sets")
     final = components(all_links, scratch, "final")
 
     rooted = classes.join(final.withColumnRenamed("node", "row"), "row", "left").withColumn(
