@@ -242,16 +242,19 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     large; a task holds two of them at a time.  A row's home is its block in its
     largest bucket, so that lists between the same two homes can be confirmed together.
     """
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int")
-    placed = members.withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int"))
-    homes = placed.groupBy("row").agg(F.max(F.struct("size", "band", "own")).alias("top"))
-    homes = homes.select("row", F.xxhash64("top.band", "top.own").alias("home"))
-    member = F.struct("row", "root", "n_shingles", "home", "registers")
-    packed = (
-        placed.join(homes, "row")
-        .groupBy("band", "own", blocks.alias("blocks"))
-        .agg(F.collect_list(member).alias("members"))
-    )
+
+    def place(bucket):
+        blocks = F.ceil(F.greatest(bucket["size"] / BLOCK, bucket["total"] / BLOCK_HASHES)).cast("int")
+        own = F.pmod(F.xxhash64("row"), blocks).cast("int")
+        names = bucket["size"], bucket["band"], own.alias("own"), blocks.alias("blocks"), bucket["above"]
+        return F.struct(*(c.alias(n) for c, n in zip(names, ("size", "band", "own", "blocks", "above"))))
+
+    placed = members.withColumn("places", F.transform("buckets", place)).drop("buckets")
+    top = F.array_max("places")
+    placed = placed.withColumn("home", F.xxhash64(top["band"], top["own"])).withColumn("place", F.explode("places"))
+    own_registers = F.when(F.col("place.above"), F.col("upper")).otherwise(F.col("registers"))
+    member = F.struct("row", "root", "n_shingles", "home", own_registers.alias("registers"))
+    packed = placed.groupBy("place.band", "place.own", "place.blocks").agg(F.collect_list(member).alias("members"))
     keyed = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "members"
     )
@@ -362,8 +365,9 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         .where(_sizes("n_shingles", "n_v", limits.percent))
         .select(F.col("row").alias("u"), "v")
     )
-    large = unresolved.where(F.col("size") > SMALL).join(chosen.select("row", "registers", "upper"), "row")
-    large = large.withColumn("registers", F.when(F.col("above"), F.col("upper")).otherwise(F.col("registers")))
+    bucket = F.struct("band", "size", "total", "above")
+    large = unresolved.where(F.col("size") > SMALL).groupBy("row", "root", "n_shingles").agg(F.collect_list(bucket).alias("buckets"))
+    large = large.join(chosen.select("row", "registers", "upper"), "row")
     tested = likely.select("u", "v")
     more = scratch.write(_estimated(across.distinct().join(tested, ["u", "v"], "left_anti"), chosen, limits.percent), "more")
     late = scratch.write(_confirmed(more, chosen, docs, limits, scratch, "late-sets"), "late")
