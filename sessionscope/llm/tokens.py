@@ -30,7 +30,7 @@ class WordEncoder:
 
     _shared: dict = {}
 
-    def __init__(self, path: str, limit: int = 1_000_000, joined: int = 512):
+    def __init__(self, path: str, limit: int = 300_000, joined: int = 512):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit, self.joined = limit, joined
