@@ -7,12 +7,16 @@ distinct cut encoded once by the tokenizer and the ids strung together again.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
+# Spark keeps the cores busy; the tokenizer's own threads would only wait for each other.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 ID_TYPE = "<u4"
 ID_BYTES = 4
 SEGMENT = 1 << 20
