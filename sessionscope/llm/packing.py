@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,12 +50,13 @@ def projection(vocabulary: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Ids and points; ``row`` is unique, so write the table before reading it twice."""
+    """Compressed ids and points; ``row`` is unique, so write the table before reading it twice."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.shared(tokenizer)
         vocabulary = max(len(encoder.n_bytes), end_id + 1)
         table, kind = projection(vocabulary), STORED[vocabulary <= 1 << 16]
+        compress = zstandard.ZstdCompressor(level=1).compress
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             stored, counts, points = [], [], []
@@ -63,7 +65,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 seen, times = np.unique(ids, return_counts=True)
                 point = times @ table[seen]
                 points.append(point / np.sqrt((times.astype(float) ** 2).sum()))
-                stored.append(ids.astype(kind).tobytes())
+                stored.append(compress(ids.astype(kind).tobytes()))
                 counts.append(len(ids))
             n = batch.num_rows
             rows = pa.array(range(row, row + n), pa.int64())
@@ -167,10 +169,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, i
     names = [field.split()[0] for field in PIECES.split(", ")][: 8 if ids else 7]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
             for doc_id, data, at in zip(batch["doc_id"].array, batch["ids"], batch["at"]):
-                tokens = np.frombuffer(data, dtype=kind).astype(ID_TYPE)
+                tokens = np.frombuffer(decompress(data), dtype=kind).astype(ID_TYPE)
                 for start, size, sequence, offset in cutter.pieces(int(at), len(tokens)):
                     piece = tokens[start : start + size]
                     row = (doc_id, start, size, zlib.crc32(piece.tobytes()), len(tokens), sequence, offset)
