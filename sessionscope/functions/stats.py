@@ -69,15 +69,18 @@ def correlation_t(r: Column, n: Column) -> Column:
     return ratio(r * F.sqrt((n - 2).cast("double")), F.sqrt(1 - r * r))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
+TERMS = 20_000
+
+
+def _body_fraction(a: float, y: float) -> float:
+    """Continued fraction of I_y(1/2, a) over its front (modified Lentz); quick for small ``a * y``."""
+    tiny, b = 1e-300, 0.5
+    c, d = 1.0, 1.0 - (a + b) * y / (b + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 1000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+    for m in range(1, TERMS):
+        even = m * (a - m) * y / ((b + 2 * m - 1) * (b + 2 * m))
+        odd = -(b + m) * (a + b + m) * y / ((b + 2 * m) * (b + 2 * m + 1))
         for term in (even, odd):
             d = 1.0 + term * d
             d = 1.0 / (d if abs(d) > tiny else tiny)
@@ -85,8 +88,35 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"no convergence at a={a}, y={y}")
+
+
+def _tail_fraction(a: float, u: float) -> float:
+    """2F1(1/2, 1; a + 1; -u) as Gauss's fraction: positive terms only, so nothing cancels."""
+    c, d, value = 1.0, 0.0, 1.0
+    for k in range(TERMS):
+        odd = (k + 0.5) * u * (a + k) / (a + 2 * k) / (a + 2 * k + 1)
+        even = (k + 1) * u * (a + k + 0.5) / (a + 2 * k + 1) / (a + 2 * k + 2)
+        for term in (odd, even):
+            d = 1.0 / (1.0 + term * d)
+            c = 1.0 + term / c
+            value *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            return 1.0 / value
+    raise ArithmeticError(f"no convergence at a={a}, u={u}")
+
+
+def _log_gamma_step(a: float) -> float:
+    """log(Gamma(a + 1/2) / Gamma(a)), moved up to where Stirling's remainders are exact."""
+    moved, z = 0.0, a + 20.0
+    for i in range(20):
+        moved += math.log1p(-0.5 / (a + i + 0.5))
+
+    def remainder(v: float) -> float:
+        return 1 / (12 * v) - 1 / (360 * v**3) + 1 / (1260 * v**5) - 1 / (1680 * v**7)
+
+    return moved + z * math.log1p(0.5 / z) - 0.5 + 0.5 * math.log(z) + remainder(z + 0.5) - remainder(z)
 
 
 def two_sided_normal(z: float) -> float:
@@ -94,18 +124,17 @@ def two_sided_normal(z: float) -> float:
 
 
 def two_sided_student(t: float, df: float) -> float:
-    """``P(|T| > |t|)`` as the regularised incomplete beta I_x(df/2, 1/2)."""
+    """``P(|T| > |t|)``; the part above ``y = t*t / (df + t*t)`` is never taken as ``1 - y``."""
     if math.isinf(t):
         return 0.0
-    a, b, x = df / 2.0, 0.5, df / (df + t * t)
-    if x >= 1.0:
+    a, square = df / 2.0, t * t
+    y = square / (df + square)
+    if y <= 0.0:
         return 1.0
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _beta_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
+    log_front = _log_gamma_step(a) - 0.5 * math.log(math.pi) - a * math.log1p(square / df) + 0.5 * math.log(y)
+    if y * (a + 2.5) > 1.5:
+        return math.exp(log_front) * _tail_fraction(a, df / square) / (a * y)
+    return 1.0 - 2.0 * math.exp(log_front) * _body_fraction(a, y)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -32,6 +32,21 @@ def test_student_tail_approaches_normal():
         assert stats.two_sided_student(t, 1e7) == pytest.approx(stats.two_sided_normal(t), rel=1e-5)
 
 
+@pytest.mark.parametrize("df", [1e7, 1e8, 1e9, 1e10, 1e11, 1e12])
+@pytest.mark.parametrize("t", [0.05, 0.3, 1.0, 1.7, 2.5, 4.0, 9.0])
+def test_student_tail_at_large_n(t, df):
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    limit = math.erfc(t / math.sqrt(2)) + density * (t**3 + t) / (2 * df)
+    assert stats.two_sided_student(t, df) == pytest.approx(limit, rel=1e-9)
+
+
+@pytest.mark.parametrize("t", [0.01, 0.4, 1.0, 1.2, 3.0, 50.0, 1e6])
+def test_student_tail_closed_forms(t):
+    assert stats.two_sided_student(t, 1) == pytest.approx(2 * math.atan(1 / t) / math.pi, rel=1e-12)
+    root = math.sqrt(2 + t * t)
+    assert stats.two_sided_student(-t, 2) == pytest.approx(2 / (root * (root + t)), rel=1e-12)
+
+
 def test_student_tail_against_integration():
     df, t, steps = 23.7, 1.83, 20000
     scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
