@@ -40,7 +40,6 @@ from sessionscope.labels import (
 from sessionscope.operators.rollup import dimension_rollup, grouping_rollup
 from sessionscope.schema import (
     ALPHA,
-    DEVICES,
     DROP_DATE,
     DROP_DAYS,
     LAUNCH_DATE,
@@ -345,10 +344,11 @@ def _segment_lift() -> Column:
     return relative_change(_rate("c1", "n1"), _rate("c2", "n2"))
 
 
-def _segment_is_large(devices: tuple, device_gate: int, source_gate: int) -> Column:
-    """Both windows must hold enough rows; the gate differs by dimension."""
+def _segment_is_large(devices: tuple | None, device_gate: int, source_gate: int) -> Column:
+    """Both windows must hold enough rows; the gate differs by dimension. No list means all devices."""
     n1, n2 = F.col("n1"), F.col("n2")
-    device = (F.col("dimension") == "device") & F.col("key").isin(*devices)
+    listed = F.col("key").isNotNull() if devices is None else F.col("key").isin(*devices)
+    device = (F.col("dimension") == "device") & listed
     source = (F.col("dimension") == "traffic_source") & (n1 > 0) & F.col("key").isNotNull()
     return (device & (n1 >= device_gate) & (n2 >= device_gate)) | (
         source & (n1 >= source_gate) & (n2 >= source_gate)
@@ -366,7 +366,7 @@ def _segment_concern(worst: float) -> Column:
 
 def launch_side_effects(
     sessions: DataFrame,
-    devices: tuple = DEVICES,
+    devices: tuple | None = None,
     device_gate: int = 100,
     source_gate: int = 500,
     worst_lift: float = -0.05,
@@ -393,7 +393,7 @@ def launch_side_effects(
 def launch_report(
     sessions: DataFrame,
     alpha: float = ALPHA,
-    devices: tuple = DEVICES,
+    devices: tuple | None = None,
     device_gate: int = 100,
     source_gate: int = 500,
     worst_lift: float = -0.05,

@@ -246,6 +246,16 @@ def test_small_segments_are_gated(spark):
     assert effects[0]["concern"] == "⚠️ Regression on segment"
 
 
+def test_a_fourth_device_is_a_segment_unless_a_list_leaves_it_out(spark):
+    rows = drop_rows("2024-04-20", 6, 3, device="tv") + drop_rows("2024-05-02", 6, 2, device="tv")
+    table = sessions_of(spark, rows)
+    gates = {"device_gate": 5, "source_gate": 50}
+    assert [r["segment"] for r in collect(launch.launch_side_effects(table, **gates))] == ["Device: tv"]
+    assert not collect(launch.launch_side_effects(table, devices=("mobile",), **gates))
+    report = collect(launch.launch_report(table, **gates))
+    assert [r["metric"] for r in report if r["section"] == "Side effects"] == ["Device: tv"]
+
+
 def test_correlation_of_a_constant_is_null(spark):
     row = northstar.load_cr_correlation(sessions_of(spark, [{"converted": 1}, {"converted": 0}])).first()
     assert row.correlation_with_cr is None and row.p_value is None
