@@ -32,13 +32,13 @@ def measure_rps(sessions: DataFrame, by: tuple = (), digits: int | None = None)
 def measure_cr_vs_baseline(sessions: DataFrame, by: tuple = ("date",), digits: int | None = None) -> DataFrame:
     """Rate of each group relative to the rate of everything.
 
-    The total is a window over the grouped rows, not a second scan.
+    The total is one row of the same grouped rows, attached to each of them.
     """
-    everything = Window.partitionBy()
     groups = sessions.groupBy(*by).agg(F.count("*").alias("n"), F.sum("converted").alias("c"))
     current = safe_divide(F.col("c"), F.col("n"))
-    baseline = safe_divide(F.sum("c").over(everything), F.sum("n").over(everything))
-    out = groups.select(
+    total = groups.agg(safe_divide(F.sum("c"), F.sum("n")).alias("_baseline"))
+    baseline = F.col("_baseline")
+    out = groups.crossJoin(F.broadcast(total)).select(
         *by,
         current.alias("conversion_rate"),
         safe_divide(current - baseline, baseline).alias("cr_vs_baseline"),

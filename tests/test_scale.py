@@ -12,6 +12,7 @@ from sessionscope.operators import (
     cohorts,
     diagnosis,
     launch,
+    measures,
     northstar,
     quality,
     segments,
@@ -68,6 +69,11 @@ def test_number_of_scans(sessions, operator, params, scans):
     assert final_plan(operator(sessions, **params)).count("FileScan") == scans
 
 
+def test_baseline_is_one_row_beside_the_groups(sessions):
+    plan = final_plan(measures.measure_cr_vs_baseline(sessions, by=("user_id",)))
+    assert plan.count("FileScan") == 1 and "Window" not in plan
+
+
 def test_dates_reach_the_scan(sessions):
     plan = final_plan(diagnosis.drop_verify_ztest(sessions, **DROP))
     pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
