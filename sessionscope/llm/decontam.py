@@ -9,9 +9,13 @@ one by one.  An item is found in a document if
 * ``min_words`` or more words match in a stretch of the item in which no two substituted
   words follow each other and at least ``share`` of the words match.
 
-Words are runs of letters and digits in lower case.  An item shorter than the longest
-mask is sought by masks cut to its length (every word is compared then).  Null or wordless
-texts on either side match nothing.  Equal items are each reported.  Documents that
+Of any five-word pieces that an item or stretch is cut into, one has at most one substituted
+word, since at most a fifth of the words is substituted.  The masks compare four words of
+five, each choice of four, so every overlap that the rule accepts shares a seed.  This
+holds for shares of 0.8 or more.
+
+Words are runs of letters and digits in lower case.  Items below five words are sought
+whole: one word of them is more than a fifth.  Null or wordless texts on either side match nothing.  Equal items are each reported.  Documents that
 share a doc_id count as one; rows with null doc_id are reported under null.  Only doc_id
 and text, item_id and text are read.  The seeds of the benchmark are broadcast while
 they are counted to be at most ``BROADCAST_SEEDS``; otherwise both sides are shuffled by
@@ -27,8 +31,9 @@ from pyspark.sql import functions as F
 
 from sessionscope.llm.common import Scratch
 
-# Places of a window that each mask compares.
-MASKS = ((0, 1, 2, 4, 7, 9), (0, 2, 3, 6, 7, 8), (0, 1, 4, 5, 6, 9))
+# Places of a window that each mask compares.  The first mask also fits
+# a window of four words, where it stands for the places 1 to 4 of the window before.
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
 SPAN = 1 + max(max(mask) for mask in MASKS)
 BROADCAST_SEEDS = 2_000_000
 
@@ -38,6 +43,10 @@ class Rule:
     min_words: int = 13
     share: float = 0.8
 
+    def __post_init__(self):
+        if self.share < 0.8:
+            raise ValueError("share must be 0.8 or more: seeds allow one substituted word in five")
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -59,11 +68,15 @@ def _seed_rows(rows: DataFrame, *kept: str) -> DataFrame:
     """
     used = sorted({p for mask in MASKS for p in mask})
     windows = F.transform(
-        F.sequence(F.lit(0), F.size("hashes") - SPAN),
-        lambda i: F.struct(i.alias("at"), *[F.col("hashes")[i + p].alias(f"w{p}") for p in used]),
+        F.sequence(F.lit(0), F.size("hashes") - SPAN + 1),
+        lambda i: F.struct(i.alias("at"), *[F.get("hashes", i + p).alias(f"w{p}") for p in used]),
     )
     placed = rows.where(F.size("hashes") >= SPAN).select(*kept, F.inline(windows))
-    seeds = [F.xxhash64(F.lit(n), *[f"w{p}" for p in mask]) for n, mask in enumerate(MASKS)]
+    # In the last window there is no last word; null meets nothing.
+    seeds = [
+        F.when(F.col(f"w{max(mask)}").isNotNull(), F.xxhash64(F.lit(n), *[f"w{p}" for p in mask]))
+        for n, mask in enumerate(MASKS)
+    ]
     return placed.select(*kept, "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
@@ -144,6 +157,11 @@ def _whole_seed(sizes: list[int]) -> Column:
     return chosen
 
 
+# The SQL check keeps the masks it was written with, so it is a check on what they reach only.
+SQL_MASKS = ((0, 1, 2, 4, 7, 9), (0, 2, 3, 6, 7, 8), (0, 1, 4, 5, 6, 9))
+SQL_SPAN = 10
+
+
 def _sql_seed(places: tuple) -> str:
     return " || ' ' || ".join(f"w[p0 + {p + 1}]" for p in places)
 
@@ -155,10 +173,10 @@ WITH texts AS (
 items AS (
     SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
     FROM benchmark),
-item_at AS (SELECT item_id, w, unnest(range(0, len(w) - {SPAN - 1})) AS p0 FROM items WHERE len(w) >= {SPAN}),
-text_at AS (SELECT doc_id, r, w, unnest(range(0, len(w) - {SPAN - 1})) AS p0 FROM texts WHERE len(w) >= {SPAN}),
-test AS ({" UNION ALL ".join(f"SELECT item_id, p0, {n} AS m, {_sql_seed(mask)} AS seed FROM item_at" for n, mask in enumerate(MASKS))}),
-train AS ({" UNION ALL ".join(f"SELECT doc_id, r, p0, {n} AS m, {_sql_seed(mask)} AS seed FROM text_at" for n, mask in enumerate(MASKS))}),
+item_at AS (SELECT item_id, w, unnest(range(0, len(w) - {SQL_SPAN - 1})) AS p0 FROM items WHERE len(w) >= {SQL_SPAN}),
+text_at AS (SELECT doc_id, r, w, unnest(range(0, len(w) - {SQL_SPAN - 1})) AS p0 FROM texts WHERE len(w) >= {SQL_SPAN}),
+test AS ({" UNION ALL ".join(f"SELECT item_id, p0, {n} AS m, {_sql_seed(mask)} AS seed FROM item_at" for n, mask in enumerate(SQL_MASKS))}),
+train AS ({" UNION ALL ".join(f"SELECT doc_id, r, p0, {n} AS m, {_sql_seed(mask)} AS seed FROM text_at" for n, mask in enumerate(SQL_MASKS))}),
 hits AS (SELECT DISTINCT doc_id, r, item_id, train.p0 - test.p0 AS shift FROM train JOIN test USING (m, seed)),
 matching AS (
     SELECT h.doc_id, h.r, h.item_id, h.shift, len(i.w) AS n, j

@@ -225,6 +225,61 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs_frame(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def brute_passages(docs, items, share=0.8, least=13):
+    """Most matches of each document and item over all alignments; knows no seeds."""
+    found = {}
+    for d, text in docs:
+        for i, item in items:
+            own, words = item.split(), text.split()
+            for shift in range(1 - len(own), len(words)):
+                at = [j for j in range(max(0, -shift), min(len(own), len(words) - shift)) if own[j] == words[j + shift]]
+                stretches = []
+                for j in at:
+                    if not stretches or j - stretches[-1][-1] > 2:
+                        stretches.append([])
+                    stretches[-1].append(j)
+                good = any(len(s) >= least and len(s) >= share * (s[-1] - s[0] + 1) for s in stretches)
+                if len(at) >= share * len(own) or good:
+                    found[d, i] = max(found.get((d, i), 0), len(at))
+    return found
+
+
+def substituted(words, places):
+    return [f"other{j}" if j in places else w for j, w in enumerate(words)]
+
+
+def test_seeds_meet_every_accepted_overlap():
+    lead = decontam.SPAN - 1
+    for n in range(decontam.SPAN, 21):
+        windows = [{i + p for p in mask} for mask in decontam.MASKS for i in range(n - max(mask)) if i <= n - lead]
+        for places in combinations(range(n), n // 5):
+            assert any(w.isdisjoint(places) for w in windows), (n, places)
+
+
+@pytest.mark.parametrize("sizes", [(10, 11, 12, 15, 16, 20, 40)])
+def test_decontamination_against_all_alignments(spark, sizes):
+    rng = random.Random(8)
+    items, docs = [], []
+    for n in sizes:
+        item = [rng.choice(WORDS) for _ in range(n)]
+        items.append((n, " ".join(item)))
+        patterns = list(combinations(range(n), n // 5)) if n < 13 else [rng.sample(range(n), n // 5) for _ in range(40)]
+        patterns += [rng.sample(range(n), n // 5 + 1) for _ in range(5)] + [(0,), ()]
+        for places in patterns:
+            around = [[f"filler{rng.randrange(50)}" for _ in range(rng.choice((0, 3)))] for _ in range(2)]
+            docs.append((len(docs), " ".join(around[0] + substituted(item, places) + around[1])))
+        if n == 40:
+            # A stretch of 16 words with three substituted ones, all other words foreign.
+            for _ in range(40):
+                gone = {*range(12), *range(28, 40), *(12 + j for j in rng.choice([(3, 7, 11), (2, 5, 8), (4, 8, 12), (3, 8, 13)]))}
+                docs.append((len(docs), " ".join(substituted(item, gone))))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contaminated(docs_frame(spark, docs), benchmark).collect()
+    expected = brute_passages(docs, items)
+    assert {(r.doc_id, r.item_id): r.matches for r in found} == expected
+    assert len(expected) > 200
+
+
 # --- near duplicates ------------------------------------------------------
 
 
