@@ -1,11 +1,15 @@
 """License scans by conditional compression.
 
-A candidate block is what stands within ``reach`` words of a word about licensing, in one
-line.  It is compressed plainly and with each template as raw zstandard dictionary.  The
-template that saves the largest share of the size wins (ties: the first by name), if it
-saves at least ``min_saving``.  A winner is confirmed by its wording: from the first to
-the last word that block and template share, the words that differ are listed, and at most
-``max_differences`` of the template's words may differ, none of them a number.
+Around each word about licensing, blocks of as many words as a template has are slid over
+one line, so prose around a notice does not thin its saving.  A block is compressed plainly
+and with the template as raw zstandard dictionary; templates that save at least
+``min_saving`` of the size in their best block are judged by their wording: from the first
+to the last word that block and template share, the words that differ are listed, and at
+most ``max_differences`` of the template's words may differ, none of them a number.  Among
+templates whose blocks overlap, confirmed ones win, then the one that shares the most words
+less those that differ, then the larger saving, then the first by name; so notices that
+stand beside each other are each reported.  ``line``, ``word`` and ``block`` are those of
+the block, whose words are joined by blanks; marks without a letter or digit are left out.
 
 Null and empty texts have no block.  Lines that repeat are each reported.  Rows that repeat
 are scanned as often as they occur.  An empty table gives no row.  Only doc_id and text
@@ -15,6 +19,7 @@ are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -56,14 +61,13 @@ FOUND = (
 
 @dataclass(frozen=True)
 class Settings:
-    reach: int = 30
     min_saving: float = 0.3
     max_differences: float = 0.2
     level: int = 9
 
 
 class Scanner:
-    """Ranks templates for a block and confirms the best."""
+    """Finds the notices of a text: blocks under templates, confirmed by wording."""
 
     def __init__(self, templates: dict[str, str], settings: Settings):
         self.settings = settings
@@ -71,6 +75,7 @@ class Scanner:
         self.names = sorted(templates)
         self.with_template = [self._compressor(templates[n]) for n in self.names]
         self.words = [words_of(templates[n]) for n in self.names]
+        self.lengths = [len(templates[n].split()) for n in self.names]
 
     def _compressor(self, template: str | None) -> zstandard.ZstdCompressor:
         content = None
@@ -80,23 +85,60 @@ class Scanner:
             level=self.settings.level, dict_data=content, write_content_size=False, write_dict_id=False
         )
 
-    def scan(self, block: str) -> tuple[str, float, list[str], bool] | None:
-        """License, saving, differences and verdict for the best template, or None."""
-        data = block.lower().encode()
-        size = len(self.plain.compress(data))
-        savings = [(size - len(c.compress(data))) / size for c in self.with_template]
-        own = words_of(block)
-        # A template a little longer may save as much; among the nearest the wording decides.
-        best = max(savings)
-        if best < self.settings.min_saving:
-            return None
-        near = [i for i, s in enumerate(savings) if s >= best - 0.1 and s >= self.settings.min_saving]
-        judged = [(len(differences(self.words[i], own)), -savings[i], i) for i in near]
-        i = min(judged)[2]
-        changed = differences(self.words[i], own)
-        allowed = self.settings.max_differences * len(self.words[i])
+    def scan(self, text: str) -> tuple[str, float, list[str], bool] | None:
+        """License, saving, differences and verdict of the best notice, or None."""
+        found = self._chosen([t for t, _ in tokens_of(text)], cues_of(text))
+        return found[0][1:5] if found else None
+
+    def notices(self, text: str) -> list[tuple[int, str, float, list[str], bool, str]]:
+        """Place in the text of the first word, then license, saving, differences, verdict and block, in order."""
+        tokens = tokens_of(text)
+        words = [t for t, _ in tokens]
+        found = self._chosen(words, cues_of(text, tokens))
+        return [(tokens[low][1], *rest, " ".join(words[low:high])) for low, *rest, high in sorted(found, key=lambda f: f[0])]
+
+    def _chosen(self, words: list[str], cues: list[int]) -> list[tuple[int, str, float, list[str], bool, int]]:
+        """The winners, best first, with their first place and the place behind their last."""
+        lower = [w.lower() for w in words]
+        sizes = {}
+        judged = []
+        for i, name in enumerate(self.names):
+            length = self.lengths[i]
+            seen = {}
+            for cue in cues:
+                best = None
+                last = max(0, len(words) - length)
+                for low in range(max(0, min(cue - length + 1, last)), min(cue, last) + 1):
+                    if low not in seen:
+                        data = " ".join(lower[low : low + length]).encode()
+                        size = sizes.get((low, length)) or len(self.plain.compress(data))
+                        sizes[low, length] = size
+                        seen[low] = (size - len(self.with_template[i].compress(data))) / size
+                    if best is None or seen[low] > seen[best]:
+                        best = low
+                if seen[best] >= self.settings.min_saving:
+                    judged.append(self._judged(i, best, seen[best], words))
+        taken = set()
+        chosen = []
+        for *_, low, high, found in sorted(judged, key=lambda j: j[:-1]):
+            if taken.isdisjoint(range(low, high)):
+                taken.update(range(low, high))
+                chosen.append((low, *found, high))
+        return chosen
+
+    def _judged(self, i: int, low: int, saving: float, words: list[str]) -> tuple:
+        """What candidates are sorted by, place, end, and the findings."""
+        template = self.words[i]
+        allowed = self.settings.max_differences * len(template)
+        high = min(len(words), low + self.lengths[i])
+        # Added words push a notice beyond the block; those allowed are looked at too.
+        more = int(allowed)
+        near = " ".join(words[low:high]), " ".join(words[max(0, low - more) : high + more])
+        changed = min((differences(template, words_of(block)) for block in near), key=len)
         confirmed = len(changed) <= allowed and not any(any(c.isdigit() for c in w) for w in changed)
-        return self.names[i], savings[i], changed, confirmed
+        shared = len(template) - sum(w.startswith("-") for w in changed)
+        found = (self.names[i], saving, changed, confirmed)
+        return (not confirmed, len(changed) - shared, -saving, self.names[i], low, high, found)
 
 
 def words_of(text: str) -> list[str]:
@@ -118,24 +160,15 @@ def differences(template: list[str], block: list[str]) -> list[str]:
     return changed
 
 
-def blocks_of(line: str, reach: int) -> Iterator[tuple[int, str]]:
-    """Number of the first word and text of each stretch around the cue words of a line."""
-    spans = [m.span() for m in re.finditer(r"\S+", line)]
-    cues = [m.start() for m in re.finditer(CUE, line)]
-    begun = None
-    i = 0
-    for cue in cues:
-        while i + 1 < len(spans) and spans[i + 1][0] <= cue:
-            i += 1
-        low, high = max(0, i - reach), min(len(spans), i + reach + 1)
-        if begun is not None and low <= begun[1]:
-            begun = (begun[0], high)
-            continue
-        if begun is not None:
-            yield begun[0], line[spans[begun[0]][0] : spans[begun[1] - 1][1]]
-        begun = (low, high)
-    if begun is not None:
-        yield begun[0], line[spans[begun[0]][0] : spans[begun[1] - 1][1]]
+def tokens_of(text: str) -> list[tuple[str, int]]:
+    """Stretches without white space that hold a letter or digit, and where they begin."""
+    return [(m.group(), m.start()) for m in re.finditer(r"\S+", text) if re.search(r"\w", m.group())]
+
+
+def cues_of(text: str, tokens: list[tuple[str, int]] | None = None) -> list[int]:
+    """Numbers of the tokens with a word about licensing."""
+    starts = [at for _, at in (tokens_of(text) if tokens is None else tokens)]
+    return sorted({bisect_right(starts, m.start()) - 1 for m in re.finditer(CUE, text)})
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, settings: Settings = Settings()) -> DataFrame:
@@ -146,9 +179,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, settin
         for batch in batches:
             rows = []
             for doc_id, number, line in zip(batch["doc_id"].array, batch["line"], batch["text"]):
-                for word, block in blocks_of(line, settings.reach):
-                    if (found := scanner.scan(block)) is not None:
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), number, word, *found, block))
+                for at, *found in scanner.notices(line):
+                    word = len(line[:at].split())
+                    rows.append((None if pd.isna(doc_id) else int(doc_id), number, word, *found))
             frame = pd.DataFrame(rows, columns=names)
             yield frame.astype({"doc_id": "Int64"})
 

@@ -144,6 +144,22 @@ def test_licenses(spark):
         assert best[0] == name and best[2] == [] and best[3]
 
 
+PROSE = "der alte weg folgt dem fluss under the bridge and in any form of software people walk home while rain falls on this work of many hands".split()
+
+
+@pytest.mark.parametrize("around", [0, 10, 30])
+def test_notices_inside_prose(around):
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.Settings())
+    for name, template in licenses.TEMPLATES.items():
+        before, after = (" ".join(RANDOM.choice(PROSE) for _ in range(around)) for _ in range(2))
+        found = scanner.scan(f"{before} {template} {after}")
+        assert found is not None and found[0] == name and found[2] == [] and found[3], (name, found)
+    grant = licenses.TEMPLATES["MIT-grant"].replace("to deal", "to deal freely")
+    assert scanner.scan(" ".join(PROSE) + f" {grant} " + " ".join(PROSE))[::3] == ("MIT-grant", True)
+    driver = scanner.scan(" ".join(PROSE) + " licensed driver wanted " + " ".join(PROSE))
+    assert driver is None or not driver[3]
+
+
 def test_toxicity(spark):
     bad = ["grumpf", "zarkon", "blethix"]
     rows = []
