@@ -1,17 +1,18 @@
 """License scans by conditional compression.
 
 Around each word about licensing, blocks of as many words as a template has are slid over
-one line, so prose around a notice does not thin its saving.  A block is compressed plainly
+the text, so prose around a notice does not thin its saving.  White space of any kind
+separates words, so notices may be wrapped over lines.  A block is compressed plainly
 and with the template as raw zstandard dictionary; templates that save at least
 ``min_saving`` of the size in their best block are judged by their wording: from the first
 to the last word that block and template share, the words that differ are listed, and at
 most ``max_differences`` of the template's words may differ, none of them a number.  Among
 templates whose blocks overlap, confirmed ones win, then the one that shares the most words
 less those that differ, then the larger saving, then the first by name; so notices that
-stand beside each other are each reported.  ``line``, ``word`` and ``block`` are those of
-the block, whose words are joined by blanks; marks without a letter or digit are left out.
+stand beside each other are each reported.  ``line`` and ``word`` are those
+of the block's first word; the words of ``block`` are joined by blanks; marks without a letter or digit are left out.
 
-Null and empty texts have no block.  Lines that repeat are each reported.  Rows that repeat
+Null and empty texts have no block.  Notices that repeat are each reported.  Rows that repeat
 are scanned as often as they occur.  An empty table gives no row.  Only doc_id and text
 are read.
 """
@@ -52,7 +53,9 @@ TEMPLATES = {
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-CUE = r"(?i)\b(licen[sc]e[ds]?|licen[sc]ing|copyright|permission|redistribution|CC BY)\b"
+CUE = r"(?i)\b(licen[sc]e[ds]?|licen[sc]ing|copyright|permission|redistribution|CC\s+BY)\b"
+# For Spark, whose white space and word ends differ: passes at least every text with a cue.
+ROUGH = r"(?iu)(licen[sc]|copyright|permission|redistribution|CC[^\p{L}\p{N}_])"
 FOUND = (
     "doc_id long, line int, word int, license string, saving double, differences array<string>, "
     "confirmed boolean, block string"
@@ -178,14 +181,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, settin
         scanner, names = Scanner(templates, settings), [field.split()[0] for field in FOUND.split(", ")]
         for batch in batches:
             rows = []
-            for doc_id, number, line in zip(batch["doc_id"].array, batch["line"], batch["text"]):
-                for at, *found in scanner.notices(line):
-                    word = len(line[:at].split())
+            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
+                for at, *found in scanner.notices(text):
+                    number, word = text.count("\n", 0, at), len(text[text.rfind("\n", 0, at) + 1 : at].split())
                     rows.append((None if pd.isna(doc_id) else int(doc_id), number, word, *found))
             frame = pd.DataFrame(rows, columns=names)
             yield frame.astype({"doc_id": "Int64"})
 
-    lines = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), F.posexplode(F.split(docs["text"], "\n")).alias("line", "text")
-    )
-    return lines.where(F.col("text").rlike(CUE)).mapInPandas(scan, FOUND)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    return texts.where(F.col("text").rlike(ROUGH)).mapInPandas(scan, FOUND)

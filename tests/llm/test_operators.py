@@ -160,6 +160,38 @@ def test_notices_inside_prose(around):
     assert driver is None or not driver[3]
 
 
+WRAPPED = {
+    "Apache-2.0-header": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of it there.""",
+    "MIT-grant": """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "BSD-3-Clause": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met: redistributions of source code must retain the above notice.""",
+    "MPL-2.0": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0.""",
+    "CC-BY-4.0": "Licensed under CC\nBY\u00a04.0.",
+}
+
+
+def test_wrapped_notices(spark):
+    prose = " ".join(PROSE)
+    names = sorted(WRAPPED)
+    rows = [(i, f"{prose}\n{prose}\n{WRAPPED[n]}\n{prose}") for i, n in enumerate(names)]
+    rows += [(100, "\n".join(WRAPPED[n] for n in names))]
+    found = [r for r in licenses.scan_licenses(docs_frame(spark, rows)).collect() if r.confirmed]
+    assert sorted((r.doc_id, r.license, r.line) for r in found if r.doc_id < 100) == [(i, n, 2) for i, n in enumerate(names)]
+    assert sorted(r.license for r in found if r.doc_id == 100) == names
+    every = spark.createDataFrame([(i, t.replace(" ", "\n")) for i, t in enumerate(licenses.TEMPLATES.values())], "doc_id long, text string")
+    found = licenses.scan_licenses(every).collect()
+    assert sorted((r.doc_id, r.license) for r in found if r.confirmed) == list(enumerate(licenses.TEMPLATES))
+
+
 def test_toxicity(spark):
     bad = ["grumpf", "zarkon", "blethix"]
     rows = []
