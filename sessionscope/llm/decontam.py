@@ -95,6 +95,13 @@ def _short_rows(rows: DataFrame, sizes: list[int], *kept: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, item_id, item_words and the most matching words along one alignment."""
+    return passages(docs, benchmark, rule).groupBy("doc_id", "item_id").agg(
+        F.max("n").alias("item_words"), F.max(F.size("places")).alias("matches")
+    )
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """Accepted alignments: doc_id, h (the text's xxhash64), item_id, n, shift, places and breaks."""
     scratch = Scratch(docs.sparkSession, "decontam")
     items = benchmark.select("item_id", word_hashes(benchmark["text"]).alias("hashes")).where(F.size("hashes") > 0)
     items = scratch.write(items.withColumn("n", F.size("hashes")), "items")
@@ -143,10 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) ->
         return (count >= rule.min_words) & (count >= rule.share * length)
 
     long_enough = F.exists(F.transform("breaks", stretch), lambda good: good)
-    judged = cut.where((F.size("places") >= rule.share * F.col("n")) | long_enough)
-    return judged.groupBy("doc_id", "item_id").agg(
-        F.max("n").alias("item_words"), F.max(F.size("places")).alias("matches")
-    )
+    return cut.where((F.size("places") >= rule.share * F.col("n")) | long_enough)
 
 
 def _whole_seed(sizes: list[int]) -> Column:

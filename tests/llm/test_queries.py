@@ -38,3 +38,11 @@ def test_pipeline_stages(spark):
         assert kept.columns == columns, name
         assert 0.75 * docs.count() < kept.count() <= docs.count(), name
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
+
+
+def test_decontamination_spares_other_rows_of_an_id(spark):
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").head().text
+    rows = [(None, f"before {item} after"), (None, "clean without id"), (None, None), (1, item), (1, "clean with a repeated id"), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.decontaminated(spark, docs, SF_DIR).collect()
+    assert {tuple(r) for r in kept} == {rows[i] for i in (1, 2, 4, 5)} and len(kept) == 4
