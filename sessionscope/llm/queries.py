@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm import decontam, langid, licenses, linededup, neardup, packing, permindex, tokenstore, toxicity, warc
+from sessionscope.llm import decontam, hardneg, langid, licenses, linededup, neardup, packing, permindex, tokenstore, toxicity, warc
 from sessionscope.llm.common import Scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,6 +81,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(vectors["vec_id"] % 7 == 0, (vectors["label"] + 1) % 10).otherwise(vectors["label"])
+    return hardneg.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -88,4 +94,5 @@ def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 SQL: dict[str, str] = {
     "op3_decontamination": decontam.SQL,
     "op5_line_runs": linededup.SQL,
+    "op13_hard_negatives": hardneg.SQL,
 }
