@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm import decontam, hardneg, langid, licenses, linededup, neardup, packing, permindex, tokenstore, toxicity, warc
+from sessionscope.llm import chat, decontam, hardneg, langid, licenses, linededup, neardup, packing, permindex, tokenstore, toxicity, warc
 from sessionscope.llm.common import Scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,6 +81,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = dict(conversations.dtypes)
+    said = "</s>[INST] ok [/INST]"
+    two = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id int, turn int, role string, text string")
+    both = conversations.unionByName(two.select(*[F.col(name).cast(kind) for name, kind in kinds.items()]))
+    template, folder = chat.InstructTemplate(), f"{Scratch(spark, 'formatted').path}/pieces"
+    chat.write_formatted(chat.format_conversations(both, template), folder)
+    return chat.digests(chat.read_formatted(spark, folder, template))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     label = F.when(vectors["vec_id"] % 7 == 0, (vectors["label"] + 1) % 10).otherwise(vectors["label"])
@@ -94,5 +105,6 @@ def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 SQL: dict[str, str] = {
     "op3_decontamination": decontam.SQL,
     "op5_line_runs": linededup.SQL,
+    "op12_chat_format": chat.SQL,
     "op13_hard_negatives": hardneg.SQL,
 }
