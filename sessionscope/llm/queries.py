@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm import chat, decontam, hardneg, langid, licenses, linededup, neardup, packing, permindex, tokenstore, toxicity, warc
+from sessionscope.llm import chat, decontam, hardneg, langid, licenses, linededup, neardup, packing, permindex, repair, tokenstore, toxicity, warc
 from sessionscope.llm.common import Scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,6 +81,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_digests(conversations, repair.repair_conversations(repair.damaged(conversations)))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     kinds = dict(conversations.dtypes)
@@ -105,6 +110,7 @@ def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 SQL: dict[str, str] = {
     "op3_decontamination": decontam.SQL,
     "op5_line_runs": linededup.SQL,
+    "op11_conversation_repair": repair.SQL,
     "op12_chat_format": chat.SQL,
     "op13_hard_negatives": hardneg.SQL,
 }

@@ -70,14 +70,17 @@ def place_turns(frame: DataFrame, scratch: Scratch, blank: str = "") -> DataFram
     return numbered.join(F.broadcast(offsets), "task").select("conv_id", "turn", "role", "text", (F.col("at") + head).alias("position"))
 
 
-def fold_conversations(frame: DataFrame, order: list[str], step: Callable, schema: StructType | str) -> DataFrame:
+def fold_conversations(
+    frame: DataFrame, order: list[str], step: Callable, schema: StructType | str, by: tuple[str, ...] = ("conv_id",)
+) -> DataFrame:
     """Runs ``step(conversation id, rows)`` along every conversation, rows in the given order.
 
     ``rows`` is an iterator of dictionaries: a conversation is streamed through, never held.
-    ``step`` returns or yields result dictionaries.
+    ``step`` yields result dictionaries.  With further columns in ``by`` a conversation is dealt
+    to several tasks, and a step sees those of its rows that share a task.
     """
     target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    dealt = frame.repartition("conv_id").sortWithinPartitions("conv_id", *order)
+    dealt = frame.repartition(*by).sortWithinPartitions("conv_id", *order)
     return dealt.mapInArrow(_Fold(step, target), target)
 
 
