@@ -75,7 +75,7 @@ class Packed:
         """Exact inner products, one row for each anchor."""
         if self.size == 0:
             return np.zeros((len(anchors), self.n), dtype=np.int64)
-        shifted = anchors + self.reach
+        shifted = (anchors if self.kind is np.float64 else anchors.astype(object)) + self.reach
         total = shifted.astype(self.kind) @ self.words
         if self.kind is np.float64:
             total = total.astype(np.int64)  # whole numbers below 2^53, unchanged

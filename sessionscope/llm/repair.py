@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import partial
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,6 @@ LEGAL_PAIRS = ("su", "ua", "au")
 FULL_ROLE = {"u": "user", "a": "assistant"}
 
 BLANKS = " \t\n\x0b\x0c\r"
-CHUNK = 256
 NO_SIGN = "\x00"  # stands for the initial of an empty role
 
 Weight = tuple[int, int, str]
@@ -163,28 +164,22 @@ CHUNKS = (
 )
 
 
-def _chunk(key, rows: Iterator[dict]) -> Iterator[dict]:
-    """Faults and spans of one chunk; the key is its conversation, dealt by chunks."""
-    part, current = None, []
-    for row in rows:
-        if row["part"] != part and current:
-            yield _derived(key, part, current)
-            current = []
-        part = row["part"]
-        current.append(row)
-    yield _derived(key, part, current)
+def _chunked(size: int, conversation, rows: Iterator[dict]) -> Iterator[dict]:
+    """Faults and spans of the chunks of a conversation that came to this task."""
+    for part, turns in groupby(rows, key=lambda row: row["part"]):
+        yield _derived(size, conversation, part, list(turns))
 
 
-def _derived(key, part: int, rows: list[dict]) -> dict:
+def _derived(size: int, conversation, part: int, rows: list[dict]) -> dict:
     initials = [row["role"][:1] for row in rows]
     items = [(initial or NO_SIGN, row["fault"] in ("blank", "duplicate"), row["fault"] == "truncated") for initial, row in zip(initials, rows)]
-    if part == 0 and len(rows) < CHUNK:  # a whole conversation
+    if part == 0 and len(rows) < size:  # a whole conversation
         spans = {START: lightest(START, items, ACCEPTING, True)}
     else:  # what could be inserted before a later chunk is inserted after the earlier one
         spans = {start: lightest(start, items, None, part == 0) for start in ([START] if part == 0 else NEXT)}
     turns = [row["turn"] for row in rows if row["turn"] is not None]
     return {
-        "conv_id": key,
+        "conv_id": conversation,
         "part": part,
         "initials": "".join(x or NO_SIGN for x in initials),
         "n": len(rows),
@@ -238,8 +233,8 @@ def _along(conversation, chunks: Iterator[dict]) -> Iterator[dict]:
 class Repair:
     """Placed turns and the plan of their repair, both written; ``summary`` and ``rows`` read them."""
 
-    def __init__(self, placed: DataFrame, plans: DataFrame):
-        self.placed, self.plans = placed, plans
+    def __init__(self, placed: DataFrame, plans: DataFrame, chunk: int):
+        self.placed, self.plans, self.chunk = placed, plans, chunk
 
     def summary(self) -> DataFrame:
         """``conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit``, a row per conversation."""
@@ -254,7 +249,7 @@ class Repair:
         before it (-1 at the start) and places from 1.
         """
         kind = dict(self.plans.dtypes)["conv_id"]
-        planned = self.plans.select("conv_id", "part", "start", "audit", "initials").mapInArrow(_explode, f"conv_id {kind}, position long, place int, edit string, new_role string")
+        planned = self.plans.select("conv_id", "part", "start", "audit", "initials").mapInArrow(partial(_explode, self.chunk), f"conv_id {kind}, position long, place int, edit string, new_role string")
         kept, inserted = planned.where("edit <> 'I'"), planned.where("edit = 'I'")
         turn = self.placed.select(F.col("conv_id").alias("of"), F.col("position").alias("at"), "role", "text")
         same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("position") == F.col("at"))
@@ -264,16 +259,16 @@ class Repair:
         return texts.unionByName(inserted.select("conv_id", "position", "place", "edit", F.col("new_role").alias("role"), F.lit("").alias("text")))
 
 
-def _explode(batches):
+def _explode(size: int, batches):
     import pyarrow as pa
 
     for batch in batches:
-        for row in range(batch.num_rows):  # one chunk of at most CHUNK turns at a time
+        for row in range(batch.num_rows):  # one chunk of bounded length at a time
             part = batch.slice(row, 1).to_pylist()[0]
             out, place = [], 0
             for at, edit, role in applied(part["start"], part["audit"], part["initials"]):
                 place = place + 1 if edit == "I" else 0
-                out.append((part["part"] * CHUNK + at, place, edit, role))
+                out.append((part["part"] * size + at, place, edit, role))
             columns = [pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))]
             conv = batch.column("conv_id").take(pa.array([row] * len(out), pa.int64()))
             yield pa.RecordBatch.from_arrays([conv, *columns], names=["conv_id", "position", "place", "edit", "new_role"])
@@ -285,7 +280,7 @@ def _summed(conversation, plans: Iterator[dict]) -> Iterator[dict]:
     yield {"conv_id": conversation, **{name: first[name] for name in (*COUNTS, "gaps", "cost")}, "audit": audit}
 
 
-def repair_conversations(conversations: DataFrame) -> Repair:
+def repair_conversations(conversations: DataFrame, chunk: int = 256) -> Repair:
     """The cheapest edits by which every conversation's roles follow the grammar.
 
     Blank turns (no sign but space) and duplicates (role and text seen earlier) must be deleted; turns that do not end
@@ -295,11 +290,11 @@ def repair_conversations(conversations: DataFrame) -> Repair:
     """
     scratch = Scratch(conversations.sparkSession, "repair")
     placed = scratch.write(place_turns(conversations, scratch, blank=" "), "placed")
-    marked = mark_faults(placed).withColumn("part", F.floor(F.col("position") / CHUNK))
+    marked = mark_faults(placed).withColumn("part", F.floor(F.col("position") / chunk))
     kind = dict(placed.dtypes)["conv_id"]
-    chunks = fold_conversations(marked, ["part", "position"], _chunk, f"conv_id {kind}, {CHUNKS}", by=("conv_id", "part"))
+    chunks = fold_conversations(marked, ["part", "position"], partial(_chunked, chunk), f"conv_id {kind}, {CHUNKS}", by=("conv_id", "part"))
     plans = fold_conversations(chunks, ["part"], _along, f"conv_id {kind}, {PLANS}")
-    return Repair(placed, scratch.write(plans, "plans"))
+    return Repair(placed, scratch.write(plans, "plans"), chunk)
 
 
 # --- the registered query -------------------------------------------------
