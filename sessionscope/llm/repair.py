@@ -253,7 +253,8 @@ class Repair:
         kept, inserted = planned.where("edit <> 'I'"), planned.where("edit = 'I'")
         turn = self.placed.select(F.col("conv_id").alias("of"), F.col("position").alias("at"), "role", "text")
         same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("position") == F.col("at"))
-        texts = kept.where("edit <> 'D'").join(turn, same).select(
+        # Plans are stored small and grow when read, so their stored size must not decide for a broadcast.
+        texts = kept.where("edit <> 'D'").hint("merge").join(turn, same).select(
             "conv_id", "position", "place", "edit", F.coalesce("new_role", "role").alias("role"), "text"
         )
         return texts.unionByName(inserted.select("conv_id", "position", "place", "edit", F.col("new_role").alias("role"), F.lit("").alias("text")))
@@ -262,16 +263,21 @@ class Repair:
 def _explode(size: int, batches):
     import pyarrow as pa
 
+    kinds = {"position": pa.int64(), "place": pa.int32(), "edit": pa.string(), "new_role": pa.string()}
     for batch in batches:
-        for row in range(batch.num_rows):  # one chunk of bounded length at a time
-            part = batch.slice(row, 1).to_pylist()[0]
-            out, place = [], 0
-            for at, edit, role in applied(part["start"], part["audit"], part["initials"]):
-                place = place + 1 if edit == "I" else 0
-                out.append((part["part"] * size + at, place, edit, role))
-            columns = [pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))]
-            conv = batch.column("conv_id").take(pa.array([row] * len(out), pa.int64()))
-            yield pa.RecordBatch.from_arrays([conv, *columns], names=["conv_id", "position", "place", "edit", "new_role"])
+        for start in range(0, batch.num_rows, 64):  # few chunks at a time, each of bounded length
+            chunks = batch.slice(start, 64)
+            owner, out, place = [], {name: [] for name in kinds}, 0
+            for row, chunk in enumerate(chunks.drop_columns(["conv_id"]).to_pylist()):
+                before = len(out["edit"])
+                for at, edit, role in applied(chunk["start"], chunk["audit"], chunk["initials"]):
+                    place = place + 1 if edit == "I" else 0
+                    for name, value in zip(kinds, (chunk["part"] * size + at, place, edit, role)):
+                        out[name].append(value)
+                owner += [row] * (len(out["edit"]) - before)
+            conv = chunks.column("conv_id").take(pa.array(owner, pa.int64()))
+            columns = [pa.array(out[name], kind) for name, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([conv, *columns], names=["conv_id", *kinds])
 
 
 def _summed(conversation, plans: Iterator[dict]) -> Iterator[dict]:
