@@ -137,8 +137,9 @@ _OPERATORS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "scaled_features": (_scaled_features, {}),
     "segment_profile": (_segment_profile, {}),
     "persona_rules": (_persona_rules, {}),
-    "user_segments": (segments.user_segments, {}),
-    "optimal_k": (segments.optimal_k, {}),
+    "user_segments": (segments.user_segments, {"coordinates": True, "digits": 5}),
+    "user_segment_profile": (segments.user_segment_profile, {"digits": 5}),
+    "optimal_k": (segments.optimal_k, {"digits": 4}),
 }
 
 

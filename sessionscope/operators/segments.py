@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.rates import ratio
+from sessionscope.functions.rates import ratio, round_columns
 from sessionscope.labels import ENGAGED, LOYAL, ONE_TIME, WINDOW
+from sessionscope.operators.clustering import DISTANCE_DIGITS, Fit, Points, best_fits, weighted_points
 from sessionscope.operators.quality import first_drawn, sample_cut, within_cut
 from sessionscope.schema import DEVICES
+from sessionscope.sources.scratch import Stored
 
 # The clustering inputs, in order.
 FEATURES = (
@@ -145,18 +140,9 @@ def persona_rules(profile: DataFrame) -> DataFrame:
 
 # --- clustering ---------------------------------------------------------
 
-
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; a local session gets its own folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-        folder = tempfile.mkdtemp(prefix="sessionscope-checkpoint-")
-    context.setCheckpointDir(folder)
+# Features are rounded to so many digits before points are counted: sums of the same
+# revenue in another order are the same point.
+FEATURE_DIGITS = 9
 
 
 def training_users(sessions: DataFrame, max_users: int | None, seed: int = 42) -> DataFrame:
@@ -175,124 +161,114 @@ def training_users(sessions: DataFrame, max_users: int | None, seed: int = 42) -
     return drawn.repartition("user_id")
 
 
-class SegmentModel:
-    """Standardisation constants and K-Means centres."""
-
-    def __init__(self, means: list[float], stds: list[float], model: KMeansModel):
-        self.means, self.stds, self.model = means, stds, model
-
-    def _order(self) -> list[int]:
-        """Cluster ids sorted by centre, so that numbering does not depend on the start."""
-        keys = FEATURES.index("conversion_rate"), FEATURES.index("total_sessions")
-        centres = self.model.clusterCenters()
-        return sorted(range(len(centres)), key=lambda i: tuple(round(float(centres[i][k]), 6) for k in keys))
-
-    def label(self, features: DataFrame) -> DataFrame:
-        """``features`` with ``segment_id``; row by row, no shuffle."""
-        constants = zip(FEATURES, self.means, self.stds)
-        scaled = {
-            f"_x_{name}": _scaled(_filled_column(name), F.lit(mean), F.lit(std))
-            for name, mean, std in constants
-        }
-        assembled = VectorAssembler(inputCols=list(scaled), outputCol="features").transform(
-            features.withColumns(scaled)
-        )
-        # Position of each cluster id in the centre order; never null.
-        number = F.array_position(F.array(*[F.lit(i) for i in self._order()]), F.col("prediction"))
-        return (
-            self.model.transform(assembled)
-            .withColumn("segment_id", (number - 1).cast("int"))
-            .drop("features", "prediction", *scaled)
-        )
-
+def _point_columns() -> list[Column]:
+    return [F.round(_filled_column(name), FEATURE_DIGITS).alias(name) for name in FEATURES]
 
-def _best_of(vectors: DataFrame, k: int, seeds: range, max_iter: int, threads: int) -> KMeansModel:
-    """The start with the lowest cost; starts run side by side on one cached sample."""
-
-    def fit(seed: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(vectors)
-
-    spark = vectors.sparkSession
-    with ThreadPool(threads) as pool:
-        models = pool.map(inheritable_thread_target(spark)(fit), seeds)
-    return min(models, key=lambda model: model.summary.trainingCost)
 
+class SegmentModel:
+    """Standardisation constants and centres, in the order of their segment ids.
 
-class _Training:
-    """The standardised training vectors, cut off from the session lineage."""
+    Segments are numbered by their centres (conversion rate, then sessions), so that numbers do
+    not depend on the start.  ``silhouette`` is the mean over users, squared Euclidean, and
+    ``silhouettes`` the means by segment; null with fewer than two segments.
+    """
 
-    def __init__(self, sessions: DataFrame, max_users: int | None, seed: int):
-        use_checkpoint_dir(sessions.sparkSession)
-        # A lost executor rereads the checkpoint instead of the fact table.
-        self.users = training_users(sessions, max_users, seed).select("user_id", *_filled()).checkpoint()
-        row = _scale_row(self.users).first()
-        self.means = [row[f"_mean_{name}"] or 0.0 for name in FEATURES]
-        self.stds = [row[f"_std_{name}"] or 0.0 for name in FEATURES]
-        scaled = self.users.select(
-            "user_id",
-            *[
-                _scaled(F.col(n), F.lit(m), F.lit(s)).alias(n)
-                for n, m, s in zip(FEATURES, self.means, self.stds)
-            ],
-        )
-        self.vectors = (
-            VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-            .transform(scaled)
-            .select("features")
-        )
+    def __init__(self, means: list[float], stds: list[float], fit: Fit):
+        keys = FEATURES.index("conversion_rate"), FEATURES.index("total_sessions")
+        order = sorted(range(len(fit.centres)), key=lambda i: tuple(round(float(fit.centres[i][k]), 6) for k in keys))
+        self.means, self.stds = means, stds
+        self.centres = [[float(v) for v in fit.centres[i]] for i in order]
+        self.cost, self.silhouette = fit.cost, fit.silhouette
+        self.silhouettes = fit.silhouettes and [fit.silhouettes[i] for i in order]
+
+    def scaled(self) -> list[Column]:
+        """The standardised inputs over user features."""
+        constants = zip(_point_columns(), self.means, self.stds)
+        return [_scaled(value, F.lit(mean), F.lit(std)) for value, mean, std in constants]
+
+    def label(self, features: DataFrame, coordinates: bool = False) -> DataFrame:
+        """``features`` with ``segment_id``, the nearest centre; row by row, no shuffle.
+
+        ``coordinates`` adds each standardised input (``x_...``), its centre (``centre_...``) and the squared distance.
+        """
+        centres = F.array(*[F.array(*[F.lit(v) for v in centre]) for centre in self.centres])
+
+        def apart(centre: Column) -> Column:
+            squares = F.zip_with("_x", centre, lambda a, b: (a - b) * (a - b))
+            return F.round(F.aggregate(squares, F.lit(0.0), lambda total, square: total + square), DISTANCE_DIGITS)
+
+        placed = features.withColumn("_x", F.array(*self.scaled()))
+        placed = placed.withColumn("_apart", F.transform(centres, apart))
+        nearest = F.array_position("_apart", F.array_min("_apart")).cast("int") - 1
+        found = placed.withColumn("segment_id", nearest)
+        if not coordinates:
+            return found.drop("_x", "_apart")
+        named = {f"x_{name}": F.get("_x", F.lit(i)) for i, name in enumerate(FEATURES)}
+        named["squared_distance"] = F.array_min("_apart")
+        rows = [(i, *centre) for i, centre in enumerate(self.centres)]
+        schema = ", ".join(["segment_id int", *[f"centre_{name} double" for name in FEATURES]])
+        own = features.sparkSession.createDataFrame(rows, schema)
+        return found.withColumns(named).drop("_x", "_apart").join(F.broadcast(own), "segment_id")
+
+
+def _fits(users: DataFrame, ks: list[int], seed: int, starts: int, max_iter: int) -> tuple[dict, list, list]:
+    inputs = users.select("user_id", *_point_columns())
+    row = _scale_row(inputs).first()
+    means = [row[f"_mean_{name}"] or 0.0 for name in FEATURES]
+    stds = [row[f"_std_{name}"] or 0.0 for name in FEATURES]
+    if row[f"_mean_{FEATURES[0]}"] is None:
+        raise ValueError("There are no users to segment.")
+    with Points(weighted_points(inputs, FEATURES, "user_id", seed), means, stds) as points:
+        return best_fits(points, ks, starts, max_iter), means, stds
+
+
+def fit_segments(users: DataFrame, k: int = 4, seed: int = 42, starts: int = 10, max_iter: int = 300) -> SegmentModel:
+    """Best of several K-Means starts over user features, all starts in the same passes.
+
+    ``users`` is read more than once: give a stored table (``store_users``).
+    """
+    fits, means, stds = _fits(users, [k], seed, starts, max_iter)
+    return SegmentModel(means, stds, fits[k])
 
-    def __enter__(self) -> "_Training":
-        self.vectors.persist()
-        return self
 
-    def __exit__(self, *_):
-        self.vectors.unpersist()
+def store_users(sessions: DataFrame, max_users: int | None = None, seed: int = 42) -> Stored:
+    """The user features, written once: fitting, labels and profiles read them and not the sessions."""
+    return Stored(training_users(sessions, max_users, seed), "user-features")
 
 
-def fit_segments(
+def labelled_users(
     sessions: DataFrame,
     k: int = 4,
     seed: int = 42,
     starts: int = 10,
     max_users: int | None = None,
+    only_sample: bool = False,
     max_iter: int = 300,
-    threads: int = 10,
-) -> SegmentModel:
-    """Best of several K-Means starts on all users, or on ``max_users`` seeded ones if named.
+    coordinates: bool = False,
+) -> tuple[DataFrame, SegmentModel]:
+    """Features of every user with ``segment_id``, and the model.
 
-    With a named sample, fitting costs the same for any table size; without it every
-    start iterates over all users.  Labelling is left to ``SegmentModel.label``,
-    which covers every user either way.
+    Fitted on all users, or on ``max_users`` seeded ones if named; ``only_sample`` labels these only.
     """
-    with _Training(sessions, max_users, seed) as data:
-        model = _best_of(data.vectors, k, range(seed, seed + starts), max_iter, threads)
-        return SegmentModel(data.means, data.stds, model)
-
-
-def label_users(sessions: DataFrame, model: SegmentModel, max_users: int | None = None, seed: int = 42) -> DataFrame:
-    """Labelled features of all users, or of the training sample only."""
-    return model.label(training_users(sessions, max_users, seed))
+    trained = store_users(sessions, max_users, seed).table
+    model = fit_segments(trained, k, seed, starts, max_iter)
+    users = trained if max_users is None or only_sample else store_users(sessions).table
+    return model.label(users, coordinates), model
 
 
-def user_segments(
-    sessions: DataFrame,
-    k: int = 4,
-    seed: int = 42,
-    starts: int = 10,
-    max_users: int | None = None,
-    only_sample: bool = False,
-    max_iter: int = 300,
-) -> DataFrame:
-    """Every user with segment, persona name and the exported features.
+def user_segments(sessions: DataFrame, coordinates: bool = False, digits: int | None = None, **fitting) -> DataFrame:
+    """Every user with segment, persona name and the exported features; ``fitting`` as in ``labelled_users``.
 
-    ``only_sample`` labels the training sample instead of all users.
+    With ``coordinates`` a row also carries its place and its centre, by which the fit can be checked; ``digits`` rounds means
+    and coordinates.
     """
-    model = fit_segments(sessions, k, seed, starts, max_users, max_iter)
-    labelled = label_users(sessions, model, max_users if only_sample else None, seed)
-    return name_users(labelled)
+    labelled, _ = labelled_users(sessions, coordinates=coordinates, **fitting)
+    more = [c for c in labelled.columns if c.startswith(("x_", "centre_")) or c == "squared_distance"]
+    named = name_users(labelled, more)
+    return named if digits is None else round_columns(named, dict.fromkeys(["conversion_rate", "revenue_per_session", *more], digits))
 
 
-def name_users(labelled: DataFrame) -> DataFrame:
+def name_users(labelled: DataFrame, more: list[str] | tuple = ()) -> DataFrame:
     """Joins the persona names back; the profile has one row per segment."""
     names = persona_rules(segment_profile(labelled)).select("segment_id", "segment_name")
     return labelled.join(F.broadcast(names), "segment_id").select(
@@ -303,9 +279,25 @@ def name_users(labelled: DataFrame) -> DataFrame:
         "conversion_rate",
         "revenue_per_session",
         "days_active",
+        *more,
     )
 
 
+def fitted_profile(labelled: DataFrame, model: SegmentModel) -> DataFrame:
+    """Profile, name and silhouette of every fitted segment, beside the silhouette of the whole fit."""
+    rows = [(i, s, model.silhouette) for i, s in enumerate(model.silhouettes or [None] * len(model.centres))]
+    scores = labelled.sparkSession.createDataFrame(rows, "segment_id int, segment_silhouette double, silhouette double")
+    # One row per centre.
+    return persona_rules(segment_profile(labelled)).join(F.broadcast(scores), "segment_id")
+
+
+def user_segment_profile(sessions: DataFrame, digits: int | None = None, **fitting) -> DataFrame:
+    """``fitted_profile`` from sessions; ``fitting`` as in ``labelled_users``."""
+    profile = fitted_profile(*labelled_users(sessions, **fitting))
+    means = ("avg_sessions", "avg_cr", "avg_revenue", "avg_days_active", "segment_silhouette", "silhouette")
+    return profile if digits is None else round_columns(profile, dict.fromkeys(means, digits))
+
+
 def optimal_k(
     sessions: DataFrame,
     ks: range = range(2, 8),
@@ -313,18 +305,17 @@ def optimal_k(
     starts: int = 10,
     max_users: int | None = None,
     max_iter: int = 300,
-    threads: int = 10,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Silhouette (squared Euclidean) per k; the best k is marked.
+    """Cost and silhouette (squared Euclidean) per k; the best k is marked, the smaller one on a tie of six digits.
 
-    Each score is one linear pass over the sample, not all pairs of users.
+    All pairs of k and start share the passes over one stored user table.
     """
-    scorer = ClusteringEvaluator(featuresCol="features", distanceMeasure="squaredEuclidean")
-    scores = []
-    with _Training(sessions, max_users, seed) as data:
-        for k in ks:
-            model = _best_of(data.vectors, k, range(seed, seed + starts), max_iter, threads)
-            scores.append((k, float(scorer.evaluate(model.transform(data.vectors)))))
-    best = max(scores, key=lambda pair: (pair[1], -pair[0]))[0]
-    rows = [(k, score, k == best) for k, score in scores]
-    return sessions.sparkSession.createDataFrame(rows, "k int, silhouette double, recommended boolean")
+    stored = store_users(sessions, max_users, seed)
+    fits, _, _ = _fits(stored.table, list(ks), seed, starts, max_iter)
+    stored.drop()
+    scores = {k: fit.silhouette for k, fit in fits.items() if fit.silhouette is not None}
+    best = max(scores, key=lambda k: (round(scores[k], 6), -k), default=None)
+    shown = (lambda v: v) if digits is None else (lambda v: v if v is None else round(v, digits))
+    rows = [(k, shown(fit.cost), shown(fit.silhouette), k == best) for k, fit in fits.items()]
+    return sessions.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double, recommended boolean")

@@ -85,12 +85,11 @@ def run_anomaly(sessions: DataFrame, settings: Settings) -> None:
 
 
 def run_segments(sessions: DataFrame, settings: Settings) -> None:
-    model = segments.fit_segments(sessions, max_users=settings.max_users)
+    labelled, model = segments.labelled_users(sessions, max_users=settings.max_users)
     # Labelled once and written: profile, names and export read user rows only.
-    write_parquet(segments.label_users(sessions, model), settings.path("labelled_users"))
+    write_parquet(labelled, settings.path("labelled_users"))
     labelled = sessions.sparkSession.read.parquet(settings.path("labelled_users"))
-    profile = segments.persona_rules(segments.segment_profile(labelled))
-    write_csv(profile.orderBy("segment_id"), settings.path("segment_profiles"))
+    write_csv(segments.fitted_profile(labelled, model).orderBy("segment_id"), settings.path("segment_profiles"))
     write_csv(segments.name_users(labelled), settings.path("user_segments"))
 
 

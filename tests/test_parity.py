@@ -20,8 +20,8 @@ def connection():
     return duck(SF_DIR)
 
 
-def test_every_query_but_fitted_models_has_sql():
-    assert set(build_queries()) - set(all_sql()) == {"user_segments", "optimal_k"}
+def test_every_query_has_sql():
+    assert set(build_queries()) == set(all_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
