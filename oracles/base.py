@@ -57,3 +57,11 @@ def student_p(stat: str, df: str) -> str:
     scale = f"(exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()))"
     density = f"power(1.0 + {{x}} * {{x}} / {df}, -({df} + 1) / 2.0)"
     return f"(1.0 - 2.0 * {scale} * {_simpson(density, f'abs({stat})')})"
+
+
+# All columns of a session, the calendar included.
+ALL_COLUMNS = """session_id, user_id, "timestamp", device, location, traffic_source, product_category, steps_completed,
+       converted, revenue, page_load_ms, bounced, date,
+       strftime(date_trunc('week', date), '%Y-%m-%d') || '/' ||
+       strftime(date_trunc('week', date) + INTERVAL 6 DAY, '%Y-%m-%d') AS week,
+       strftime(date, '%Y-%m') AS month, hour"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.base import normal_p, query, student_p
+from oracles.base import ALL_COLUMNS, normal_p, query, student_p
 
 _RANGE = """
 ranged AS (
@@ -150,7 +150,7 @@ FROM ranged GROUP BY device""",
         _RANGE,
     ),
     "launch_split": query(
-        'SELECT session_id, user_id, "timestamp", date, device, traffic_source, converted, revenue, period FROM split',
+        f"SELECT {ALL_COLUMNS}, period FROM split",
         _SPLIT,
     ),
     "launch_primary": query(

@@ -234,10 +234,12 @@ SELECT * FROM (
   UNION ALL SELECT 6, 'North Star Metric', 'Total Revenue', printf('₹%.2fM', round(total, 2) / 1e6), NULL, NULL FROM overall
   UNION ALL SELECT 7, 'Page Experience', 'Avg Page Load', printf('%.0fms', round(load, 4)), '< 2500ms',
                    CASE WHEN load > 2500 THEN '⚠️ At Risk' ELSE '✅ Healthy' END FROM overall
-  UNION ALL SELECT 8, 'Price & Value', 'Revenue/Session', printf('₹%.2f', round(rps, 4)), '> ₹40', '✅ Healthy' FROM overall
-  UNION ALL SELECT 9, 'Discovery', 'Organic Share', printf('%.1f%%', round(organic_pct, 2)), '> 25%', '✅ Healthy' FROM overall
+  UNION ALL SELECT 8, 'Price & Value', 'Revenue/Session', printf('₹%.2f', round(rps, 4)), '> ₹40',
+                   CASE WHEN rps >= 40 THEN '✅ Healthy' ELSE '⚠️ At Risk' END FROM overall
+  UNION ALL SELECT 9, 'Discovery', 'Organic Share', printf('%.1f%%', round(organic_pct, 2)), '> 25%',
+                   CASE WHEN round(organic_pct, 2) >= 25 THEN '✅ Healthy' ELSE '⚠️ At Risk' END FROM overall
   UNION ALL SELECT 10, 'Product Quality', 'Return Visitor Lift', printf('%+.3fpp', round((ret - new) * 100, 3)), '> 0pp',
-                   '✅ Healthy' FROM visitors
+                   CASE WHEN round((ret - new) * 100, 3) > 0 THEN '✅ Healthy' ELSE '⚠️ At Risk' END FROM visitors
 )""",
     _OVERALL,
     _DAYS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.base import query
+from oracles.base import ALL_COLUMNS, query
 
 _FIRST = "firsts AS (SELECT user_id, min(date) AS first_date FROM sessions GROUP BY user_id)"
 
@@ -13,8 +13,8 @@ SELECT session_id, "timestamp", date,
        strftime(date_trunc('week', date) + INTERVAL 6 DAY, '%Y-%m-%d') AS week,
        strftime(date, '%Y-%m') AS month, hour
 FROM sessions"""),
-    "sample_sessions": query("""
-SELECT session_id, user_id, date, device, converted, revenue
+    "sample_sessions": query(f"""
+SELECT {ALL_COLUMNS}
 FROM sessions ORDER BY md5('42:' || session_id), session_id LIMIT 2500"""),
     "dataset_summary": query("""
 SELECT count(*) AS total_sessions, min(date) AS first_date, max(date) AS last_date,

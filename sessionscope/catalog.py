@@ -23,22 +23,10 @@ TRACKER = {"launch_date": "2024-01-21", "half_window": 9}
 MEANS = {"money_dp": 4, "load_dp": 4}
 
 
-def _split_columns(sessions: DataFrame, **params) -> DataFrame:
-    """The split without the columns that repeat others."""
-    split = launch.launch_split(sessions, **params)
-    repeated = ("location", "product_category", "steps_completed", "page_load_ms", "bounced", "week", "month", "hour")
-    return split.drop(*repeated)
-
-
-def _sample_columns(sessions: DataFrame, **params) -> DataFrame:
-    kept = ("session_id", "user_id", "date", "device", "converted", "revenue")
-    return quality.sample_sessions(sessions, **params).select(*kept)
-
-
 def _user_features(sessions: DataFrame) -> DataFrame:
     means = ("avg_steps", "avg_page_load_ms", "conversion_rate", "revenue_per_session")
     digits = {"total_revenue": 2, **{name: 6 for name in means}}
-    return round_columns(segments.user_features(sessions), digits)
+    return round_columns(segments.user_features(sessions, devices=None), digits)
 
 
 def _scaled_features(sessions: DataFrame) -> DataFrame:
@@ -103,7 +91,7 @@ _OPERATORS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "launch_pre_post": (launch.launch_pre_post, {"launch_date": "2024-01-21", **RANGE, **MEANS}),
     "launch_weekly": (launch.launch_weekly, {"label_cutoff": "2024-01-18", **RANGE, **MEANS}),
     "launch_device": (launch.launch_device, {"launch_date": "2024-01-21", **RANGE}),
-    "launch_split": (_split_columns, LAUNCH),
+    "launch_split": (launch.launch_split, LAUNCH),
     "launch_primary": (launch.launch_primary, LAUNCH),
     "launch_guardrails": (launch.launch_guardrails, {**LAUNCH, **MEANS}),
     "launch_recommendation": (launch.launch_recommendation, LAUNCH),
@@ -127,7 +115,7 @@ _OPERATORS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "measure_cr_7d_calendar": (measures.measure_cr_7d_calendar, {"digits": 8}),
     "measure_launch_lift": (measures.measure_launch_lift, {**TRACKER, "digits": 8}),
     "session_calendar": (quality.session_calendar, {}),
-    "sample_sessions": (_sample_columns, {"n": 2500}),
+    "sample_sessions": (quality.sample_sessions, {"n": 2500}),
     "dataset_summary": (quality.dataset_summary, {"load_dp": 4}),
     "session_invariants": (quality.session_invariants, {}),
     "cohort_retention": (cohorts.cohort_retention, {"min_size": 100, "limit": 20}),

@@ -33,7 +33,7 @@ def cohort_retention(sessions: DataFrame, min_size: int = 50, limit: int = 30) -
     )
 
 
-def cohort_days_since_first(sessions: DataFrame, heavy_share: float = 0.001) -> DataFrame:
+def cohort_days_since_first(sessions: DataFrame, heavy_share: float | None = 0.001) -> DataFrame:
     """Every session with its user's first day and the days since then.
 
     Users who own more than ``heavy_share`` of all rows number less than
@@ -41,10 +41,16 @@ def cohort_days_since_first(sessions: DataFrame, heavy_share: float = 0.001) ->
     sessions get the first day in place and travel on under a key of their own
     session, so a dominant user spreads evenly.  Everybody else joins by user.
     Both user lists read the same aggregation, whose exchange is reused.
+
+    ``None`` joins everybody by user: right for a table stored by user, where rows
+    and first days already lie together.
     """
+    known = sessions.where(F.col("user_id").isNotNull())
+    if heavy_share is None:
+        days = known.groupBy("user_id").agg(F.min("date").alias("first_date"))
+        return _dated(known.join(days, "user_id"))
     if heavy_share < 1e-4:
         raise ValueError("heavy_share below 1e-4 would broadcast more than 10,000 users")
-    known = sessions.where(F.col("user_id").isNotNull())
     total = known.agg(F.count("*").alias("_total"))
     first = (
         known.groupBy("user_id")
@@ -56,12 +62,16 @@ def cohort_days_since_first(sessions: DataFrame, heavy_share: float = 0.001) ->
     light = first.where(~is_heavy).select(F.col("user_id").alias("_key"), "first_date")
     in_place = F.col("_heavy_first").isNotNull()
     keyed = known.join(F.broadcast(heavy), "user_id", "left").withColumn(
-        "_key", F.when(in_place, F.concat(F.lit("~"), F.col("session_id"))).otherwise(F.col("user_id"))
+        "_key", F.when(in_place, F.concat(F.lit("~"), F.coalesce("session_id", F.rand(1).cast("string")))).otherwise(F.col("user_id"))
     )
     dated = keyed.join(light, "_key", "left").withColumn(
         "first_date", F.coalesce("_heavy_first", "first_date")
     )
-    return dated.select(
+    return _dated(dated)
+
+
+def _dated(sessions: DataFrame) -> DataFrame:
+    return sessions.select(
         "session_id",
         "user_id",
         "first_date",

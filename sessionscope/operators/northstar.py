@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,16 +246,21 @@ def return_visitor_cr(sessions: DataFrame) -> DataFrame:
 def returning_semi_anti(sessions: DataFrame) -> DataFrame:
     """The same split by semi and anti join on the set of returning users.
 
-    Sessions are reduced to one row per user before the joins; both sides
-    already sit on ``user_id``, and no key repeats.
+    Sessions are reduced to one row per user before the joins.  The joins compare all three columns, which
+    for one row per user is the same as comparing users: all four inputs are then the same
+    aggregation, scanned and shuffled once.
     """
     per_user = sessions.groupBy("user_id").agg(
         F.count("*").alias("n"), F.sum("converted").alias("c")
     )
-    seen_again = per_user.where(F.col("n") > 1).select("user_id")
+    names = {"user_id": "seen_user", "n": "seen_n", "c": "seen_c"}
+    # A test of the id alone, or a plain equality of ids, would be moved below the aggregation of one input only.
+    returning = F.when(F.col("user_id").isNotNull(), F.col("n")) > 1
+    seen_again = per_user.where(returning).withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(seen)) for name, seen in names.items()])
 
     def side(label: str, how: str) -> DataFrame:
-        return per_user.join(seen_again, "user_id", how).agg(
+        return per_user.join(seen_again, same, how).agg(
             F.lit(label).alias("visitor_type"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("sessions"),
             F.coalesce(F.sum("c"), F.lit(0)).alias("conversions"),
@@ -286,6 +293,7 @@ def _rollup_entries(sessions: DataFrame, money_dp: int) -> DataFrame:
         load=F.sum("page_load_ms"),
         bounced=F.sum("bounced"),
         sold=sum_if("revenue", F.col("converted") == 1),
+        moments=("page_load_ms", "converted"),
     )
     everything = Window.partitionBy()
     dim, key = F.col("dimension"), F.col("key")
@@ -316,7 +324,14 @@ def _rollup_entries(sessions: DataFrame, money_dp: int) -> DataFrame:
     rps = ratio(F.col("revenue"), n)
     organic_share = pct(ratio(F.col("organic_n"), n), 2)
 
+    # The rollup is small, and only its total has moments.
+    correlated, r = F.col("n_xy"), ratio(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
+    facts = facts.withColumn("r", F.when(dim == "all", r))
+    facts = facts.withColumn("p", student_p(correlation_t(F.col("r"), correlated), correlated - 2))
+
     all_entries = F.array(
+        _entry(PAGE, "page_load_speed", "correlation_with_cr", F.round("r", 4)),
+        _entry(PAGE, "page_load_speed", "p_value", F.round("p", 6)),
         _entry(STAR, "overall_cr", "", pct(rate, 3)),
         _entry(STAR, "avg_daily_cr", "", pct(F.col("daily_mean"), 3)),
         _entry(STAR, "cr_std", "", pct(F.col("daily_std"), 4)),
@@ -354,19 +369,6 @@ def _rollup_entries(sessions: DataFrame, money_dp: int) -> DataFrame:
     )
 
 
-def _correlation_entries(sessions: DataFrame) -> DataFrame:
-    r, rows = F.col("r"), F.col("n")
-    p_value = student_p(correlation_t(r, rows), rows - 2)
-    return _correlation(sessions).withColumn("p", p_value).select(
-        F.inline(
-            F.array(
-                _entry(PAGE, "page_load_speed", "correlation_with_cr", F.round(r, 4)),
-                _entry(PAGE, "page_load_speed", "p_value", F.round("p", 6)),
-            )
-        )
-    )
-
-
 def _visitor_entries(sessions: DataFrame) -> DataFrame:
     returning, new = _visitor_rates()
     return _visitor_totals(sessions).select(
@@ -383,25 +385,19 @@ def _visitor_entries(sessions: DataFrame) -> DataFrame:
 def metrics_tree(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
     """North star and all drivers as ``(driver, metric, key, value, status)``.
 
-    One rollup pass feeds every sum and rate.  Two more narrow passes read
-    ``(page_load_ms, converted)`` for the correlation and
+    One rollup pass feeds every sum, rate and the correlation.  One more narrow pass reads
     ``(user_id, converted)`` for the visitor split.
     """
-    return (
-        _rollup_entries(sessions, money_dp)
-        .unionByName(_correlation_entries(sessions))
-        .unionByName(_visitor_entries(sessions))
-    )
+    return _rollup_entries(sessions, money_dp).unionByName(_visitor_entries(sessions))
 
 
 def north_star_report(sessions: DataFrame) -> DataFrame:
     """The north star and one key metric per driver as text rows.
 
-    Values are computed, benchmarks are the thresholds of the tree.  As in the
-    tree, load time decides the health of its driver and the other drivers
-    have no rule that could put them at risk.
+    Values are computed, benchmarks are the thresholds of the tree, and a metric is
+    healthy if it meets the benchmark beside it; without a value it has no health.
     """
-    entries = _rollup_entries(sessions, 4).unionByName(_visitor_entries(sessions))
+    entries = metrics_tree(sessions, 4)
 
     def pick(metric: str, key: str = "", column: str = "value") -> Column:
         here = (F.col("metric") == metric) & (F.col("key") == key)
@@ -417,9 +413,18 @@ def north_star_report(sessions: DataFrame) -> DataFrame:
         pick("revenue_per_session").alias("rps"),
         pick("organic_share").alias("organic"),
         pick("return_visitor_cr", "loyalty_lift").alias("lift"),
+        pick("page_load_speed", "avg_ms", "status").alias("load_mark"),
+        pick("revenue_per_session", column="status").alias("rps_mark"),
+        pick("organic_share", column="status").alias("organic_mark"),
     )
     count = F.format_number
-    page_health = F.when(F.col("load") > MAX_LOAD_MS, AT_RISK_LABEL).otherwise(HEALTHY_LABEL)
+
+    def health(mark_or_good: Column) -> Column:
+        return F.when(mark_or_good, HEALTHY_LABEL).when(~mark_or_good, AT_RISK_LABEL)
+
+    def marked(name: str) -> Column:
+        return health(F.col(f"{name}_mark") == GOOD_MARK)
+
     summary = "North Star Metric"
     rows = [
         (summary, "Overall Conversion Rate", F.format_string("%.3f%%", "overall_cr"), None, None),
@@ -428,22 +433,22 @@ def north_star_report(sessions: DataFrame) -> DataFrame:
         (summary, "Total Sessions", count("total_sessions", 0), None, None),
         (summary, "Total Conversions", count("total_conversions", 0), None, None),
         (summary, "Total Revenue", F.format_string("₹%.2fM", F.col("revenue") / 1e6), None, None),
-        (PAGE, "Avg Page Load", F.format_string("%.0fms", "load"), f"< {MAX_LOAD_MS:.0f}ms", page_health),
+        (PAGE, "Avg Page Load", F.format_string("%.0fms", "load"), f"< {MAX_LOAD_MS:.0f}ms", marked("load")),
         (
             PRICE,
             "Revenue/Session",
             F.format_string("₹%.2f", "rps"),
             f"> ₹{MIN_REVENUE_PER_SESSION:.0f}",
-            HEALTHY_LABEL,
+            marked("rps"),
         ),
         (
             DISCOVERY,
             "Organic Share",
             F.format_string("%.1f%%", "organic"),
             f"> {MIN_ORGANIC_SHARE_PCT:.0f}%",
-            HEALTHY_LABEL,
+            marked("organic"),
         ),
-        (QUALITY, "Return Visitor Lift", F.format_string("%+.3fpp", "lift"), "> 0pp", HEALTHY_LABEL),
+        (QUALITY, "Return Visitor Lift", F.format_string("%+.3fpp", "lift"), "> 0pp", health(F.col("lift") > 0)),
     ]
     numbered = [(order, *row) for order, row in enumerate(rows, start=1)]
     names = ["ord", "section", "metric", "value", "benchmark", "health"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionscope.functions.calendar import calendar_sql
-from sessionscope.functions.rates import count_if, pct
+from sessionscope.functions.rates import count_if, pct, ratio
 from sessionscope.functions.rows import stack_rows
 
 
@@ -19,19 +19,28 @@ def session_calendar(sessions: DataFrame) -> DataFrame:
 def dataset_summary(sessions: DataFrame, load_dp: int = 0) -> DataFrame:
     """One row of totals, users counted exactly.
 
-    The distinct count reads and shuffles the user id alone; the totals read
-    the other columns and shuffle one row per task.
+    One scan: sessions collapse to a small row per user, and totals and the number of users
+    are sums over these rows.
     """
-    totals = sessions.agg(
-        F.count("*").alias("total_sessions"),
-        F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"),
-        pct(F.avg("converted"), 2).alias("overall_cr_pct"),
+    per_user = sessions.groupBy("user_id").agg(
+        F.count("*").alias("n"),
+        F.min("date").alias("first"),
+        F.max("date").alias("last"),
+        F.sum("converted").alias("c"),
+        F.count("converted").alias("n_c"),
+        F.sum("revenue").alias("revenue"),
+        F.sum("page_load_ms").alias("load"),
+        F.count("page_load_ms").alias("n_load"),
+    )
+    return per_user.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_sessions"),
+        F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"),
+        pct(ratio(F.sum("c"), F.sum("n_c")), 2).alias("overall_cr_pct"),
         F.round(F.sum("revenue"), 2).alias("total_revenue"),
-        F.round(F.avg("page_load_ms"), load_dp).alias("avg_page_load_ms"),
+        F.round(ratio(F.sum("load"), F.sum("n_load")), load_dp).alias("avg_page_load_ms"),
+        F.count("user_id").alias("unique_users"),
     )
-    users = sessions.agg(F.countDistinct("user_id").alias("unique_users"))
-    return totals.crossJoin(F.broadcast(users))
 
 
 def session_invariants(sessions: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +17,7 @@ def dimension_rollup(
     together: tuple[str, ...],
     alone: tuple[str, ...] = (),
     total: bool = True,
+    moments: tuple[str, str] | None = None,
     **sums: Column,
 ) -> DataFrame:
     """``(dimension, key, *sums)``: one row per value of each dimension.
@@ -27,8 +30,14 @@ def dimension_rollup(
     dimension.  Dimensions that would multiply the cells, such as days or
     places, go into ``alone`` and get a grouping set of their own.  Either way
     map-side aggregation leaves a few rows per task to shuffle, whatever the skew.
+
+    ``moments`` names two numeric columns x and y and adds ``n_xy, xx, xy, yy``: how many rows have both, and the
+    sums of squares and products of deviations from the means of the whole table.  Cells carry their own
+    means and deviations; the means of the table come from the cells, so deviations stay exact and add up.
     """
     totals = [column.alias(name) for name, column in sums.items()]
+    if moments:
+        totals += _cell_moments(*moments)
     labels = F.array(
         *[_label(d, F.col(d)) for d in together], *([_label("all", F.lit(None))] if total else [])
     )
@@ -41,12 +50,47 @@ def dimension_rollup(
         for d in alone:
             choice = choice.when(F.col(f"_no_{d}") == 0, F.array(_label(d, F.col(d))))
         labels = choice.otherwise(labels)
+        whole = reduce(lambda a, b: a & b, [F.col(f"_no_{d}") == 1 for d in alone])
     else:
         cells = sessions.groupBy(*together).agg(*totals)
+        whole = F.lit(True)
+    names = list(sums)
+    if moments:
+        cells, names = _about_the_mean(cells, whole), [*names, "n_xy", "xx", "xy", "yy"]
     return (
-        cells.select(F.inline(labels), *sums)
+        cells.select(F.inline(labels), *names)
         .groupBy("dimension", "key")
-        .agg(*[F.sum(name).alias(name) for name in sums])
+        .agg(*[F.sum(name).alias(name) for name in names])
+    )
+
+
+def _cell_moments(x: str, y: str) -> list[Column]:
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    u, v = (F.when(both, F.col(name).cast("double")) for name in (x, y))
+    return [
+        F.count(u).alias("n_xy"),
+        F.avg(u).alias("_mean_x"),
+        F.avg(v).alias("_mean_y"),
+        F.var_pop(u).alias("_var_x"),
+        F.var_pop(v).alias("_var_y"),
+        F.covar_pop(u, v).alias("_covar"),
+    ]
+
+
+def _about_the_mean(cells: DataFrame, whole: Column) -> DataFrame:
+    """Cell moments moved to the means of the table; the window is over cells, ``whole`` marks one full set of them."""
+    everything = Window.partitionBy()
+    weight = F.when(whole, F.col("n_xy"))
+    n = F.col("n_xy")
+
+    def off(axis: str) -> Column:
+        mean = F.sum(weight * F.col(f"_mean_{axis}")).over(everything) / F.nullif(F.sum(weight).over(everything), F.lit(0))
+        return F.col(f"_mean_{axis}") - mean
+
+    moved = cells.withColumns({"_off_x": off("x"), "_off_y": off("y")})
+    x, y = F.col("_off_x"), F.col("_off_y")
+    return moved.withColumns(
+        {"xx": n * (F.col("_var_x") + x * x), "xy": n * (F.col("_covar") + x * y), "yy": n * (F.col("_var_y") + y * y)}
     )
 
 

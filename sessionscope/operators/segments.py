@@ -46,12 +46,27 @@ def primary_device(sessions: DataFrame) -> DataFrame:
     )
 
 
-def user_features(sessions: DataFrame, devices: tuple = DEVICES) -> DataFrame:
+def device_values(sessions: DataFrame, at_most: int = 100) -> tuple[str, ...]:
+    """The fixed devices, then all others that occur, by name: one small aggregation.
+
+    A table with more than ``at_most`` devices has no sensible one-hot, and says so.
+    """
+    seen = sessions.where(F.col("device").isNotNull()).select("device").distinct().limit(at_most + 1).collect()
+    if len(seen) > at_most:
+        raise ValueError(f"More than {at_most} devices: name those to encode.")
+    return (*DEVICES, *sorted({row["device"] for row in seen} - set(DEVICES)))
+
+
+def user_features(sessions: DataFrame, devices: tuple[str, ...] | None = DEVICES) -> DataFrame:
     """One row per user, from a single shuffle on ``user_id``.
 
+    One column ``device_...`` per value in ``devices``, whether it occurs or not; with ``None`` the fixed
+    ones and every other device of the table (``device_values``).
+
     The day set and the device counts of a user are bounded by the calendar
     and the device list and are combined before the shuffle.
     """
+    devices = device_values(sessions) if devices is None else devices
     users = (
         sessions.where(F.col("user_id").isNotNull())
         .groupBy("user_id")

@@ -67,3 +67,10 @@ def register_sessions(sessions: DataFrame, name: str = "sessions") -> DataFrame:
     """Make the table visible to ``spark.sql`` under ``name``."""
     sessions.createOrReplaceTempView(name)
     return sessions
+
+
+def read_user_table(spark: SparkSession, table: str) -> DataFrame:
+    """The table that ``write_sessions_by_user`` wrote, with its bucketing."""
+    if not spark.catalog.tableExists(table):
+        raise FileNotFoundError(f"No session table {table!r}: write it first.")
+    return coerce_sessions(spark.table(table))

@@ -278,3 +278,21 @@ def test_has_anomaly_marks_event_days(spark):
     flags = {str(r.date): r.has_anomaly for r in anomaly.has_anomaly(sessions_per_day(spark, days)).collect()}
     assert flags["2024-01-11"] == "🚨 ANOMALY"
     assert set(flags.values()) == {"🚨 ANOMALY", "✅ Normal"} and len(flags) == 11
+
+
+def test_every_device_gets_a_column(spark):
+    table = sessions_of(spark, [{"user_id": "U1", "device": "watch"}, {"user_id": "U2"}, {"user_id": "U2", "device": None}])
+    rows = {r.user_id: r for r in segments.user_features(table, devices=None).collect()}
+    assert (rows["U1"].device_watch, rows["U1"].device_mobile, rows["U1"].device_tablet) == (1, 0, 0)
+    assert (rows["U2"].device_watch, rows["U2"].device_mobile, rows["U2"].device_desktop) == (0, 1, 0)
+    many = sessions_of(spark, [{"user_id": "U", "device": f"d{i}"} for i in range(4)])
+    with pytest.raises(ValueError, match="devices"):
+        segments.device_values(many, at_most=3)
+
+
+def test_health_follows_the_values(spark):
+    table = sessions_of(spark, [{"user_id": f"U{i}", "converted": i % 2, "revenue": 100.0 * (i % 2), "page_load_ms": 2600.0, "traffic_source": "direct"} for i in range(4)])
+    health = {r.metric: r.health for r in northstar.north_star_report(table).collect()}
+    assert health["Avg Page Load"] == health["Organic Share"] == "⚠️ At Risk"
+    assert health["Revenue/Session"] == "✅ Healthy"
+    assert health["Return Visitor Lift"] is None  # nobody returned

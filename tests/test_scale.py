@@ -18,8 +18,9 @@ from sessionscope.operators import (
     segments,
 )
 from sessionscope.sources.events import load_sessions
-from sessionscope.sources.sessions import read_sessions
-from sessionscope.sources.sinks import write_sessions
+from sessionscope.operators.rollup import dimension_rollup
+from sessionscope.sources.sessions import read_sessions, read_user_table
+from sessionscope.sources.sinks import write_sessions, write_sessions_by_user
 
 SF_DIR = "/root/testdata/sf0.001"
 DROP = {"drop_date": "2024-01-10"}
@@ -50,7 +51,10 @@ def stored(spark, sessions, tmp_path_factory):
     [
         (northstar.north_star, {}, 1),
         (northstar.driver_price, {}, 1),
-        (northstar.metrics_tree, {}, 3),
+        (northstar.metrics_tree, {}, 2),
+        (northstar.north_star_report, {}, 2),
+        (northstar.returning_semi_anti, {}, 1),
+        (quality.dataset_summary, {}, 1),
         (northstar.return_visitor_cr, {}, 1),
         (diagnosis.diagnosis_report, DROP, 1),
         (diagnosis.slice_all_dims, DROP, 1),
@@ -153,6 +157,66 @@ def test_results_do_not_depend_on_partitioning(sessions, operator, params):
     assert rows[0] == rows[1] and rows[0]
 
 
+BY_USER = [
+    (northstar.return_visitor_cr, {}),
+    (cohorts.cohort_retention, {"min_size": 5}),
+    (cohorts.cohort_days_since_first, {"heavy_share": None}),
+    (segments.user_features, {}),
+    (segments.primary_device, {}),
+    (northstar.returning_semi_anti, {}),
+    (quality.dataset_summary, {}),
+]
+
+
+@pytest.fixture(scope="module")
+def by_user(spark, sessions):
+    write_sessions_by_user(sessions, "sessions_by_user", buckets=4)
+    yield read_user_table(spark, "sessions_by_user")
+    spark.sql("DROP TABLE sessions_by_user")
+
+
+@pytest.mark.parametrize("operator, params", BY_USER)
+def test_user_table_needs_no_shuffle_by_user(sessions, by_user, operator, params):
+    found = operator(by_user, **params)
+    assert not re.search(r"Exchange hashpartitioning\((user_id|seen_user)", final_plan(found))
+    assert rounded(found) == rounded(operator(sessions, **params))
+
+
+def rounded(frame):
+    """Rows in order; sums of doubles differ in their last digits."""
+    rows = [[round(v, 9) if isinstance(v, float) else v for v in row] for row in frame.collect()]
+    return sorted(map(str, rows))
+
+
+def test_user_table_refuses_a_dominant_user(spark, sessions):
+    hot = sessions.withColumn("user_id", F.when(F.col("session_id") < "S00000400", "HOT").otherwise(F.col("user_id")))
+    with pytest.raises(ValueError, match="One user holds"):
+        write_sessions_by_user(hot, "refused")
+    assert not spark.catalog.tableExists("refused")
+    with pytest.raises(FileNotFoundError):
+        read_user_table(spark, "refused")
+
+
+def test_split_by_join_equals_split_by_sums(spark, sessions):
+    missing = sessions.withColumn("user_id", F.when(F.col("session_id") > "S00000100", F.col("user_id")))
+    by_join = {r.visitor_type: r for r in northstar.returning_semi_anti(missing).collect()}
+    sums = northstar.return_visitor_cr(missing).first()
+    assert by_join["returning"].sessions == sums.returning_sessions and by_join["new"].sessions == sums.new_sessions
+
+
+def test_moments_add_up_like_single_rows(spark, sessions):
+    """Correlation from cells equals the one over rows, with nulls and a large common offset."""
+    odd = sessions.withColumn("page_load_ms", F.when(F.crc32("session_id") % 7 != 0, F.col("page_load_ms") + 1e7))
+    for table in (sessions, odd):
+        cells = dimension_rollup(
+            table, ("device", "traffic_source"), ("date",), n=F.count("*"), moments=("page_load_ms", "converted")
+        )
+        both = table.where("page_load_ms IS NOT NULL")
+        total = cells.where("dimension = 'all'").first()
+        rows = both.agg(F.corr("page_load_ms", "converted").alias("r"), F.count("*").alias("n")).first()
+        assert total.n_xy == rows.n and total.xy / (total.xx * total.yy) ** 0.5 == pytest.approx(rows.r, abs=1e-9)
+
+
 @pytest.mark.parametrize("n", [1, 10, 500, 999, 1000, 5000])
 def test_sample_is_exact_for_any_size(sessions, n):
     drawn = {r.session_id for r in quality.sample_sessions(sessions, n).collect()}
