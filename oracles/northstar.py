@@ -212,14 +212,71 @@ days AS (
 )
 """
 
-SQL["metrics_tree"] = query(
+_TREE = (
     "SELECT driver, metric, key, CAST(value AS DOUBLE) AS value, status FROM (\n"
     + "\nUNION ALL\n".join(f"SELECT {items} FROM {source}" for source, items in _TREE_PARTS)
-    + "\n) tree(driver, metric, key, value, status)",
+    + "\n) tree(driver, metric, key, value, status)"
+)
+SQL["metrics_tree"] = query(_TREE, _CORRELATION, _VISITORS, _OVERALL, _DAYS)
+
+# How the document shows a metric: key in the tree, name in the document, format.
+_SHOWN = [
+    ("page_load_speed", "avg_ms", "value", "%.0fms avg"),
+    ("bounce_rate", "pct", "value", "%.2f%%"),
+    ("mobile_experience", "mobile_cr", "mobile_cr", "%.3f%%"),
+    ("mobile_experience", "desktop_cr", "desktop_cr", "%.3f%%"),
+    ("mobile_experience", "gap_vs_desktop", "gap_vs_desktop", "%.3fpp"),
+    ("revenue_per_session", "", "value", "₹%.2f"),
+    ("organic_share", "", "value", "%.1f%%"),
+    ("paid_efficiency", "paid_cr", "paid_cr", "%.3f%%"),
+    ("paid_efficiency", "organic_cr", "organic_cr", "%.3f%%"),
+    ("paid_efficiency", "paid_vs_organic", "paid_vs_organic", "%+.3fpp"),
+    ("return_visitor_cr", "returning_cr", "returning_cr", "%.3f%%"),
+    ("return_visitor_cr", "new_visitor_cr", "new_visitor_cr", "%.3f%%"),
+    ("return_visitor_cr", "loyalty_lift", "loyalty_lift", "%+.3fpp"),
+]
+_BENCHMARKS = {
+    "page_load_speed": "< 2500ms",
+    "bounce_rate": "< 40%",
+    "revenue_per_session": "> ₹40",
+    "organic_share": "> 25%",
+}
+_SIGN = "CASE WHEN {0} THEN '✅ Healthy' WHEN NOT {0} THEN '⚠️ At Risk' END"
+_HEALTH = [
+    ("page_load_speed", "avg_ms", _SIGN.format("status = '✅'")),
+    ("revenue_per_session", "", _SIGN.format("status = '✅'")),
+    ("organic_share", "", _SIGN.format("status = '✅'")),
+    ("return_visitor_cr", "loyalty_lift", _SIGN.format("value > 0")),
+]
+_BRANCH = "'level1_drivers.' || driver || '"
+
+
+def _where(metric: str, key: str) -> str:
+    return f"FROM tree WHERE metric = '{metric}' AND key = '{key}'"
+
+
+SQL["metrics_tree_document"] = query(
+    "SELECT path, CAST(text AS VARCHAR) AS text, CAST(number AS DOUBLE) AS number FROM (\n"
+    + "\nUNION ALL\n".join(
+        [
+            "SELECT 'north_star.north_star_metric' AS path, 'Conversion Rate' AS text, NULL AS number",
+            "SELECT 'north_star.' || metric, NULL, value FROM tree WHERE driver = 'North Star'",
+            f"SELECT DISTINCT {_BRANCH}.driver', driver, NULL FROM tree WHERE driver <> 'North Star'",
+            f"""SELECT {_BRANCH}.level2.' || metric || '.' || key, NULL, value FROM tree
+WHERE metric IN ('category_aov', 'traffic_source_cr', 'traffic_mix', 'category_conversion_rates', 'funnel_steps_distribution')
+   OR key IN ('correlation_with_cr', 'p_value')""",
+            f"SELECT {_BRANCH}.level2.' || metric || '.status', status, NULL FROM tree WHERE status IS NOT NULL",
+        ]
+        + [f"SELECT {_BRANCH}.level2.{m}.{name}', printf('{form}', value), NULL {_where(m, k)}" for m, k, name, form in _SHOWN]
+        + [f"SELECT DISTINCT {_BRANCH}.level2.{m}.benchmark', '{b}', NULL FROM tree WHERE metric = '{m}'" for m, b in _BENCHMARKS.items()]
+        + [f"SELECT {_BRANCH}.health', {health}, NULL {_where(m, k)}" for m, k, health in _HEALTH]
+    )
+    + "\n) fields(path, text, number) WHERE text IS NOT NULL OR number IS NOT NULL",
     _CORRELATION,
     _VISITORS,
     _OVERALL,
     _DAYS,
+    f"tree AS ({_TREE})",
 )
 
 SQL["north_star_report"] = query(

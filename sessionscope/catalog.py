@@ -73,6 +73,7 @@ _OPERATORS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "return_visitor_cr": (northstar.return_visitor_cr, {}),
     "returning_semi_anti": (northstar.returning_semi_anti, {}),
     "metrics_tree": (northstar.metrics_tree, EXACT),
+    "metrics_tree_document": (northstar.metrics_tree_fields, EXACT),
     "north_star_report": (northstar.north_star_report, {}),
     "drop_verify_union": (diagnosis.drop_verify_union, DROP),
     "drop_verify_ztest": (diagnosis.drop_verify_ztest, DROP),
@@ -109,6 +110,7 @@ _OPERATORS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "anomaly_status": (anomaly.anomaly_status, {**MEANS, "ma_dp": 8}),
     "anomaly_events": (anomaly.anomaly_events, {}),
     "driver_health": (anomaly.driver_health, {"category": "CAT_0", "steps_dp": 4, **MEANS}),
+    "driver_health_document": (anomaly.driver_health_fields, {"category": "CAT_0", "steps_dp": 4, **MEANS}),
     "measure_cr": (measures.measure_cr, {"by": ("device",), "digits": 8}),
     "measure_rps": (measures.measure_rps, {"by": ("product_category",), "digits": 8}),
     "measure_cr_vs_baseline": (measures.measure_cr_vs_baseline, {"digits": 8}),

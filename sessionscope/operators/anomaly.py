@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.calendar import as_date, date_lit, in_days, shift, until_day
 from sessionscope.functions.rates import count_if, mean_if, pct, ratio
-from sessionscope.functions.rows import stack_rows
+from sessionscope.functions.rows import document_fields, stack_rows
 from sessionscope.labels import (
     ANOMALY_FLAG,
     AT_RISK,
@@ -339,13 +339,36 @@ def driver_health(
     return stack_rows(totals, ["driver", "metric", "value", "unit", "status"], rows)
 
 
+# The names of the branches in the health document.
+HEALTH_BRANCHES = {
+    "page_experience": "Page Experience",
+    "price_value": "Price & Value",
+    "discovery": "Discovery",
+    "product_quality": "Product Quality",
+}
+
+
 def driver_health_document(health: DataFrame) -> DataFrame:
-    """The nine health rows nested per driver, for the JSON sink."""
-    sub = F.struct("value", "unit", "status")
-    own = F.col("metric").isin("conversion_rate", "page_load_speed")
-    return health.groupBy(F.col("driver").alias("name")).agg(
-        F.coalesce(F.max(F.when(own, F.col("status"))), F.lit(HEALTHY)).alias("status"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", sub.alias("detail"))))).alias(
-            "sub_drivers"
-        ),
-    )
+    """The nine health rows as one document row: the north star and a branch per driver.
+
+    Load time decides the status of its branch.
+    """
+    detail = F.struct("value", "unit", "status")
+
+    def branch(name: str) -> Column:
+        own = F.col("driver") == name
+        status = F.max(F.when(own & (F.col("metric") == "page_load_speed"), F.col("status")))
+        found = F.sort_array(F.collect_list(F.when(own, F.struct("metric", detail.alias("detail")))))
+        return F.struct(
+            F.lit(name).alias("name"),
+            F.coalesce(status, F.lit(HEALTHY)).alias("status"),
+            F.map_from_entries(found).alias("sub_drivers"),
+        )
+
+    star = F.max(F.when(F.col("metric") == "conversion_rate", F.struct(F.col("driver").alias("name"), "value", "unit", "status")))
+    return health.agg(star.alias("north_star"), *[branch(name).alias(key) for key, name in HEALTH_BRANCHES.items()])
+
+
+def driver_health_fields(sessions: DataFrame, **params) -> DataFrame:
+    """Every field of the health document: ``path, text, number``; parameters as in ``driver_health``."""
+    return document_fields(driver_health_document(driver_health(sessions, **params)))

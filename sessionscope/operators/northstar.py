@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionscope.functions.rates import count_if, mean_if, pct, ratio, sum_if
-from sessionscope.functions.rows import stack_rows
+from sessionscope.functions.rows import document_fields, stack_rows
 from sessionscope.functions.stats import correlation_t, student_p
 from sessionscope.labels import AT_RISK_LABEL, BAD_MARK, GOOD_MARK, HEALTHY_LABEL
 from sessionscope.operators.rollup import dimension_rollup
@@ -455,22 +455,132 @@ def north_star_report(sessions: DataFrame) -> DataFrame:
     return stack_rows(picked, names, numbered).orderBy("ord")
 
 
+def _read_tree(tree: DataFrame) -> DataFrame:
+    """The long tree as one wide row: a value, a mark or a map per metric."""
+
+    def here(metric: str, key: str) -> Column:
+        return (F.col("metric") == metric) & (F.col("key") == key)
+
+    def values(metric: str) -> Column:
+        return F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("metric") == metric, F.struct("key", "value")))))
+
+    single = {
+        "load": ("page_load_speed", "avg_ms"),
+        "r": ("page_load_speed", "correlation_with_cr"),
+        "p": ("page_load_speed", "p_value"),
+        "bounce": ("bounce_rate", "pct"),
+        "mobile": ("mobile_experience", "mobile_cr"),
+        "desktop": ("mobile_experience", "desktop_cr"),
+        "gap": ("mobile_experience", "gap_vs_desktop"),
+        "rps": ("revenue_per_session", ""),
+        "organic_share": ("organic_share", ""),
+        "paid": ("paid_efficiency", "paid_cr"),
+        "organic": ("paid_efficiency", "organic_cr"),
+        "paid_gap": ("paid_efficiency", "paid_vs_organic"),
+        "returning": ("return_visitor_cr", "returning_cr"),
+        "new": ("return_visitor_cr", "new_visitor_cr"),
+        "lift": ("return_visitor_cr", "loyalty_lift"),
+        **{name: (name, "") for name in STAR_METRICS},
+    }
+    marks = ("load", "bounce", "gap", "rps", "organic_share")
+    return tree.agg(
+        *[F.max(F.when(here(*where), F.col("value"))).alias(name) for name, where in single.items()],
+        *[F.max(F.when(here(*single[name]), F.col("status"))).alias(f"{name}_mark") for name in marks],
+        *[values(name).alias(name) for name in MAP_METRICS],
+    )
+
+
+# The metrics of the document that have no key of their own, and those that are maps.
+STAR_METRICS = ("overall_cr", "avg_daily_cr", "cr_std", "total_sessions", "total_conversions", "total_revenue_inr")
+MAP_METRICS = (
+    "category_aov",
+    "traffic_source_cr",
+    "traffic_mix",
+    "category_conversion_rates",
+    "funnel_steps_distribution",
+)
+
+
 def metrics_tree_document(tree: DataFrame) -> DataFrame:
-    """The long tree nested as one document row for the JSON sink.
+    """The long tree as one document row, in the shape its readers expect.
 
-    It holds one entry per driver metric, so its size follows the number of
-    sources and categories, not the sessions.
+    ``north_star`` holds numbers; each of ``level1_drivers`` has ``driver``, ``health`` and ``level2``, whose
+    metrics carry a formatted value, the benchmark it is held to and the mark.  All drivers share one type:
+    in JSON, where nulls are left out, each shows its own metrics only.  A driver's health is the mark of its benchmark.
     """
-    item = F.struct("metric", "key", "value", "status")
-    slow = (F.col("metric") == "page_load_speed") & (F.col("status") == BAD_MARK)
-    drivers = tree.groupBy("driver").agg(
-        F.sort_array(F.collect_list(item)).alias("level2"),
-        F.when(F.bool_or(F.coalesce(slow, F.lit(False))), AT_RISK_LABEL).otherwise(HEALTHY_LABEL).alias("health"),
-    )
-    is_star = F.col("driver") == STAR
-    branch = F.struct("driver", "health", "level2")
-    metrics = F.transform("level2", lambda x: F.struct(x["metric"].alias("key"), x["value"].alias("value")))
-    return drivers.agg(
-        F.first(F.when(is_star, F.map_from_entries(metrics)), ignorenulls=True).alias("north_star"),
-        F.sort_array(F.collect_list(F.when(~is_star, branch))).alias("level1_drivers"),
-    )
+
+    def shown(pattern: str, name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.format_string(pattern, name))
+
+    def judged(pattern: str, name: str, benchmark: str, *more: Column) -> Column:
+        return F.struct(
+            shown(pattern, name).alias("value"), F.lit(benchmark).alias("benchmark"), F.col(f"{name}_mark").alias("status"), *more
+        )
+
+    level2 = {
+        "page_load_speed": (
+            PAGE,
+            judged("%.0fms avg", "load", f"< {MAX_LOAD_MS:.0f}ms", F.col("r").alias("correlation_with_cr"), F.col("p").alias("p_value")),
+        ),
+        "bounce_rate": (PAGE, judged("%.2f%%", "bounce", f"< {MAX_BOUNCE_RATE:.0%}")),
+        "mobile_experience": (
+            PAGE,
+            F.struct(
+                shown("%.3f%%", "mobile").alias("mobile_cr"),
+                shown("%.3f%%", "desktop").alias("desktop_cr"),
+                shown("%.3fpp", "gap").alias("gap_vs_desktop"),
+                F.col("gap_mark").alias("status"),
+            ),
+        ),
+        "revenue_per_session": (PRICE, judged("₹%.2f", "rps", f"> ₹{MIN_REVENUE_PER_SESSION:.0f}")),
+        "category_aov": (PRICE, F.col("category_aov")),
+        "traffic_source_cr": (PRICE, F.col("traffic_source_cr")),
+        "traffic_mix": (DISCOVERY, F.col("traffic_mix")),
+        "organic_share": (DISCOVERY, judged("%.1f%%", "organic_share", f"> {MIN_ORGANIC_SHARE_PCT:.0f}%")),
+        "paid_efficiency": (
+            DISCOVERY,
+            F.struct(
+                shown("%.3f%%", "paid").alias("paid_cr"),
+                shown("%.3f%%", "organic").alias("organic_cr"),
+                shown("%+.3fpp", "paid_gap").alias("paid_vs_organic"),
+            ),
+        ),
+        "category_conversion_rates": (QUALITY, F.col("category_conversion_rates")),
+        "funnel_steps_distribution": (QUALITY, F.col("funnel_steps_distribution")),
+        "return_visitor_cr": (
+            QUALITY,
+            F.struct(
+                shown("%.3f%%", "returning").alias("returning_cr"),
+                shown("%.3f%%", "new").alias("new_visitor_cr"),
+                shown("%+.3fpp", "lift").alias("loyalty_lift"),
+            ),
+        ),
+    }
+
+    def health(good: Column) -> Column:
+        return F.when(good, HEALTHY_LABEL).when(~good, AT_RISK_LABEL)
+
+    healths = {
+        PAGE: health(F.col("load_mark") == GOOD_MARK),
+        PRICE: health(F.col("rps_mark") == GOOD_MARK),
+        DISCOVERY: health(F.col("organic_share_mark") == GOOD_MARK),
+        QUALITY: health(F.col("lift") > 0),
+    }
+    never = F.lit(None).cast("boolean")
+    branches = [
+        F.struct(
+            F.lit(driver).alias("driver"),
+            healths[driver].alias("health"),
+            F.struct(*[F.when(F.lit(True) if owner == driver else never, column).alias(name) for name, (owner, column) in level2.items()]).alias("level2"),
+        )
+        for driver in healths
+    ]
+    counts = ("total_sessions", "total_conversions")
+    star = [F.lit("Conversion Rate").alias("north_star_metric")]
+    star += [(F.col(name).cast("long") if name in counts else F.col(name)).alias(name) for name in STAR_METRICS]
+    return _read_tree(tree).select(F.struct(*star).alias("north_star"), F.array(*branches).alias("level1_drivers"))
+
+
+def metrics_tree_fields(sessions: DataFrame, money_dp: int = 2) -> DataFrame:
+    """Every field of the tree's document: ``path, text, number``."""
+    return document_fields(metrics_tree_document(metrics_tree(sessions, money_dp)), name="driver")

@@ -142,20 +142,33 @@ def test_metrics_tree_document(spark):
     tree = northstar.metrics_tree(load_sessions(spark, SF_DIR))
     (text,) = northstar.metrics_tree_document(tree).toJSON().collect()
     document = json.loads(text)
-    assert document["north_star"]["total_sessions"] == 1000.0
+    assert document["north_star"]["total_sessions"] == 1000 and document["north_star"]["north_star_metric"] == "Conversion Rate"
     drivers = {d["driver"]: d for d in document["level1_drivers"]}
-    assert set(drivers) == {"Page Experience", "Price & Value", "Discovery", "Product Quality"}
-    load = [m["value"] for m in drivers["Page Experience"]["level2"] if m["key"] == "avg_ms"][0]
-    assert drivers["Page Experience"]["health"] == ("⚠️ At Risk" if load > 2500 else "✅ Healthy")
-    steps = [m for m in drivers["Product Quality"]["level2"] if m["metric"] == "funnel_steps_distribution"]
-    assert sum(m["value"] for m in steps) == pytest.approx(100, abs=0.05)
+    assert list(drivers) == ["Page Experience", "Price & Value", "Discovery", "Product Quality"]
+    load = drivers["Page Experience"]["level2"]["page_load_speed"]
+    assert set(load) == {"value", "benchmark", "status", "correlation_with_cr", "p_value"} and load["benchmark"] == "< 2500ms"
+    assert drivers["Page Experience"]["health"] == ("✅ Healthy" if load["status"] == "✅" else "⚠️ At Risk")
+    assert set(drivers["Price & Value"]["level2"]) == {"revenue_per_session", "category_aov", "traffic_source_cr"}
+    assert set(drivers["Discovery"]["level2"]) == {"traffic_mix", "organic_share", "paid_efficiency"}
+    steps = drivers["Product Quality"]["level2"]["funnel_steps_distribution"]
+    assert set(steps) == set("12345") and sum(steps.values()) == pytest.approx(100, abs=0.05)
 
 
 def test_driver_health_document(spark):
     health = anomaly.driver_health(load_sessions(spark, SF_DIR), category="CAT_0")
-    rows = {json.loads(t)["name"]: json.loads(t) for t in anomaly.driver_health_document(health).toJSON().collect()}
-    assert rows["Page Experience"]["sub_drivers"]["bounce_rate"]["unit"] == "%"
-    assert rows["Product Quality"]["status"] == "healthy"
+    (text,) = anomaly.driver_health_document(health).toJSON().collect()
+    document = json.loads(text)
+    assert list(document) == ["north_star", "page_experience", "price_value", "discovery", "product_quality"]
+    assert set(document["north_star"]) == {"name", "value", "unit", "status"}
+    assert document["page_experience"]["sub_drivers"]["bounce_rate"]["unit"] == "%"
+    assert document["product_quality"]["status"] == "healthy"
+
+
+def test_documents_of_nothing(spark):
+    empty = load_sessions(spark, SF_DIR).limit(0)
+    (text,) = northstar.metrics_tree_document(northstar.metrics_tree(empty)).toJSON().collect()
+    assert [d["driver"] for d in json.loads(text)["level1_drivers"]][0] == "Page Experience"
+    assert anomaly.driver_health_document(anomaly.driver_health(empty)).count() == 1
 
 
 def test_job_writes_every_feed(spark, tmp_path):
