@@ -37,7 +37,7 @@ from sessionscope.labels import (
     SHIP,
     SHIP_CONDITIONALLY,
 )
-from sessionscope.operators.rollup import dimension_rollup, grouping_rollup
+from sessionscope.operators.rollup import dimension_rollup, moment_rollup
 from sessionscope.schema import (
     ALPHA,
     DROP_DATE,
@@ -173,15 +173,22 @@ def _counts(w: LaunchWindow) -> dict[str, Column]:
     }
 
 
+def _sums(w: LaunchWindow) -> dict[str, Column]:
+    return _counts(w) | {"b1": sum_if("bounced", w.is_pre()), "b2": sum_if("bounced", ~w.is_pre())}
+
+
+def _measured(w: LaunchWindow) -> dict[str, Column]:
+    """The values whose means and variances the guardrails compare, by window."""
+    columns = {"load": "page_load_ms", "rev": "revenue"}
+    sides = {"1": w.is_pre(), "2": ~w.is_pre()}
+    return {short + side: F.when(here, F.col(c)) for side, here in sides.items() for short, c in columns.items()}
+
+
 def _moments(w: LaunchWindow) -> dict[str, Column]:
     """Sufficient statistics of the primary metric and the guardrails."""
-    sides = {"1": w.is_pre(), "2": ~w.is_pre()}
-    out = _counts(w)
-    for side, here in sides.items():
-        out[f"b{side}"] = sum_if("bounced", here)
-        for short, column in (("load", "page_load_ms"), ("rev", "revenue")):
-            out[f"{short}_m{side}"] = mean_if(column, here)
-            out[f"{short}_v{side}"] = F.var_samp(F.when(here, F.col(column)))
+    out = _sums(w)
+    for name, value in _measured(w).items():
+        out[f"{name}_mean"], out[f"{name}_var"] = F.avg(value), F.var_samp(value)
     return out
 
 
@@ -196,7 +203,7 @@ def _rate(x: str, n: str) -> Column:
 def _welch(short: str) -> tuple[Column, ...]:
     return tuple(
         F.col(name)
-        for name in (f"{short}_m1", f"{short}_v1", "n1", f"{short}_m2", f"{short}_v2", "n2")
+        for name in (f"{short}1_mean", f"{short}1_var", "n1", f"{short}2_mean", f"{short}2_var", "n2")
     )
 
 
@@ -265,9 +272,9 @@ def launch_primary(sessions: DataFrame, alpha: float = ALPHA, **window) -> DataF
 def _guardrail_passes() -> dict[str, Column]:
     """Ties count as passed on every guardrail."""
     return {
-        "load": F.col("load_m2") <= F.col("load_m1"),
+        "load": F.col("load2_mean") <= F.col("load1_mean"),
         "bounce": _rate("b2", "n2") <= _rate("b1", "n1"),
-        "rev": F.col("rev_m2") >= F.col("rev_m1"),
+        "rev": F.col("rev2_mean") >= F.col("rev1_mean"),
     }
 
 
@@ -296,9 +303,9 @@ def _guardrail_rows(alpha: float, money_dp: int, load_dp: int) -> Column:
 
     none = F.lit(None).cast("double")
     return F.array(
-        row("load", F.col("load_m1"), F.col("load_m2"), *mean_diff_ci(*_welch("load")), load_dp),
+        row("load", F.col("load1_mean"), F.col("load2_mean"), *mean_diff_ci(*_welch("load")), load_dp),
         row("bounce", _rate("b1", "n1") * 100, _rate("b2", "n2") * 100, none, none, 3),
-        row("rev", F.col("rev_m1"), F.col("rev_m2"), *mean_diff_ci(*_welch("rev")), money_dp),
+        row("rev", F.col("rev1_mean"), F.col("rev2_mean"), *mean_diff_ci(*_welch("rev")), money_dp),
     )
 
 
@@ -401,11 +408,11 @@ def launch_report(
 ) -> DataFrame:
     """Recommendation, primary metric, guardrails and segments as text rows.
 
-    A single grouping-sets pass: the grand-total row expands into the first
+    A single pass over cells of device and source: the grand-total row expands into the first
     three sections, every large enough segment row into one line of the last.
     """
     w = LaunchWindow(**window)
-    rollup = grouping_rollup(w.sessions(sessions), ("device", "traffic_source"), **_moments(w))
+    rollup = moment_rollup(w.sessions(sessions), ("device", "traffic_source"), _measured(w), **_sums(w))
     total = F.col("dimension") == "all"
     kept = rollup.where(total | _segment_is_large(devices, device_gate, source_gate))
     tested = _with_tests(kept)

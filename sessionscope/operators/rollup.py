@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionscope.functions.rates import ratio
+
 
 def _label(dimension: str, key: Column) -> Column:
     return F.struct(F.lit(dimension).alias("dimension"), key.cast("string").alias("key"))
@@ -94,15 +96,40 @@ def _about_the_mean(cells: DataFrame, whole: Column) -> DataFrame:
     )
 
 
-def grouping_rollup(sessions: DataFrame, dimensions: tuple[str, ...], **aggregates: Column) -> DataFrame:
-    """The same shape for aggregates that do not add up, such as variances."""
-    sets = [[F.col(d)] for d in dimensions] + [[]]
-    grouped = sessions.groupingSets(sets, *[F.col(d) for d in dimensions]).agg(
-        *[column.alias(name) for name, column in aggregates.items()],
-        *[F.grouping(d).alias(f"_no_{d}") for d in dimensions],
+def moment_rollup(
+    sessions: DataFrame, together: tuple[str, ...], values: dict[str, Column], **sums: Column
+) -> DataFrame:
+    """``dimension_rollup`` that also gives ``<value>_n``, ``<value>_mean`` and ``<value>_var`` (sample variance).
+
+    Sessions collapse once, to cells with counts, means and population variances; cells roll up to
+    each label by moving their deviations to the label's mean.  No row is copied per dimension.
+    """
+    cells = sessions.groupBy(*together).agg(
+        *[column.alias(name) for name, column in sums.items()],
+        *[F.count(v).alias(f"{name}_n") for name, v in values.items()],
+        *[F.avg(v).alias(f"{name}_mean") for name, v in values.items()],
+        *[F.var_pop(v).alias(f"{name}_var") for name, v in values.items()],
+    )
+    labels = F.array(*[_label(d, F.col(d)) for d in together], _label("all", F.lit(None)))
+    labelled = cells.select(F.inline(labels), *[c for c in cells.columns if c not in together])
+    # Windows over cells: a few rows per label.
+    label = Window.partitionBy("dimension", "key")
+
+    def n(name: str) -> Column:
+        return F.col(f"{name}_n")
+
+    whole = {
+        f"{name}_whole": ratio(F.sum(n(name) * F.col(f"{name}_mean")).over(label), F.sum(n(name)).over(label)) for name in values
+    }
+    off = {name: F.col(f"{name}_mean") - F.col(f"{name}_whole") for name in values}
+    spread = {name: F.sum(n(name) * (F.col(f"{name}_var") + off[name] * off[name])) for name in values}
+    return (
+        labelled.withColumns(whole)
+        .groupBy("dimension", "key")
+        .agg(
+            *[F.sum(name).alias(name) for name in sums],
+            *[F.sum(n(name)).alias(f"{name}_n") for name in values],
+            *[F.max(f"{name}_whole").alias(f"{name}_mean") for name in values],
+            *[F.when(F.sum(n(name)) > 1, ratio(spread[name], F.sum(n(name)) - 1)).alias(f"{name}_var") for name in values],
+        )
     )
-    label = F
-    for d in dimensions:
-        label = label.when(F.col(f"_no_{d}") == 0, _label(d, F.col(d)))
-    labelled = grouped.withColumn("_label", label.otherwise(_label("all", F.lit(None))))
-    return labelled.select("_label.*", *aggregates)

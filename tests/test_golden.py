@@ -66,6 +66,7 @@ def test_sums_of_the_drop_window(spark):
 
 
 def test_persona_names(spark):
+    # The published profile of four segments.
     profile = spark.createDataFrame(
         [
             (0, 42699, 1.367760369095295, 0.0, 0.0, 1.3654652333778308),

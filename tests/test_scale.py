@@ -73,6 +73,11 @@ def test_number_of_scans(sessions, operator, params, scans):
     assert final_plan(operator(sessions, **params)).count("FileScan") == scans
 
 
+def test_launch_report_copies_no_session(sessions):
+    plan = final_plan(launch.launch_report(sessions, **LAUNCH))
+    assert plan.count("FileScan") == 1 and "Expand" not in plan
+
+
 def test_baseline_is_one_row_beside_the_groups(sessions):
     plan = final_plan(measures.measure_cr_vs_baseline(sessions, by=("user_id",)))
     assert plan.count("FileScan") == 1 and "Window" not in plan

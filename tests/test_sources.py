@@ -208,6 +208,15 @@ def test_job_command_line(spark, tmp_path):
     assert report.count() == 20 and set(report.columns) == {"step", "section", "ord", "metric", "value"}
 
 
+def test_job_takes_every_setting_from_the_command_line(spark, tmp_path):
+    options = ["--segments", "3", "--starts", "2", "--max-users", "150", "--z-threshold", "1.5", "--half-window", "5"]
+    for module in ("4", "5"):
+        job.main(["--events", SF_DIR, "--output", str(tmp_path), "--module", module, "--launch-date", "2024-01-21", *options])
+    profile = spark.read.option("header", True).csv(str(tmp_path / "segment_profiles"))
+    assert profile.count() == 3 and {"segment_silhouette", "silhouette"} <= set(profile.columns)
+    assert spark.read.option("header", True).csv(str(tmp_path / "feature_launch_tracker")).count() == 11
+
+
 def test_job_runs_one_module(spark, tmp_path):
     settings = job.Settings(str(tmp_path), launch_date="2024-01-21")
     assert job.run(load_sessions(spark, SF_DIR), settings, module=4) == ["run_anomaly"]
