@@ -45,14 +45,16 @@ INDEX = (
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """Raw bytes of the shared dictionary; the sample is drawn by text hash."""
-    draw = F.xxhash64("text")
-    sample = (
-        docs.select(F.substring(text_of(docs), 1, SAMPLE_CHARS).alias("text"))
-        .where(F.length("text") > 0)
-        .orderBy(draw, "text")
-        .limit(SAMPLE_DOCS)
-    )
+    """Raw bytes of the shared dictionary.
+
+    The sample is drawn by text hash, in each of so many slots the smallest: tasks send hashes only, and
+    the driver gets one text per slot, however many tasks there are.
+    """
+    texts = docs.select(F.substring(text_of(docs), 1, SAMPLE_CHARS).alias("text")).where(F.length("text") > 0)
+    drawn = texts.withColumn("draw", F.xxhash64("text"))
+    slots = drawn.groupBy(F.pmod("draw", F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min("draw").alias("draw"))
+    least = [row.draw for row in slots.collect()]
+    sample = drawn.where(F.col("draw").isin(least)).groupBy("draw").agg(F.min("text").alias("text")).orderBy("draw")
     arrays = WordEncoder(tokenizer).encode([row.text for row in sample.collect()])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
