@@ -55,9 +55,11 @@ def timed(build, spark, sf_dir: str) -> float:
 
 def main() -> None:
     from sessionscope.catalog import build_queries
+    from sessionscope.plans.ship import ship_package
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session(os.environ.get("BENCH_CPUS", "8"))
+    ship_package(spark)
     queries = build_queries()
     wanted = os.environ.get("BENCH_QUERIES")
     names = wanted.split(",") if wanted else HEADLINE
