@@ -17,11 +17,16 @@ only five deviations below the limit; the rest are confirmed on the full sets.
 
 1. Each member of a bucket is held against the bucket's smallest class: a row each,
    however large the bucket is.
-2. Components are formed.  In buckets that still hold several components every pair
-   across components is a candidate: small buckets are joined, large ones compared block by
-   block inside tasks, which give out lists of the pairs that the registers find plausible; the
-   full sets of two blocks then meet in a task that confirms its lists.
-3. Confirmed pairs join the links and components are formed again.
+2. Components are formed.  Members of large buckets that still hold several of them are
+   dealt again by longer keys, two bands each, whose groups are more alike; each member is held
+   against a member of each of its groups drawn by hash, and components are merged
+   (``ROUNDS``).  This leaves few outsiders.
+3. In buckets that then hold several components every pair across components is a
+   candidate.  Small buckets are joined.  In large ones the outsiders, members without the
+   bucket's most frequent component, meet all others block by block inside tasks, which give
+   out lists of the pairs that the registers find plausible; the full sets of two blocks then
+   meet in a task that confirms its lists.  Members of one component never meet.
+4. Confirmed pairs join the links and components are formed again.
 
 So no candidate that could change a component stays untested, and no group's pairs are all
 listed.  A set's documents share a component.  Null and wordless texts have no shingles
@@ -58,6 +63,7 @@ _BAND_SEEDS = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
 BLOCK = 256  # members of a bucket compared at once
 BLOCK_HASHES = 1 << 20  # shingles of these members, about
 SMALL = 16  # members of a bucket whose pairs are joined
+ROUNDS = ((1, 7, 19), (3, 11, 23))  # how far apart the two bands of a longer key are
 
 SKETCH = (
     "row long, doc_id long, text_hash long, n_shingles long, set_key binary, "
@@ -215,8 +221,8 @@ def _sets(rows: DataFrame, sketches: DataFrame, docs: DataFrame, limits: Limits)
     return texts.join(places, same).select("row", "text").mapInArrow(sets, "row long, hashes binary")
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limits: Limits, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the limit."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
+    """The pairs (u, v) whose full sets (row, hashes) reach the limit."""
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -227,35 +233,97 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limits: L
             result.append(100 * common >= limits.percent * (len(x) + len(y) - common))
         return pd.Series(result, dtype=bool)
 
-    wanted = pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
-    # Rows that repeat both id and text give a set twice.
-    table = scratch.write(_sets(wanted, sketches, docs, limits), name).dropDuplicates(["row"])
-    u = table.select(F.col("row").alias("u"), F.col("hashes").alias("hu"))
-    v = table.select(F.col("row").alias("v"), F.col("hashes").alias("hv"))
+    u = sets.select(F.col("row").alias("u"), F.col("hashes").alias("hu"))
+    v = sets.select(F.col("row").alias("v"), F.col("hashes").alias("hv"))
     return pairs.join(u, "u").join(v, "v").where(linked("hu", "hv")).select("u", "v")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
+
+
+def _long_keys(bands: str, strides: tuple[int, ...]):
+    """Hashes of two bands each, as far apart in the list as ``strides`` say."""
+    n = F.size(bands)
+
+    def keys(stride: int):
+        return F.transform(bands, lambda band, i: F.xxhash64(band, F.get(bands, (i + stride) % n)))
+
+    return F.coalesce(F.concat(*(keys(stride) for stride in strides)), F.array().cast("array<long>"))
+
+
+def _merge_by_long_keys(
+    rows: DataFrame, sketches: DataFrame, chosen: DataFrame, sets: DataFrame, limits: Limits, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) found in groups of longer keys, and ``rows`` (row, root) with merged roots."""
+    keyed = scratch.write(sketches.select("row", "bands", "upper_bands").join(rows.select("row"), "row", "left_semi"), "keyed")
+    chosen = scratch.write(chosen.join(rows.select("row"), "row", "left_semi"), "close")
+    links = rows.select(F.col("row").alias("u"), F.col("row").alias("v")).where("false")
+    for turn, strides in enumerate(ROUNDS):
+        keys = F.concat(_long_keys("bands", strides), _long_keys("upper_bands", strides))
+        member = scratch.write(
+            keyed.select("row", F.explode(F.array_distinct(keys)).alias("key")).join(rows, "row"), f"long-{turn}"
+        )
+        drawn = F.min_by(F.struct("row", "root"), F.xxhash64("row", F.lit(turn))).alias("centre")
+        lo, hi = F.min("root").alias("lo"), F.max("root").alias("hi")
+        centres = member.groupBy("key").agg(drawn, lo, hi).where("lo != hi").select("key", "centre")
+        stars = (
+            member.join(centres, "key")
+            .where(F.col("root") != F.col("centre.root"))
+            .select(F.greatest("row", "centre.row").alias("u"), F.least("row", "centre.row").alias("v"))
+            .distinct()
+        )
+        likely = scratch.write(_estimated(stars, chosen, limits.percent), f"long-likely-{turn}")
+        found = scratch.write(_confirmed(likely, sets, limits), f"long-links-{turn}")
+        links = links.union(found)
+        ends = [rows.select(F.col("row").alias(end), F.col("root").alias(f"root_{end}")) for end in "uv"]
+        between = found.join(ends[0], "u").join(ends[1], "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+        merged = components(between, scratch, f"long-roots-{turn}").select(F.col("node").alias("root"), F.col("root").alias("new"))
+        rows = scratch.write(
+            rows.join(merged, "root", "left").select("row", F.coalesce("new", "root").alias("root")), f"rows-{turn}"
+        )
+        scratch.drop(f"long-{turn}", f"long-likely-{turn}")
+    scratch.drop("keyed", "close")
+    return links, rows
+
+
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Lists (us, vs) of plausible pairs across components inside large buckets.
 
-    A bucket of n members becomes n / BLOCK rows that hold a block each, more if sets are
-    large; a task holds two of them at a time.  A row's home is its block in its
-    largest bucket, so that lists between the same two homes can be confirmed together.
+    The outsiders of a bucket and its other members become blocks of about BLOCK rows, more
+    if sets are large; a block of outsiders meets every other block, two at a time in a
+    task.  A row's home is a block, too, of all rows on the same side of the same component in
+    their largest bucket, so that all lists between two homes become one and are confirmed together.
     """
 
+    def blocks(rows, total):
+        """A power of two, so that homes do not depend on small differences of size."""
+        wanted = F.greatest(rows / BLOCK, total / BLOCK_HASHES, F.lit(1.0))
+        return F.pow(F.lit(2.0), F.ceil(F.log2(wanted))).cast("int")
+
     def place(bucket):
-        blocks = F.ceil(F.greatest(bucket["size"] / BLOCK, bucket["total"] / BLOCK_HASHES)).cast("int")
-        own = F.pmod(F.xxhash64("row"), blocks).cast("int")
-        names = bucket["size"], bucket["band"], own.alias("own"), blocks.alias("blocks"), bucket["above"]
-        return F.struct(*(c.alias(n) for c, n in zip(names, ("size", "band", "own", "blocks", "above"))))
+        outside = bucket["main"] != F.col("root")
+        inner, outer = blocks(bucket["size"] - bucket["n_out"], bucket["total"] - bucket["total_out"]), blocks(bucket["n_out"], bucket["total_out"])
+        # Blocks of outsiders are numbered first.
+        own = F.when(outside, F.pmod(F.xxhash64("row"), outer)).otherwise(outer + F.pmod(F.xxhash64("row"), inner)).cast("int")
+        names = {
+            "size": bucket["size"], "band": bucket["band"], "own": own, "outer": outer, "inner": inner,
+            "above": bucket["above"], "main": bucket["main"], "outside": outside,
+        }
+        return F.struct(*(c.alias(n) for n, c in names.items()))
 
     placed = members.withColumn("places", F.transform("buckets", place)).drop("buckets")
     top = F.array_max("places")
-    placed = placed.withColumn("home", F.xxhash64(top["band"], top["own"])).withColumn("place", F.explode("places"))
+    placed = placed.withColumn("main", top["main"]).withColumn("outside", top["outside"])
+    homes = placed.groupBy("main", "outside").agg(blocks(F.count("*"), F.sum("n_shingles")).alias("homes"))
+    placed = placed.join(homes, ["main", "outside"])
+    placed = placed.withColumn("home", F.xxhash64("main", "outside", F.pmod(F.xxhash64("row"), "homes")))
+    placed = placed.withColumn("place", F.explode("places"))
     own_registers = F.when(F.col("place.above"), F.col("upper")).otherwise(F.col("registers"))
     member = F.struct("row", "root", "n_shingles", "home", own_registers.alias("registers"))
-    packed = placed.groupBy("place.band", "place.own", "place.blocks").agg(F.collect_list(member).alias("members"))
-    keyed = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    packed = placed.groupBy("place.band", "place.own", "place.outer", "place.inner").agg(F.collect_list(member).alias("members"))
+    last = F.when(F.col("own") < F.col("outer"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1
+    keyed = packed.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
         "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "members"
     )
 
@@ -285,15 +353,16 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
         return pairs.groupby(["home_u", "home_v"]).agg(list).reset_index()
 
     kind = "home_u long, home_v long, us array<long>, vs array<long>"
-    return keyed.groupBy("band", "low", "high").applyInPandas(compare, kind)
+    found = keyed.groupBy("band", "low", "high").applyInPandas(compare, kind)
+    # At most the pairs of two homes, whose size is that of a block.
+    return found.groupBy("home_u", "home_v").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("us", "vs")))
 
 
-def _block_links(lists: DataFrame, sketches: DataFrame, docs: DataFrame, limits: Limits, scratch: Scratch) -> DataFrame:
+def _block_links(lists: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
     """The listed pairs whose full sets reach the limit; a set travels once for each pair of homes."""
     homes = F.col("home_u").alias("at_u"), F.col("home_v").alias("at_v")
     needed = lists.select(*homes, F.explode(F.array_union("us", "vs")).alias("row")).distinct()
-    table = scratch.write(_sets(needed.select("row").distinct(), sketches, docs, limits), "block-sets")
-    sets = needed.join(table.dropDuplicates(["row"]), "row")
+    sets = needed.join(sets, "row")
 
     def confirm(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         if not len(pairs):
@@ -345,7 +414,9 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     stars = shared.where("row != first").select(F.col("row").alias("u"), F.col("first").alias("v")).distinct()
     likely = scratch.write(_estimated(stars, chosen, limits.percent), "likely")
-    links = scratch.write(_confirmed(likely, chosen, docs, limits, scratch, "sets"), "links")
+    # Rows that repeat both id and text give a set twice.
+    sets = scratch.write(_sets(_ends(likely), chosen, docs, limits), "sets").dropDuplicates(["row"])
+    links = scratch.write(_confirmed(likely, sets, limits), "links")
     scratch.drop("sets")
     roots = components(links, scratch, "first")
 
@@ -357,6 +428,12 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     unresolved = scratch.write(
         member.join(open_bands.select("band"), "band", "left_semi").drop("first"), "unresolved"
     )
+    scratch.drop("shared")
+    late_sets = _sets(unresolved.select("row").distinct(), chosen, docs, limits)
+    late_sets = scratch.write(late_sets, "late-sets").dropDuplicates(["row"])
+    rows = scratch.write(unresolved.where(F.col("size") > SMALL).select("row", "root").distinct(), "rows")
+    merged, rows = _merge_by_long_keys(rows, sketches, chosen, late_sets, limits, scratch)
+
     small = unresolved.where(F.col("size") <= SMALL)
     other = small.select("band", F.col("row").alias("v"), F.col("root").alias("root_v"), F.col("n_shingles").alias("n_v"))
     across = (
@@ -365,17 +442,27 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         .where(_sizes("n_shingles", "n_v", limits.percent))
         .select(F.col("row").alias("u"), "v")
     )
-    bucket = F.struct("band", "size", "total", "above")
-    large = unresolved.where(F.col("size") > SMALL).groupBy("row", "root", "n_shingles").agg(F.collect_list(bucket).alias("buckets"))
-    large = large.join(chosen.select("row", "registers", "upper"), "row")
     tested = likely.select("u", "v")
     more = scratch.write(_estimated(across.distinct().join(tested, ["u", "v"], "left_anti"), chosen, limits.percent), "more")
-    late = scratch.write(_confirmed(more, chosen, docs, limits, scratch, "late-sets"), "late")
+    late = _confirmed(more, late_sets, limits)
+
+    wide = scratch.write(unresolved.where(F.col("size") > SMALL).drop("root").join(rows, "row"), "wide")
+    counts = wide.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("own"))
+    inside = F.max(F.struct("n", "root", "own"))
+    mains = counts.groupBy("band").agg(inside.alias("most"), F.sum("n").alias("all"), F.sum("own").alias("hashes"))
+    mains = mains.where(F.col("all") > F.col("most.n")).select(
+        "band",
+        F.col("most.root").alias("main"),
+        (F.col("all") - F.col("most.n")).alias("n_out"),
+        (F.col("hashes") - F.col("most.own")).alias("total_out"),
+    )
+    bucket = F.struct("band", "size", "total", "above", "main", "n_out", "total_out")
+    large = wide.join(mains, "band").groupBy("row", "root", "n_shingles").agg(F.collect_list(bucket).alias("buckets"))
+    large = scratch.write(large.join(chosen.select("row", "registers", "upper"), "row"), "large")
     lists = scratch.write(_block_pairs(large, limits.percent), "lists")
-    scratch.drop("shared", "unresolved", "late-sets")
-    late = late.union(_block_links(lists, chosen, docs, limits, scratch))
+    late = late.union(merged).union(_block_links(lists, late_sets, limits))
     all_links = scratch.write(links.union(late), "all-links")
-    scratch.drop("lists", "block-sets")
+    scratch.drop("lists", "late-sets", "unresolved", "wide", "large")
     final = components(all_links, scratch, "final")
 
     rooted = classes.join(final.withColumnRenamed("node", "row"), "row", "left").withColumn(
