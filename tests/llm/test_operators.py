@@ -438,7 +438,8 @@ def test_neighbours(spark):
     odd = [(400, None, 0), (420, [], 0), (440, [0.0] * 6, 0), (460, [None] * 6, 0), (480, [float("nan")] * 6, 0),
            (None, [1.0] * 6, 0), (500, [1.0] * 5, 0), (0, vectors[0][1], 0)]
     frame = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>, entry int")
-    found = permindex.nearest_neighbours(frame, frame["vec_id"] % 20 == 0, k=5).collect()
+    whole = permindex.Settings(share=1.0)
+    found = permindex.nearest_neighbours(frame, frame["vec_id"] % 20 == 0, k=5, settings=whole).collect()
     ids, data = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors])
     expected = set()
     for i in range(len(ids)):
@@ -448,3 +449,45 @@ def test_neighbours(spark):
             expected |= {(int(ids[i]), r + 1, int(ids[j])) for r, j in enumerate(order)}
     assert {(r.query_id, r["rank"], r.vec_id) for r in found} == expected
     assert permindex.nearest_neighbours(frame.limit(0), frame["vec_id"] % 20 == 0).count() == 0
+
+
+def test_recall_of_the_index_itself(spark):
+    rng = np.random.default_rng(11)
+    data = rng.standard_normal((4000, 32))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    # Blocks of 1,000, so that a quarter of each and no more is scored.
+    settings = permindex.Settings(block=1000, query_block=64)
+    rows = permindex.nearest_neighbours(frame, frame["vec_id"] % 20 == 0, k=20, settings=settings).collect()
+    found = {(r.query_id, r.vec_id) for r in rows}
+    scores = data @ data[::20].T
+    scores[np.arange(0, 4000, 20), np.arange(200)] = -9.0
+    true = {(20 * q, int(v)) for q in range(200) for v in np.argsort(-scores[:, q])[:20]}
+    assert len(found) == len(true) == 4000
+    assert 0.9 <= len(found & true) / len(true) < 1.0
+    for r in rows[:200]:
+        assert abs(r.score - data[r.query_id] @ data[r.vec_id]) < 1e-12
+
+
+def test_footrule_of_place_files():
+    rng = np.random.default_rng(2)
+    near = np.stack([rng.permutation(12)[:5] for _ in range(40)])
+    files = permindex.InvertedFiles(near, 12)
+
+    def distance(a, b):
+        places = [[list(x).index(p) if p in x else 5 for p in range(12)] for x in (a, b)]
+        return sum(abs(x - y) for x, y in zip(*places))
+
+    for query in near[:10]:
+        expected = np.array([distance(query, member) for member in near])
+        # Twice the sum 5 + 4 + 3 + 2 + 1 is the distance of lists without a shared pivot.
+        assert (30 - 2 * files.agreement(query) == expected).all()
+        chosen = files.closest(query, 7)
+        assert len(chosen) == 7 and sorted(expected[chosen]) == sorted(expected)[:7]
+
+
+def test_rows_that_share_an_id_with_a_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [0.5, 0.5]), (2, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = permindex.nearest_neighbours(frame, frame["vec_id"] == 0, k=2, settings=permindex.Settings(share=1.0)).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(1, 0, 0.9), (1, 0, 0.9), (2, 1, 0.5), (2, 1, 0.5)]
