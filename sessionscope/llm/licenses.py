@@ -6,7 +6,12 @@ separates words, so notices may be wrapped over lines.  A block is compressed pl
 and with the template as raw zstandard dictionary; templates that save at least
 ``min_saving`` of the size in their best block are judged by their wording: from the first
 to the last word that block and template share, the words that differ are listed, and at
-most ``max_differences`` of the template's words may differ, none of them a number.  Among
+most ``max_differences`` of the template's words may differ, none of them a number, a negation or a word
+that names a license (``license_texts.NAMING``: "Lesser" is no small difference).  A negation among
+the ``reach`` words before the notice, in the same clause, refuses it too, as does an operator behind an
+SPDX tag, which then names a part of an expression.  A template is tried around a cue if all words of its
+own that name a license stand within its length of the cue; without them nothing could be confirmed.
+The clause that two BSD licenses share is reported under both; the third clause stands for itself.  Among
 templates whose blocks overlap, confirmed ones win, then the one that shares the most words
 less those that differ, then the larger saving, then the first by name; so notices that
 stand beside each other are each reported.  ``line`` and ``word`` are those
@@ -30,29 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Customary wordings of license notices under their SPDX names.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file '
-        "except in compliance with the License."
-    ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted "
-        "provided that the following conditions are met:"
-    ),
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
-        "and associated documentation files, to deal in the Software without restriction."
-    ),
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+from sessionscope.llm.license_texts import NAMING, NEGATIONS, OPERATORS, TAG, TEMPLATES
+
 CUE = r"(?i)\b(licen[sc]e[ds]?|licen[sc]ing|copyright|permission|redistribution|CC\s+BY)\b"
 # For Spark, whose white space and word ends differ: passes at least every text with a cue.
 ROUGH = r"(?iu)(licen[sc]|copyright|permission|redistribution|CC[^\p{L}\p{N}_])"
@@ -66,6 +50,7 @@ FOUND = (
 class Settings:
     min_saving: float = 0.3
     max_differences: float = 0.2
+    reach: int = 3
     level: int = 9
 
 
@@ -79,6 +64,9 @@ class Scanner:
         self.with_template = [self._compressor(templates[n]) for n in self.names]
         self.words = [words_of(templates[n]) for n in self.names]
         self.lengths = [len(templates[n].split()) for n in self.names]
+        self.naming = [[w for w in words if names_license(w)] for words in self.words]
+        self.anchors = {w for words in self.naming for w in words}
+        self.tags = [templates[n].startswith(TAG) for n in self.names]
 
     def _compressor(self, template: str | None) -> zstandard.ZstdCompressor:
         content = None
@@ -103,12 +91,14 @@ class Scanner:
     def _chosen(self, words: list[str], cues: list[int]) -> list[tuple[int, str, float, list[str], bool, int]]:
         """The winners, best first, with their first place and the place behind their last."""
         lower = [w.lower() for w in words]
+        places = self._anchored(lower, cues)
         sizes = {}
         judged = []
-        for i, name in enumerate(self.names):
-            length = self.lengths[i]
+        for i, length in enumerate(self.lengths):
             seen = {}
             for cue in cues:
+                if not all(any(abs(p - cue) < length for p in places.get((cue, w), ())) for w in self.naming[i]):
+                    continue
                 best = None
                 last = max(0, len(words) - length)
                 for low in range(max(0, min(cue - length + 1, last)), min(cue, last) + 1):
@@ -129,6 +119,17 @@ class Scanner:
                 chosen.append((low, *found, high))
         return chosen
 
+    def _anchored(self, lower: list[str], cues: list[int]) -> dict[tuple[int, str], list[int]]:
+        """By cue and word that names a license: its places as near as the longest template reaches."""
+        far, known, places = max(self.lengths, default=0), {}, {}
+        for cue in cues:
+            for p in range(max(0, cue - far + 1), min(len(lower), cue + far)):
+                if p not in known:
+                    known[p] = self.anchors.intersection(words_of(lower[p]))
+                for word in known[p]:
+                    places.setdefault((cue, word), []).append(p)
+        return places
+
     def _judged(self, i: int, low: int, saving: float, words: list[str]) -> tuple:
         """What candidates are sorted by, place, end, and the findings."""
         template = self.words[i]
@@ -136,9 +137,15 @@ class Scanner:
         high = min(len(words), low + self.lengths[i])
         # Added words push a notice beyond the block; those allowed are looked at too.
         more = int(allowed)
-        near = " ".join(words[low:high]), " ".join(words[max(0, low - more) : high + more])
-        changed = min((differences(template, words_of(block)) for block in near), key=len)
-        confirmed = len(changed) <= allowed and not any(any(c.isdigit() for c in w) for w in changed)
+        found = []
+        for start, end in ((low, high), (max(0, low - more), min(len(words), high + more))):
+            block = [(word, p) for p in range(start, end) for word in words_of(words[p])]
+            changed, first = differences(template, [word for word, _ in block])
+            found.append((changed, start if first is None else block[first][1]))
+        changed, first = min(found, key=lambda f: len(f[0]))
+        confirmed = len(changed) <= allowed and not any(decides(w[1:]) for w in changed)
+        confirmed &= not negated(words[max(0, first - self.settings.reach) : first])
+        confirmed &= not (self.tags[i] and words[high : high + 1] and words[high] in OPERATORS)
         shared = len(template) - sum(w.startswith("-") for w in changed)
         found = (self.names[i], saving, changed, confirmed)
         return (not confirmed, len(changed) - shared, -saving, self.names[i], low, high, found)
@@ -148,19 +155,38 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[\w.-]*\w", text.lower())
 
 
-def differences(template: list[str], block: list[str]) -> list[str]:
-    """Template words missing (-) and block words added (+) where the two overlap."""
+def names_license(word: str) -> bool:
+    return not NAMING.isdisjoint(re.split(r"[-_.]", word))
+
+
+def decides(word: str) -> bool:
+    """Whether a notice with or without this word means something else."""
+    return any(c.isdigit() for c in word) or word in NEGATIONS or names_license(word)
+
+
+def negated(before: list[str]) -> bool:
+    """Whether a negation stands among these words, with no mark behind it that ends the clause."""
+    for word in reversed(before):
+        if word[-1] in ".!?;:,":
+            return False
+        if word.lower().replace("\u2019", "'").strip("\"'()*_") in NEGATIONS:
+            return True
+    return False
+
+
+def differences(template: list[str], block: list[str]) -> tuple[list[str], int | None]:
+    """Template words missing (-) and block words added (+) where the two overlap; where that begins."""
     matcher = SequenceMatcher(None, template, block, autojunk=False)
     matches = [m for m in matcher.get_matching_blocks() if m.size]
     if not matches:
-        return [f"-{w}" for w in template]
+        return [f"-{w}" for w in template], None
     first, last = matches[0].b, matches[-1].b + matches[-1].size
     changed = []
     for tag, a0, a1, b0, b1 in matcher.get_opcodes():
         if tag != "equal":
             changed += [f"-{w}" for w in template[a0:a1]]
             changed += [f"+{w}" for w in block[max(b0, first) : min(b1, last)]]
-    return changed
+    return changed, first
 
 
 def tokens_of(text: str) -> list[tuple[str, int]]:
@@ -182,8 +208,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, settin
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
+                number = word = before = 0
                 for at, *found in scanner.notices(text):
-                    number, word = text.count("\n", 0, at), len(text[text.rfind("\n", 0, at) + 1 : at].split())
+                    # On from the notice before, so that a long line is counted once.
+                    start = text.rfind("\n", before, at) + 1
+                    number += text.count("\n", before, at)
+                    word = len(text[start:at].split()) if start else word + len(text[before:at].split())
+                    before = at
                     rows.append((None if pd.isna(doc_id) else int(doc_id), number, word, *found))
             frame = pd.DataFrame(rows, columns=names)
             yield frame.astype({"doc_id": "Int64"})

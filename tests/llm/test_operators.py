@@ -170,7 +170,7 @@ to deal in the Software without restriction, including without limitation the
 rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
 sell copies of the Software, and to permit persons to whom the Software is
 furnished to do so, subject to the following conditions:""",
-    "BSD-3-Clause": """ * Redistribution and use in source and binary forms, with or without
+    "BSD-2-Clause OR BSD-3-Clause": """ * Redistribution and use in source and binary forms, with or without
  * modification, are permitted provided that the following conditions are
  * met: redistributions of source code must retain the above notice.""",
     "MPL-2.0": """// This Source Code Form is subject to the terms of the Mozilla Public
