@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionscope.llm.common import doc_order, text_of
-from sessionscope.llm.files import open_input, open_output
+from sessionscope.llm.files import located, open_input, open_output
 from sessionscope.llm.tokens import ID_BYTES, ID_TYPE, WordEncoder
 
 MAGIC = b"TOK1"
@@ -64,6 +64,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
     """Encodes all of ``docs`` into a new store at ``folder``."""
+    folder = located(docs.sparkSession, folder)
     dictionary = train_dictionary(docs, tokenizer)
     with open_output(f"{folder}/dictionary.zdict") as out:
         out.write(dictionary)
@@ -126,6 +127,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
     """Every document from the files: doc_id, start, n_tokens, ids_crc32 and, if asked, its ids."""
+    folder = located(spark, folder)
     with open_input(f"{folder}/dictionary.zdict") as source:
         dictionary = source.read()
     shared, digest = spark.sparkContext.broadcast(dictionary), hashlib.sha256(dictionary).digest()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionscope.llm.common import Scratch
-from sessionscope.llm.files import open_input, open_output, open_stream
+from sessionscope.llm.files import located, open_input, open_output, open_stream
 
 BLOCK = 1 << 20
 GZIP = 31  # window bits of zlib that stand for the gzip format
@@ -235,6 +235,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
     A response's digest is taken anew from its payload; a revisit states its own.
     """
+    folder = located(spark, folder)
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [field.split()[0] for field in RECORD.split(", ")]
@@ -254,5 +255,6 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     """Whole-stream archives of all pages, then the normalised ones with their index."""
+    folder = located(pages.sparkSession, folder)
     scratch = Scratch(pages.sparkSession, "warc")
     normalise(write_whole(with_heads(pages, min_bytes, scratch), folder), folder)
