@@ -18,7 +18,7 @@ only five deviations below the limit; the rest are confirmed on the full sets.
 1. Each member of a bucket is held against the bucket's smallest class: a row each,
    however large the bucket is.
 2. Components are formed.  Members of large buckets that still hold several of them are
-   dealt again by longer keys, two bands each, whose groups are more alike; each member is held
+   dealt again by longer keys, two such buckets each, whose groups are more alike; each member is held
    against a member of each of its groups drawn by hash, and components are merged
    (``ROUNDS``).  This leaves few outsiders.
 3. In buckets that then hold several components every pair across components is a
@@ -243,20 +243,26 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _long_keys(bands: str, strides: tuple[int, ...]):
-    """Hashes of two bands each, as far apart in the list as ``strides`` say."""
-    n = F.size(bands)
+    """Hashes of two bands each, whose numbers are as far apart as ``strides`` say."""
 
-    def keys(stride: int):
-        return F.transform(bands, lambda band, i: F.xxhash64(band, F.get(bands, (i + stride) % n)))
+    def keys(band, stride: int):
+        wanted = (band.bitwiseAND(F.lit(63)) + stride) % BANDS
+        partners = F.filter(bands, lambda other: other.bitwiseAND(F.lit(63)) == wanted)
+        return F.transform(partners, lambda other: F.xxhash64(band, other))
 
-    return F.coalesce(F.concat(*(keys(stride) for stride in strides)), F.array().cast("array<long>"))
+    return F.flatten(F.transform(bands, lambda band: F.concat(*(keys(band, stride) for stride in strides))))
 
 
 def _merge_by_long_keys(
-    rows: DataFrame, sketches: DataFrame, chosen: DataFrame, sets: DataFrame, limits: Limits, scratch: Scratch
+    open_rows: DataFrame, rows: DataFrame, chosen: DataFrame, sets: DataFrame, limits: Limits, scratch: Scratch
 ) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) found in groups of longer keys, and ``rows`` (row, root) with merged roots."""
-    keyed = scratch.write(sketches.select("row", "bands", "upper_bands").join(rows.select("row"), "row", "left_semi"), "keyed")
+    """Links (u, v) found in groups of longer keys, and ``rows`` (row, root) with merged roots.
+
+    Rows with different roots that share a longer key share both of its buckets, so both are open:
+    a row has longer keys of the bands of its large open buckets only (``open_rows``: row, band, above).
+    """
+    own = [F.collect_set(F.when(F.col("above") == above, F.col("band"))).alias(name) for name, above in (("bands", False), ("upper_bands", True))]
+    keyed = scratch.write(open_rows.groupBy("row").agg(*own), "keyed")
     chosen = scratch.write(chosen.join(rows.select("row"), "row", "left_semi"), "close")
     links = rows.select(F.col("row").alias("u"), F.col("row").alias("v")).where("false")
     for turn, strides in enumerate(ROUNDS):
@@ -431,8 +437,9 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     scratch.drop("shared")
     late_sets = _sets(unresolved.select("row").distinct(), chosen, docs, limits)
     late_sets = scratch.write(late_sets, "late-sets").dropDuplicates(["row"])
-    rows = scratch.write(unresolved.where(F.col("size") > SMALL).select("row", "root").distinct(), "rows")
-    merged, rows = _merge_by_long_keys(rows, sketches, chosen, late_sets, limits, scratch)
+    crowded = unresolved.where(F.col("size") > SMALL)
+    rows = scratch.write(crowded.select("row", "root").distinct(), "rows")
+    merged, rows = _merge_by_long_keys(crowded.select("row", "band", "above"), rows, chosen, late_sets, limits, scratch)
 
     small = unresolved.where(F.col("size") <= SMALL)
     other = small.select("band", F.col("row").alias("v"), F.col("root").alias("root_v"), F.col("n_shingles").alias("n_v"))
@@ -446,7 +453,7 @@ def near_duplicates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     more = scratch.write(_estimated(across.distinct().join(tested, ["u", "v"], "left_anti"), chosen, limits.percent), "more")
     late = _confirmed(more, late_sets, limits)
 
-    wide = scratch.write(unresolved.where(F.col("size") > SMALL).drop("root").join(rows, "row"), "wide")
+    wide = scratch.write(crowded.drop("root").join(rows, "row"), "wide")
     counts = wide.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("own"))
     inside = F.max(F.struct("n", "root", "own"))
     mains = counts.groupBy("band").agg(inside.alias("most"), F.sum("n").alias("all"), F.sum("own").alias("hashes"))

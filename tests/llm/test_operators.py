@@ -367,6 +367,34 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert all(r.kept == (expected[i] == i) for i, r in found.items())
 
 
+def test_longer_keys_come_from_open_buckets_only(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    made, write = {}, Scratch.write
+
+    def counted(scratch, frame, name):
+        made[name] = write(scratch, frame, name)
+        return made[name]
+
+    rng = random.Random(7)
+    base, rows = [rng.choice(WORDS) for _ in range(200)], []
+    for i in range(40):
+        words = list(base)
+        for _ in range(3 if i % 4 else 30):
+            words[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(Scratch, "write", counted)
+    monkeypatch.setattr(Scratch, "drop", lambda *_: None)
+    found = neardup.near_duplicates(docs_frame(spark, rows), neardup.Limits(2, 80)).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute_components(rows, 2, 80)
+    held = {r.row: set(r.bands) | set(r.upper_bands) for r in made["keyed"].collect()}
+    opened = {(r.row, r.band) for r in made["unresolved"].where("size > 2").collect()}
+    assert held and all((row, band) in opened for row, bands in held.items() for band in bands)
+    # A longer key for each pair of bands that lie as far apart as the strides say, and no other.
+    apart = set(neardup.ROUNDS[0])
+    pairs = sum(((b & 63) - (a & 63)) % neardup.BANDS in apart for bands in held.values() for a in bands for b in bands)
+    assert 0 < made["long-0"].count() <= pairs < 144 * len(held)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     found = neardup.near_duplicates(docs_frame(spark, ODD), neardup.Limits(2, 80)).collect()
     assert len(found) == len(ODD)
