@@ -60,7 +60,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             stored, counts, points = [], [], []
-            for data in encoder.encode(batch.column("text").to_pylist()):
+            for data in encoder.stream(text.as_py() for text in batch.column("text")):
                 ids = np.append(np.frombuffer(data, dtype=ID_TYPE), np.uint32(end_id))
                 seen, times = np.unique(ids, return_counts=True)
                 point = times @ table[seen]

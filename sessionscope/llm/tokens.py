@@ -2,16 +2,20 @@
 
 A byte-level tokenizer cuts a text into pieces before it merges bytes, and a space
 before a visible character always opens a piece.  So a text may be cut there, each
-distinct cut encoded once by the tokenizer and the ids strung together again.
+distinct cut encoded once by the tokenizer and the ids strung together again.  Arrow cuts
+the texts, numbers the distinct words and strings the ids, so that Python sees distinct
+words only.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # Spark keeps the cores busy; the tokenizer's own threads would only wait for each other.
@@ -19,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 ID_TYPE = "<u4"
 ID_BYTES = 4
-SEGMENT = 1 << 20
+SEGMENT = 1 << 23
 # Signs that never join the letters before them; an apostrophe may.
 _SIGNS = '.,;:!?)]}"%$&*|/-'
 _OPENS = re.compile(" [!-~]")
@@ -30,7 +34,11 @@ _UNSAFE = re.compile(" (?:[^!-~¡-ᙿᚁ-᠍᠏-῿⁰-⿿、-퟿]|\\Z)")
 
 
 class WordEncoder:
-    """Encodes texts to little-endian id bytes; ``limit`` bounds the remembered words."""
+    """Encodes texts to little-endian id bytes.
+
+    Words are remembered in two halves of about ``limit / 2``: when the newer half is full, the
+    older one is forgotten, except for the words that were met again since.
+    """
 
     _shared: dict = {}
 
@@ -39,7 +47,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.limit, self.joined = limit, joined
         self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Every character of a byte-level token stands for one byte.
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -57,21 +65,17 @@ class WordEncoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=ID_TYPE).tobytes() for e in encoded]
 
-    def _learn(self, words: list[str]) -> None:
-        """Words that each followed a space; letters and the signs after them are pieces of their own."""
-        ends, stems, tails = {}, set(), set()
-        for word in words:
-            stem = word.rstrip(_SIGNS)
-            if stem and stem != word and stem.isalpha():
-                ends[word] = (stem, word[len(stem) :])
-                stems.add(stem)
-                tails.add(word[len(stem) :])
-        plain = [word for word in words if word not in ends]
-        self._learn_pieces([*plain, *(stem for stem in stems.difference(plain) if stem not in self.known)])
-        new = [tail for tail in tails if tail not in self.tails]
-        self.tails.update(zip(new, self._whole(new)))
-        for word, (stem, tail) in ends.items():
-            self.known[word] = self.known[stem] + self.tails[tail]
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words that each followed a space."""
+        if len(self.known) > self.limit // 2:
+            self.older, self.known = self.known, {}
+        found = list(map(self.known.get, words))
+        missing = [word for word, ids in zip(words, found) if ids is None]
+        if not missing:
+            return found
+        self.known.update((word, self.older[word]) for word in missing if word in self.older)
+        self._learn_pieces([word for word in missing if word not in self.older])
+        return list(map(self.known.__getitem__, words))
 
     def _learn_pieces(self, words: list[str]) -> None:
         """Encodes many words in one call and cuts the ids where each word's bytes end."""
@@ -98,45 +102,65 @@ class WordEncoder:
         yield text[start:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Id bytes of each text; only about ``SEGMENT`` characters are split up at a time."""
-        result, waiting, size = [[] for _ in texts], [], 0
-        for i, text in enumerate(texts):
-            for segment in self._segments(text) if text else ():
-                waiting.append((i, segment))
-                size += len(segment)
-                if size >= SEGMENT:
-                    self._add(waiting, result)
-                    waiting, size = [], 0
-        self._add(waiting, result)
-        return [b"".join(parts) for parts in result]
-
-    def _add(self, waiting: list[tuple[int, str]], result: list[list[bytes]]) -> None:
-        for (i, _), ids in zip(waiting, self._encode([segment for _, segment in waiting])):
-            result[i].append(ids)
+        """Id bytes of each text."""
+        return list(self.stream(texts))
+
+    def stream(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Id bytes of each text in turn; only about ``SEGMENT`` characters are split up at a time."""
+        waiting, size = [], 0
+        for text in texts:
+            if size + len(text) > SEGMENT:
+                yield from self._encode(waiting)
+                waiting, size = [], 0
+            if len(text) > SEGMENT:
+                yield b"".join(ids for segment in self._segments(text) for ids in self._encode([segment]))
+            else:
+                waiting.append(text)
+                size += len(text)
+        yield from self._encode(waiting)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.tails) > self.limit:
-            self.known.clear()
-            self.tails.clear()
         result: list = [b""] * len(texts)
-        parts, heads, whole = {}, {}, []
+        cut, whole = [], []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _UNSAFE.search(text):
-                whole.append(i)
-            else:
-                head, *rest = text.split(" ")
-                parts[i] = rest
-                heads[i] = head
-        unknown = [word for word in set().union(*parts.values()) if word not in self.known]
-        if unknown:
-            self._learn(unknown)
-        known = self.known.__getitem__
-        distinct = list(set(heads.values()))
-        head_ids = dict(zip(distinct, self._whole(distinct)))
-        for i, rest in parts.items():
-            result[i] = head_ids[heads[i]] + b"".join(map(known, rest))
+            if text:
+                (whole if _UNSAFE.search(text) else cut).append(i)
+        for i, ids in zip(cut, self._strung([texts[i] for i in cut])):
+            result[i] = ids
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             result[i] = ids
         return result
+
+    def _strung(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts in which every space opens a word; what is before the first space is a head."""
+        if not texts:
+            return
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        parts, starts = split.values, split.offsets.to_numpy()[:-1]
+        follows = np.ones(len(parts), dtype=bool)
+        follows[starts] = False
+        words = parts.filter(pa.array(follows)).dictionary_encode()
+        heads = parts.take(pa.array(starts)).dictionary_encode()
+        ids = [self._word_ids(words.dictionary), pa.array(self._whole(heads.dictionary.to_pylist()), pa.large_binary())]
+        place = np.empty(len(parts), dtype=np.int64)
+        place[follows] = words.indices.to_numpy()
+        place[starts] = heads.indices.to_numpy() + len(words.dictionary)
+        strung = pa.concat_arrays(ids).take(pa.array(place))
+        ends = np.frombuffer(strung.buffers()[1], dtype=np.int64)[: len(parts) + 1]
+        data, ends = strung.buffers()[2], ends[[*starts, len(parts)]].tolist()
+        for start, end in zip(ends, ends[1:]):
+            yield data[start:end].to_pybytes()
+
+    def _word_ids(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words; letters and the signs after them are pieces of their own."""
+        stems = pc.utf8_rtrim(words, _SIGNS)
+        signed = pc.and_(pc.utf8_is_alpha(stems), pc.less(pc.binary_length(stems), pc.binary_length(words)))
+        pairs = zip(words.filter(signed).to_pylist(), stems.filter(signed).to_pylist())
+        tails = pa.array([word[len(stem) :] for word, stem in pairs], pa.large_string()).dictionary_encode()
+        stems = pc.if_else(signed, stems, words).dictionary_encode()
+        # The last tail is none.
+        place = np.full(len(words), len(tails.dictionary))
+        place[signed.to_numpy(zero_copy_only=False)] = tails.indices.to_numpy()
+        stem_ids = pa.array(self._lookup(stems.dictionary.to_pylist()), pa.large_binary())
+        tail_ids = pa.array([*self._whole(tails.dictionary.to_pylist()), b""], pa.large_binary())
+        return pc.binary_join_element_wise(stem_ids.take(stems.indices), tail_ids.take(pa.array(place)), pa.scalar(b"", pa.large_binary()))

@@ -84,7 +84,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> No
                 out.write(MAGIC + digest)
                 at = len(MAGIC) + len(digest)
             rows = {"frame_at": [], "frame_bytes": [], "n_tokens": [], "tokens_before": []}
-            for ids in encoder.encode(batch.column("text").to_pylist()):
+            for ids in encoder.stream(text.as_py() for text in batch.column("text")):
                 frame = compressor.compress(ids + end)
                 out.write(frame)
                 count = len(ids) // ID_BYTES + 1

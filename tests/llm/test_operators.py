@@ -22,6 +22,7 @@ from sessionscope.llm import (
     neardup,
     packing,
     permindex,
+    tokens,
     tokenstore,
     toxicity,
     warc,
@@ -68,6 +69,25 @@ def test_words_are_encoded_as_the_whole_text(plain):
     assert found == [np.array(plain(t), dtype="<u4").tobytes() for t in [*texts, LONG * 5]]
 
 
+def test_chunks_and_signs_are_encoded_as_the_whole_text(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "SEGMENT", 50)
+    pieces = ["ab", "ab,", "ab.", "Ab...", "é!", "x1", "12,", "it's", "l'", ",,", "c.\nD", "d\n\nE", "ß)", "ǅ;", "漢字,", "😀", "", "\n"]
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    found = WordEncoder(TOKENIZER, limit=8).encode(texts)
+    assert found == [np.array(plain(t), dtype="<u4").tobytes() for t in texts]
+
+
+def test_words_met_again_stay_known(monkeypatch):
+    encoder, learned = WordEncoder(TOKENIZER, limit=100), []
+    learn = encoder._learn_pieces
+    monkeypatch.setattr(encoder, "_learn_pieces", lambda words: (learned.extend(words), learn(words)))
+    for turn in range(20):
+        encoder.encode([" ".join(["the", "often", "met,", *(f"new{turn}x{i}" for i in range(30)), "often", "met"])])
+    assert learned.count("often") == learned.count("met") == 1
+    assert len(encoder.known) + len(encoder.older) < 200
+
+
 def test_store_round_trip(spark, plain):
     docs, store = docs_frame(spark, ODD), Scratch(spark, "test-store").path
     tokenstore.write_store(docs, store, TOKENIZER, end_id=2)
